@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from tallyforge.llm.hash_search import op8_hash_search
+from tallyforge.llm.multi_index import OP3_SQL, op3_multi_index
 from tallyforge.llm.simhash import op7_simhash
 
 QUERIES = {
+    "op3_multi_index": op3_multi_index,
     "op7_simhash": op7_simhash,
+    "op8_hash_search": op8_hash_search,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_multi_index": OP3_SQL,
+}
