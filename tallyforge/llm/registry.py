@@ -5,13 +5,16 @@ from __future__ import annotations
 from tallyforge.llm.hash_search import op8_hash_search
 from tallyforge.llm.multi_index import OP3_SQL, op3_multi_index
 from tallyforge.llm.simhash import op7_simhash
+from tallyforge.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op3_multi_index": op3_multi_index,
     "op7_simhash": op7_simhash,
     "op8_hash_search": op8_hash_search,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL = {
     "op3_multi_index": OP3_SQL,
+    "op10_warc": OP10_SQL,
 }
