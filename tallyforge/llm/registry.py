@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from tallyforge.llm.chat_views import OP6_SQL, op6_chat_views
 from tallyforge.llm.hash_search import op8_hash_search
 from tallyforge.llm.lang_id import op5_lang_id
+from tallyforge.llm.mixing import op2_mixing
 from tallyforge.llm.multi_index import OP3_SQL, op3_multi_index
 from tallyforge.llm.simhash import op7_simhash
 from tallyforge.llm.sp_codec import op4_sentencepiece
 from tallyforge.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_multi_index": op3_multi_index,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_lang_id": op5_lang_id,
+    "op6_chat_views": op6_chat_views,
     "op7_simhash": op7_simhash,
     "op8_hash_search": op8_hash_search,
     "op10_warc": op10_warc,
@@ -20,5 +24,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_multi_index": OP3_SQL,
+    "op6_chat_views": OP6_SQL,
     "op10_warc": OP10_SQL,
 }
