@@ -7,6 +7,7 @@ from tallyforge.llm.hash_search import op8_hash_search
 from tallyforge.llm.lang_id import op5_lang_id
 from tallyforge.llm.mixing import op2_mixing
 from tallyforge.llm.multi_index import OP3_SQL, op3_multi_index
+from tallyforge.llm.secret_scan import op9_secret_scan
 from tallyforge.llm.simhash import op7_simhash
 from tallyforge.llm.sp_codec import op4_sentencepiece
 from tallyforge.llm.warc import OP10_SQL, op10_warc
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_chat_views": op6_chat_views,
     "op7_simhash": op7_simhash,
     "op8_hash_search": op8_hash_search,
+    "op9_secret_scan": op9_secret_scan,
     "op10_warc": op10_warc,
 }
 
