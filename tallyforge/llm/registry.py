@@ -5,6 +5,7 @@ from __future__ import annotations
 from tallyforge.llm.chat_views import OP6_SQL, op6_chat_views
 from tallyforge.llm.hash_search import op8_hash_search
 from tallyforge.llm.lang_id import op5_lang_id
+from tallyforge.llm.lm_score import op1_lm_score
 from tallyforge.llm.mixing import op2_mixing
 from tallyforge.llm.multi_index import OP3_SQL, op3_multi_index
 from tallyforge.llm.secret_scan import op9_secret_scan
@@ -13,6 +14,7 @@ from tallyforge.llm.sp_codec import op4_sentencepiece
 from tallyforge.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_mixing": op2_mixing,
     "op3_multi_index": op3_multi_index,
     "op4_sentencepiece": op4_sentencepiece,
