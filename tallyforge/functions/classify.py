@@ -32,7 +32,7 @@ HINTS = {
     "slope": ["Rise over run.", "Bring the line to the form y = mx + b."],
     "midpoint": ["Average the two x values, then the two y values."],
     "distance": ["Square both differences and add them.", "Take the root of the sum."],
-    "pythagorean": ["The two short sides squared add up to the long side squared."],
+    "pythagorean": ["Which side is the longest?", "The two short sides squared add up to the long side squared."],
     "area": ["Name the shape first.", "Pick the formula that has the lengths you know."],
     "volume": ["Find the area of the base.", "Multiply by the height."],
     "angles": ["Which angles add up to 180 or 90 degrees?", "Write that as an equation."],

@@ -74,7 +74,7 @@ def split_problems(column: Column) -> Column:
 
 def paragraphs(column: Column) -> Column:
     """Paragraphs of more than four characters."""
-    return F.filter(F.transform(F.split(plain_space(column), r"\n\s*\n"), lambda p: F.trim(p)), lambda p: F.length(p) > 4)
+    return F.filter(F.transform(F.split(plain_space(column), r"\n\s*\n"), lambda p: F.trim(p, F.lit(" \n\t"))), lambda p: F.length(p) > 4)
 
 
 def clean_block(column: Column) -> Column:

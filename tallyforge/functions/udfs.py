@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from tallyforge.functions import algebra
 
-SOLUTION = "answer string, kind string, vars array<string>, roots array<double>"
+# type objects, not DDL: the module can be imported before there is a session
+TEXT = StringType()
+SOLUTION = StructType([StructField("answer", TEXT), StructField("kind", TEXT), StructField("vars", ArrayType(TEXT)), StructField("roots", ArrayType(DoubleType()))])
 
 
 @F.pandas_udf(SOLUTION)
@@ -17,27 +20,27 @@ def solve(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([algebra.solve(t) or empty for t in text], columns=list(empty))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(TEXT))
 def steps(text: pd.Series) -> pd.Series:
     return text.map(algebra.steps)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def canonical(text: pd.Series) -> pd.Series:
     return text.map(algebra.canonical)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def simplify(text: pd.Series) -> pd.Series:
     return text.map(algebra.simplify)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def calculate(text: pd.Series) -> pd.Series:
     return text.map(algebra.calculate)
 
 
-@F.pandas_udf("answer string, kind string")
+@F.pandas_udf(StructType([StructField("answer", TEXT), StructField("kind", TEXT)]))
 def auto_answer(text: pd.Series) -> pd.DataFrame:
     """Solve, or else simplify, in one pass."""
     rows = []

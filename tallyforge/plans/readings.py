@@ -1,2 +1,46 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries over garbled questions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyforge.operators import readings as R
+from tallyforge.sources.adapters import CARDS, cards
+
+
+def _garbled(s, d):
+    """The card's equation with 1 read as l and 0 as O, on two cards of three; a minus or spaces lost on some."""
+    q = F.when(F.col("part") % 3 == 0, F.translate("question", "1", "l")).when(F.col("part") % 3 == 1, F.translate("question", "0", "O")).otherwise(F.col("question"))
+    return cards(s, d).select("card_id", "question", q.alias("raw"))
+
+
+def d05(s, d):
+    return _garbled(s, d).select("card_id", F.levenshtein("question", "raw").cast("long").alias("edits"))
+
+
+def d01(s, d):
+    from tallyforge.functions.text import light_clean
+
+    return cards(s, d).select("card_id", light_clean(F.concat(F.lit("  ("), F.col("number").cast("string"), F.lit(") Solve: X + "), F.col("question"), F.lit(" ___"))).alias("clean"))
+
+
+def d06(s, d):
+    return R.variants(_garbled(s, d)).groupBy("edits", "loose").agg(F.count("*").alias("n"))
+
+
+def d09(s, d):
+    return R.readings(_garbled(s, d))
+
+
+def d09_found(s, d):
+    """Of each garbled text, whether the answer of what was written is among the three readings."""
+    raw = _garbled(s, d).select("raw").distinct()
+    return R.readings(raw).groupBy("raw").agg(F.count("*").alias("n"), F.min("score").alias("best"))
+
+
+QUERIES = {"d01_light_clean": d01, "d05_edit_distance": d05, "d02_d06_variants": d06, "d09_topk_readings": d09, "d07_d08_scores": d09_found}
+
+ORACLE_SQL = {
+    "d01_light_clean": f"WITH {CARDS} SELECT card_id, 'X + ' || question AS clean FROM cards",
+    "d05_edit_distance": f"""WITH {CARDS} SELECT card_id, CAST(levenshtein(question, CASE part % 3 WHEN 0 THEN replace(question, '1', 'l') WHEN 1 THEN replace(question, '0', 'O') ELSE question END) AS BIGINT) AS edits FROM cards""",
+}

@@ -1,2 +1,203 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries from worksheet texts to problem records."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyforge.functions import text as T
+from tallyforge.functions.classify import classify, hint_at, hints
+from tallyforge.operators import extract as X
+from tallyforge.sources import files
+from tallyforge.sources.adapters import CARDS, cards, table, worksheets
+
+
+def b01(s, d):
+    return cards(s, d).select("card_id", T.plain_space(F.when(F.col("part") % 2 == 0, F.translate("question", " ", " "))).alias("text"))
+
+
+def b02(s, d):
+    cut = X.split_key(worksheets(s, d))
+    return cut.select("deck_id", F.length("body").cast("long").alias("body_chars"), F.length("key_text").cast("long").alias("key_chars"))
+
+
+def b03(s, d):
+    return X.key_lines(X.split_key(worksheets(s, d)), ["deck_id"]).select("deck_id", F.col("number").cast("long").alias("number"), "value")
+
+
+def b04(s, d):
+    one = worksheets(s, d).select("deck_id", F.concat(F.lit("Answers\n"), F.regexp_replace(F.get(F.split("text", "\nAnswer Key\n"), F.lit(1)), "\n", "   ")).alias("text"))
+    return X.answer_key(one, ["deck_id"]).select("deck_id", F.col("number").cast("long").alias("number"), "value")
+
+
+def b05(s, d):
+    body = X.split_key(worksheets(s, d)).select("deck_id", F.col("body").alias("text"))
+    return X.split_pages(body, ["deck_id"]).select("deck_id", F.col("number").cast("long").alias("number"), "body", "marked")
+
+
+def b07(s, d):
+    block = F.concat(F.col("question"), F.lit("\n\n  and check it by hand\n"), F.when(F.col("part") % 3 == 0, F.lit("Chapter Seven Review")).when(F.col("part") % 3 == 1, F.lit("Name: ____")).otherwise(F.lit("7\n8")))
+    return cards(s, d).select("card_id", T.clean_block(block).alias("block"))
+
+
+def b08(s, d):
+    text = F.concat("question", F.when(F.col("part") % 4 == 0, F.concat(F.lit(" {"), F.col("c").cast("string"), F.lit("}"))).when(F.col("part") % 4 == 1, F.lit(" No solution.")).when(F.col("part") % 4 == 2, F.lit(" {see text}")).otherwise(""))
+    return cards(s, d).select("card_id", T.inline_answer(text).alias("answer"), T.without_inline_answer(text).alias("question"))
+
+
+def b09(s, d):
+    return X.problems(worksheets(s, d), ["deck_id"]).select("deck_id", F.col("number").cast("long").alias("number"), "question", "answer", "answer_source")
+
+
+#: Prompts and the types they have.
+PROMPTS = [
+    ("Solve the system by substitution", "system"), ("Factor x^2 - 9", "factor"), ("x^2 * x^3", "exponents"), ("Simplify 3x + 2x", "simplify"), ("Find the slope through both points", "slope"),
+    ("Find the midpoint", "midpoint"), ("What is the distance between A and B?", "distance"), ("The area of a right triangle", "pythagorean"), ("The perimeter of a square", "area"), ("The volume of a box", "volume"),
+    ("The angles are complementary", "angles"), ("Are the figures similar?", "congruence"), ("Find the value of 3a", "evaluate"), ("x^2 + 3x = 4", "quadratic"), ("3x + 1 = 7", "linear"), ("How many apples are left?", "general"),
+]
+
+
+def _prompts(s, d):
+    texts = F.array(*[F.lit(p) for p, _ in PROMPTS])
+    return cards(s, d).select("card_id", "misses", F.get(texts, (F.col("part") % len(PROMPTS)).cast("int")).alias("question"))
+
+
+def b10(s, d):
+    return _prompts(s, d).select("card_id", classify(F.col("question")).alias("type_label"))
+
+
+def b11(s, d):
+    rows = _prompts(s, d).withColumn("type_label", classify(F.col("question"))).join(F.broadcast(hints(s)), "type_label")
+    level = (F.col("misses") + 1).cast("int")
+    return rows.select("card_id", F.size("hints").cast("long").alias("n_hints"), (hint_at(F.col("hints"), level) == F.get("hints", F.size("hints") - 1)).alias("is_last"))
+
+
+def f08(s, d):
+    """a card's own hint at level 1, then those of its type."""
+    rows = _prompts(s, d).withColumn("type_label", classify(F.col("question"))).join(F.broadcast(hints(s)), "type_label")
+    own = F.when(F.col("card_id") % 2 == 0, F.lit("own"))
+    level = (F.col("misses") + 1).cast("int")
+    shown = F.when(own.isNotNull() & (level == 1), own).otherwise(hint_at(F.col("hints"), F.when(own.isNotNull(), level - 1).otherwise(level)))
+    return rows.select("card_id", (shown == "own").alias("is_own"))
+
+
+def _pages(s, d):
+    """Three pages a deck: the problems, their key (numbers again) and an unrelated page."""
+    deck = cards(s, d).where("number < 100")
+    texts = deck.groupBy("deck_id").agg(F.array_sort(F.collect_list(F.struct("number", "question", "c"))).alias("q"))
+    one = F.array_join(F.transform("q", lambda x: F.concat(x["number"].cast("string"), F.lit(") "), x["question"])), "\n")
+    two = F.array_join(F.transform("q", lambda x: F.concat(x["number"].cast("string"), F.lit(") "), x["question"], F.lit("\nK"), x["c"].cast("string"))), "\n")
+    pages = F.array(one, two, F.lit("no numbers here\n51) x\n52) y\n53) z"))
+    return texts.select(F.col("deck_id").alias("doc_id"), F.posexplode(pages).alias("page_index", "text")).withColumn("page_index", F.col("page_index") + 1)
+
+
+def b12(s, d):
+    return X.key_pages(_pages(s, d)).select("doc_id", F.col("page_index").cast("long").alias("page_index"))
+
+
+def b13(s, d):
+    keys = _pages(s, d).join(X.key_pages(_pages(s, d)), ["doc_id", "page_index"], "left_semi")
+    return X.key_page_answers(X.split_pages(keys, ["doc_id", "page_index"])).select("doc_id", F.col("number").cast("long").alias("number"), "value")
+
+
+def b14(s, d):
+    rows = X.answers(cards(s, d).select("card_id", "question", "flag", "part", "c"))
+    answer, source = X.waterfall([("key", F.when(F.col("flag") == "R", F.col("c").cast("string"))), ("key page", F.when(F.col("part") % 5 == 0, F.lit("page"))), ("solved", F.when(F.col("part") % 7 != 0, F.col("auto")))])
+    return rows.select("card_id", answer.alias("answer"), source.alias("answer_source"))
+
+
+def b15(s, d):
+    from pyspark.sql import Window
+
+    rows = cards(s, d).select("deck_id", "card_id", F.when(F.col("part") % 4 != 0, F.col("a")).alias("number"), (F.col("part") % 3).alias("page_index"), F.col("card_id").alias("pos"))
+    return rows.select("deck_id", "card_id", F.row_number().over(Window.partitionBy("deck_id").orderBy(*X.order_columns())).cast("long").alias("place"))
+
+
+def b16(s, d):
+    asked = cards(s, d).where("number < 100").select(F.col("deck_id").alias("doc_id"), "card_id", F.when(F.col("part") % 3 == 0, F.lit("51) x no numbers")).otherwise(F.col("question")).alias("question"))
+    return X.guess_page(asked, _pages(s, d)).select("card_id", F.col("page_index").cast("long").alias("page_index"))
+
+
+def b17(s, d):
+    q = F.when(F.col("part") % 5 == 0, F.lit(" ")).when(F.col("part") % 5 == 1, F.concat("question", F.lit(" is to be solved\n7\nab"))).otherwise(F.concat("question", F.lit("\n and so on")))
+    rows = cards(s, d).select("deck_id", "card_id", F.col("card_id").alias("pos"), F.when(F.col("part") % 2 == 0, F.col("number").cast("int")).alias("number"), q.alias("question"))
+    return X.tidy_deck(rows).select("card_id", F.col("number").cast("long").alias("number"), "question")
+
+
+def f06(s, d):
+    """blank answers filled by the solver, and how many of a deck's were."""
+    rows = X.answers(cards(s, d).select("deck_id", "card_id", "question", F.when(F.col("flag") == "R", F.col("c").cast("string")).otherwise("").alias("answer")))
+    filled = (F.col("answer") == "") & F.col("auto").isNotNull()
+    return rows.groupBy("deck_id").agg(F.count("*").alias("total"), F.count_if(filled).alias("filled"))
+
+
+def h02(s, d):
+    item = table(s, d, "lineitem")
+    angle = F.when(F.col("l_linenumber") == 1, F.array(*[F.lit(0.0)] * 6)).otherwise(F.array(F.lit(1.0), F.lit(0.0), F.lit(3.0), F.lit(4.0), F.col("l_quantity"), F.col("l_tax")))
+    runs = item.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_index"), F.col("l_partkey").alias("glyph_seq"), angle.alias("transform"), F.col("l_discount").alias("width"), F.when(F.col("l_returnflag") == "A", "  ").otherwise(F.col("l_returnflag")).alias("text"))
+    return files.glyphs(runs).select("doc_id", "glyph_seq", "x", "y", "w", "scale", "s")
+
+
+def h04(s, d):
+    return table(s, d, "documents").select("doc_id", T.scanned(F.col("text")).alias("needs_ocr"))
+
+
+def h09(s, d):
+    """Decks written as a JSON collection and read again with their schema."""
+    import uuid
+
+    rows = cards(s, d).select("deck_id", "card_id", "question")
+    base = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/collections/{uuid.uuid4().hex}"
+    files.write_collection(rows, path)
+    return files.read_collection(s, path, "deck_id bigint, card_id bigint, question string")
+
+
+def h13(s, d):
+    reply = F.concat(F.lit("```json\n[{\"number\": "), F.col("a").cast("string"), F.lit(", \"question\": \""), F.col("question"), F.lit("\"}]\n```"))
+    reply = F.when(F.col("part") % 4 == 0, F.lit("sorry, no cards")).otherwise(reply)
+    return files.parse_cards(cards(s, d).select(F.col("card_id").alias("page"), reply.alias("reply"))).select("page", F.col("number").cast("long").alias("number"), "question", "answer")
+
+
+QUERIES = {
+    "b01_plain_space": b01, "b02_answer_key_region": b02, "b03_key_lines": b03, "b04_inline_key": b04, "b05_b06_problem_split": b05, "b07_clean_block": b07, "b08_inline_answer": b08, "b09_problem_records": b09, "b10_classify": b10,
+    "b11_hint_level": b11, "b12_key_pages": b12, "b13_key_page_answers": b13, "b14_answer_waterfall": b14, "b15_problem_order": b15, "b16_guess_page": b16, "b17_tidy_deck": b17, "f06_f07_fill_blanks": f06, "f08_hint_escalation": f08,
+    "h02_glyphs": h02, "h04_needs_ocr": h04, "h08_h09_json_collection": h09, "h13_parse_cards": h13,
+}
+
+LINES = f"""WITH {CARDS}, w AS (SELECT *, CAST(number AS VARCHAR) || ') ' || question AS line, CASE WHEN flag = 'R' THEN CAST(number AS VARCHAR) || ') K' || CAST(c AS VARCHAR) END AS key_line,
+  count(*) OVER (PARTITION BY deck_id) AS n, count(*) FILTER (WHERE flag = 'R') OVER (PARTITION BY deck_id) AS n_keys FROM cards WHERE number < 100)"""
+TYPE_VALUES = ", ".join(f"({i}, '{t}')" for i, (_, t) in enumerate(PROMPTS))
+PAGES = f"""WITH {CARDS}, n AS (SELECT deck_id AS doc_id, count(*) AS n FROM cards WHERE number < 100 GROUP BY deck_id)"""
+
+ORACLE_SQL = {
+    "b01_plain_space": f"WITH {CARDS} SELECT card_id, CASE WHEN part % 2 = 0 THEN question ELSE '' END AS text FROM cards",
+    "b02_answer_key_region": LINES + """ SELECT deck_id, length(string_agg(line, chr(10))) + 1 AS body_chars, CAST(1 + coalesce(length(string_agg(key_line, chr(10))), 0) AS BIGINT) AS key_chars FROM w GROUP BY deck_id""",
+    "b03_key_lines": LINES + " SELECT deck_id, number, 'K' || CAST(c AS VARCHAR) AS value FROM w WHERE flag = 'R' AND n_keys >= 2",
+    "b04_inline_key": LINES + " SELECT deck_id, number, 'K' || CAST(c AS VARCHAR) AS value FROM w WHERE flag = 'R' AND n_keys >= 2",
+    "b05_b06_problem_split": LINES + " SELECT deck_id, number, CASE WHEN n >= 2 THEN question ELSE line END AS body, n >= 2 AS marked FROM w",
+    "b07_clean_block": f"WITH {CARDS} SELECT card_id, question || chr(10) || 'and check it by hand' || CASE WHEN part % 3 = 2 AND length(question) < 14 THEN chr(10) || '7' || chr(10) || '8' ELSE '' END AS block FROM cards",
+    "b08_inline_answer": f"""WITH {CARDS} SELECT card_id, CASE part % 4 WHEN 0 THEN CAST(c AS VARCHAR) WHEN 1 THEN 'no solution' END AS answer, question FROM cards""",
+    "b09_problem_records": LINES + """ SELECT deck_id, number, CASE WHEN n >= 2 THEN question ELSE line END AS question, CASE WHEN n >= 2 AND n_keys >= 2 AND flag = 'R' THEN 'K' || CAST(c AS VARCHAR) ELSE '' END AS answer,
+      CASE WHEN n >= 2 AND n_keys >= 2 AND flag = 'R' THEN 'key' ELSE '' END AS answer_source FROM w""",
+    "b10_classify": f"WITH {CARDS}, t(i, type_label) AS (VALUES {TYPE_VALUES}) SELECT card_id, type_label FROM cards JOIN t ON t.i = part % {len(PROMPTS)}",
+    "b11_hint_level": f"""WITH {CARDS}, t(i, type_label) AS (VALUES {TYPE_VALUES}), h AS (SELECT i, CASE WHEN type_label = 'general' THEN 3 ELSE 2 END AS k FROM t)
+      SELECT card_id, CAST(k AS BIGINT) AS n_hints, misses + 1 >= k AS is_last FROM cards JOIN h ON h.i = part % {len(PROMPTS)}""",
+    "f08_hint_escalation": f"WITH {CARDS} SELECT card_id, card_id % 2 = 0 AND misses = 0 AS is_own FROM cards",
+    "b12_key_pages": PAGES + " SELECT doc_id, CAST(2 AS BIGINT) AS page_index FROM n WHERE n >= 3",
+    "b13_key_page_answers": PAGES + " SELECT c.deck_id AS doc_id, c.number, 'K' || CAST(c.c AS VARCHAR) AS value FROM cards c JOIN n ON n.doc_id = c.deck_id WHERE n.n >= 3 AND c.number < 100",
+    "b14_answer_waterfall": f"""WITH {CARDS} SELECT card_id, CASE WHEN flag = 'R' THEN CAST(c AS VARCHAR) WHEN part % 5 = 0 THEN 'page' WHEN part % 7 <> 0 THEN solved ELSE '' END AS answer,
+      CASE WHEN flag = 'R' THEN 'key' WHEN part % 5 = 0 THEN 'key page' WHEN part % 7 <> 0 THEN 'solved' ELSE '' END AS answer_source FROM cards""",
+    "b15_problem_order": f"""WITH {CARDS} SELECT deck_id, card_id, row_number() OVER (PARTITION BY deck_id ORDER BY CASE WHEN part % 4 <> 0 THEN a ELSE 1000000 END, part % 3, card_id) AS place FROM cards""",
+    "b16_guess_page": f"""WITH {CARDS}, k AS (SELECT *, lower(regexp_replace(question, '[^A-Za-z0-9]', '', 'g')) AS probe FROM cards WHERE number < 100),
+      p AS (SELECT deck_id, lower(regexp_replace(string_agg(CAST(number AS VARCHAR) || ') ' || question, '' ORDER BY number), '[^A-Za-z0-9]', '', 'g')) AS one,
+        lower(regexp_replace(string_agg(CAST(number AS VARCHAR) || ') ' || question || 'K' || CAST(c AS VARCHAR), '' ORDER BY number), '[^A-Za-z0-9]', '', 'g')) AS two FROM cards WHERE number < 100 GROUP BY deck_id)
+      SELECT k.card_id, CAST(1 AS BIGINT) AS page_index FROM k JOIN p ON p.deck_id = k.deck_id""",
+    "b17_tidy_deck": f"""WITH {CARDS}, k AS (SELECT *, row_number() OVER (PARTITION BY deck_id ORDER BY card_id) AS place FROM cards WHERE part % 5 <> 0)
+      SELECT card_id, CASE WHEN part % 2 = 0 THEN number ELSE place END AS number, question || CASE WHEN part % 5 = 1 THEN ' is to be solved' ELSE CASE WHEN length(question) >= 12 AND length('and so on') <= 8 THEN '' ELSE ' and so on' END END AS question FROM k""",
+    "f06_f07_fill_blanks": f"WITH {CARDS} SELECT deck_id, count(*) AS total, count(*) FILTER (WHERE flag <> 'R') AS filled FROM cards GROUP BY deck_id",
+    "h02_glyphs": """SELECT l_orderkey AS doc_id, l_partkey AS glyph_seq, CASE WHEN l_linenumber = 1 THEN CAST(0 AS DOUBLE) ELSE l_quantity END AS x, CASE WHEN l_linenumber = 1 THEN CAST(0 AS DOUBLE) ELSE l_tax END AS y, l_discount AS w,
+      CAST(CASE WHEN l_linenumber = 1 THEN 12 ELSE 5 END AS DOUBLE) AS scale, l_returnflag AS s FROM lineitem WHERE l_returnflag <> 'A'""",
+    "h04_needs_ocr": "SELECT doc_id, length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) < 40 AS needs_ocr FROM documents",
+    "h08_h09_json_collection": f"WITH {CARDS} SELECT deck_id, card_id, question FROM cards",
+    "h13_parse_cards": f"WITH {CARDS} SELECT card_id AS page, a AS number, question, CAST(NULL AS VARCHAR) AS answer FROM cards WHERE part % 4 <> 0",
+}
