@@ -30,7 +30,7 @@ HINTS = {
     "exponents": ["Count how often each letter is multiplied.", "Like bases: add powers to multiply, subtract them to divide."],
     "simplify": ["Multiply out the brackets.", "Collect terms with the same letters."],
     "slope": ["Rise over run.", "Bring the line to the form y = mx + b."],
-    "midpoint": ["Average the two x values, then the two y values."],
+    "midpoint": ["Average the two x values, then the two y values.", "Write both as a point."],
     "distance": ["Square both differences and add them.", "Take the root of the sum."],
     "pythagorean": ["Which side is the longest?", "The two short sides squared add up to the long side squared."],
     "area": ["Name the shape first.", "Pick the formula that has the lengths you know."],
