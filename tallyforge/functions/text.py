@@ -12,7 +12,8 @@ INSTRUCTIONS = r"(?i)\b(?:solve(?: for [a-z])?|find [a-z]|simplify|evaluate|fact
 SIGNS = [("[−–—]", "-"), ("[×·]", "*"), ("÷", "/"), ("√", "sqrt"), ("²", "^2"), ("³", "^3"), ("π", "pi")]
 BLANK = r"[a-z]?\s*=?\s*_{2,}\s*$"
 LABEL = r"^\s*(?:\(\d{1,3}\)|\d{1,3}[.)])\s*"
-MARK = r"(?m)^[ \t]*(\d{1,2})[.)]\s+"
+#: The line break before a mark and the white space behind it belong to it, so an empty problem swallows the next mark.
+MARK = r"(?:^|\n)[ \t]*(\d{1,2})[.)]\s+"
 
 
 def replace_all(column: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -84,7 +85,7 @@ def clean_block(column: Column) -> Column:
     Crumbs are two or more last lines of one short token each, after a first line of 14 characters or more.
     """
     lines = F.filter(F.transform(F.split(plain_space(column), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    last = lambda a: F.coalesce(F.try_element_at(a, F.size(a)), F.lit(""))
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(""))
     no_last = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
     title = last(lines).rlike(r"^[A-Z][^=]{12,}\z") & (F.size(lines) > 1)
     lines = F.when(title, no_last(lines)).otherwise(lines)

@@ -43,8 +43,11 @@ def loose(base: Column) -> Column:
 def variants(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """(raw, variant, edits, loose): distinct variants of each distinct raw text with their least edits."""
     base = rows.select(F.col(raw).alias("raw")).where(F.col(raw).isNotNull()).distinct().withColumn("base", T.light_clean(F.col("raw")))
-    first = base.withColumn("s", F.concat(F.array(F.struct(F.col("base").alias("variant"), F.lit(0).alias("edits"), F.lit(False).alias("loose"))), swaps(F.col("base"))))
-    deep = F.flatten(F.transform("s", lambda v: structural(F.col("base"), v["variant"])))
+    # rules that change nothing are dropped before the next step multiplies them
+    given = F.array(F.struct(F.col("base").alias("variant"), F.lit(0).alias("edits"), F.lit(False).alias("loose")))
+    changed = F.array_distinct(F.filter(swaps(F.col("base")), lambda v: v["variant"] != F.col("base")))
+    first = base.withColumn("s", F.concat(given, changed))
+    deep = F.array_distinct(F.flatten(F.transform("s", lambda v: F.filter(structural(F.col("base"), v["variant"]), lambda w: w["variant"] != v["variant"]))))
     rows = first.select("raw", F.explode(F.concat("s", deep, loose(F.col("base")))).alias("v")).select("raw", "v.*")
     return rows.groupBy("raw", "variant").agg(F.min("edits").alias("edits"), F.min("loose").alias("loose"))
 
