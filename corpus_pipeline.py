@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     letters have no language and go.
     """
     model = lang_id.fit(docs.where(doc_split("doc_id", 4) != 2))
-    found = lang_id.predict(docs.withColumn("_text", F.col("text")).drop("lang_pred", "score"), model, "_text")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    found = lang_id.predict(docs, model, "text", "_lang", "_score")
+    return found.where((F.col("_lang") != "und") & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,8 +80,11 @@ class StringKernel:
         self.weights, self.bias = to_map @ w[:-1], w[-1]
 
     def kernel(self, x: np.ndarray) -> np.ndarray:
-        own = np.sqrt(np.maximum(1, x.sum(axis=1, dtype=np.float64)))
-        return (x[:, self.columns].astype(np.float32) @ self.marks) / (own[:, None] * self.norms)
+        out = np.zeros((len(x), len(self.norms)))
+        for a in range(0, len(x), BATCH):
+            own = np.sqrt(np.maximum(1, x[a : a + BATCH].sum(axis=1, dtype=np.float64)))
+            out[a : a + BATCH] = (x[a : a + BATCH, self.columns].astype(np.float32) @ self.marks) / (own[:, None] * self.norms)
+        return out
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class index and score, the ridge output of that class clipped to 0..1; ties go to the first class."""
@@ -106,7 +109,8 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(lang, np.packbits(p).tobytes()) for lang, p in zip(b.column(0).to_pylist(), map(presence, b.column(1).to_pylist()), strict=True) if p is not None]
+            found = zip(b.column(0).to_pylist(), (presence(t.as_py()) for t in b.column(1)), strict=True)
+            rows = [(lang, np.packbits(p).tobytes()) for lang, p in found if p is not None]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["lang", "bits"])
 
@@ -119,31 +123,28 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_
     return StringKernel(x, [r.lang for r in got])
 
 
-def predict(docs: DataFrame, model: StringKernel | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score added.
+def predict(docs: DataFrame, model: StringKernel | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """docs with a language and a score added, in columns lang_out and score_out; columns of these names are replaced.
 
-    lang_pred is a learned language, or 'und' with score 0 for null texts, texts without letters and where nothing
-    was learned. Whole texts are read; ties go to the first language in order. Columns named lang_pred or score are
-    replaced.
+    The language is a learned one, or 'und' with score 0 for null texts, texts without letters and where nothing was
+    learned. Whole texts are read, a few rows of a batch at a time; ties go to the first language in order.
     """
-    docs = docs.drop("lang_pred", "score")
-    shape = docs.schema
+    docs = docs.drop(lang_out, score_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-            for a in range(0, len(texts) if model else 0, BATCH):
-                found = [(i, p) for i, p in ((i, presence(texts[i])) for i in range(a, min(a + BATCH, len(texts)))) if p is not None]
+        for batch in batches:
+            for a in range(0, batch.num_rows, BATCH):
+                b = batch.slice(a, BATCH)
+                found = [(i, p) for i, p in enumerate(map(presence, b.column(text_col).to_pylist())) if p is not None] if model else []
+                langs, scores = ["und"] * b.num_rows, np.zeros(b.num_rows)
                 if found:
                     at = [i for i, _ in found]
-                    best, score = model(np.stack([p for _, p in found]))
-                    scores[at] = score
+                    best, scores[at] = model(np.stack([p for _, p in found]))
                     for i, k in zip(at, best, strict=True):
                         langs[i] = model.langs[k]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs), pa.array(scores)], names=[*b.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs), pa.array(scores)], names=[*b.schema.names, lang_out, score_out])
 
-    return docs.mapInArrow(run, StructType([*shape.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())]))
 
 
 def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,7 +172,7 @@ def assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=FEATURES, outputCol="_features")
 
 
-def train(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel:
+def train(findings: DataFrame, trees: int = 16, depth: int = 5, seed: int = 11) -> RandomForestClassificationModel:
     """A forest on at most FIT_ROWS labelled findings: candidate, before, after, path and label (1 secret, 0 not).
 
     Findings with a null label or candidate are left out, other nulls are empty strings. Needs one finding at least.

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ MARK = "▁"
 NEVER = "\U0010ffff"
 
 #: Texts are given to the libraries in runs of about this many bytes, so memory does not follow the batch.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -165,11 +166,11 @@ class Codec:
         return self.fast.decode_batch(ids, skip_special_tokens=False)
 
 
-def runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Slices of about RUN_BYTES each; a longer text is a slice of its own."""
     start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        held += n
         if held >= RUN_BYTES:
             yield start, i + 1
             start, held = i + 1, 0
@@ -193,15 +194,15 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(model, threads)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for a, z in runs(texts):
-                part = [t or "" for t in texts[a:z]]
+            for a, z in runs(b.column(1)):
+                texts = b.column(1).slice(a, z - a).to_pylist()
+                part = [t or "" for t in texts]
                 ids = codec.encode(part)
                 same = back = [None] * len(part)
                 if verify:
                     back = [x == y for x, y in zip(codec.decode(ids), part, strict=True)]
                     same = [x == y for x, y in zip(codec.plain.encode(part, num_threads=threads), ids, strict=True)]
-                missing = np.array([t is None for t in texts[a:z]], dtype=bool)
+                missing = np.array([t is None for t in texts], dtype=bool)
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(ends[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(missing))
@@ -220,9 +221,10 @@ def decode(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(model, threads)
         for b in batches:
-            ids = b.column(1).to_pylist()
-            texts = codec.decode([x or [] for x in ids])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t if x is not None else None for t, x in zip(texts, ids, strict=True)], pa.string())], names=["doc_id", "text"])
+            for a in range(0, b.num_rows, 64):
+                ids = b.column(1).slice(a, 64).to_pylist()
+                texts = codec.decode([x or [] for x in ids])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, 64), pa.array([t if x is not None else None for t, x in zip(texts, ids, strict=True)], pa.string())], names=["doc_id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
