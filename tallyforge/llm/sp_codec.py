@@ -10,6 +10,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +115,7 @@ def merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
 
 def build(model: Model):
     """The tokenizers pipeline of a model."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     unk = model.pieces[model.unk_id][0]
     if model.kind == BPE:
@@ -128,12 +129,12 @@ def build(model: Model):
         steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
-    steps.append(normalizers.Replace(" ", MARK))
     out.normalizer = normalizers.Sequence(steps)
+    out.pre_tokenizer = pre_tokenizers.Metaspace(replacement=MARK, prepend_scheme="never", split=False)
     own = [AddedToken(p, normalized=False, special=False) for p, _, k in model.pieces if k == USER_DEFINED]
     if own:
         out.add_tokens(own)
-    undo = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    undo = [decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " ")]
     if model.dummy_prefix:
         undo.append(decoders.Strip(" ", 1, 0))
     out.decoder = decoders.Sequence(undo)
@@ -204,7 +205,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                     same = [x == y for x, y in zip(codec.plain.encode(part, num_threads=threads), ids, strict=True)]
                 missing = np.array([t is None for t in texts], dtype=bool)
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(ends[-1]))
+                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(missing))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(a, z - a), lists, pa.array(np.diff(ends).astype(np.int64)), pa.array(back, pa.bool_()), pa.array(same, pa.bool_())],
