@@ -25,6 +25,8 @@ SLOTS = 1 << 14
 FIT_ROWS = 1024
 LANDMARKS = 160
 RIDGE = 0.05
+#: A text with this much of a landmark fits, whichever class it leans to.
+NEAR = 0.3
 BATCH = 128
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
@@ -88,9 +90,21 @@ class StringKernel:
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class index and score, the ridge output of that class clipped to 0..1; ties go to the first class."""
-        out = self.kernel(x) @ self.weights + self.bias
+        return self.judge(x)[:2]
+
+    def judge(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class index, score and fit: the kernel with the nearest landmark, below NEAR times the lead over the second class.
+
+        The outputs of all classes sum to 1 for any text, so the score of the best is never low; the fit is, for texts
+        that are like no landmark and lean to no class. Of one class alone the lead is the output.
+        """
+        kernel = self.kernel(x)
+        near = kernel.max(axis=1)
+        out = kernel @ self.weights + self.bias
         best = out.argmax(axis=1)
-        return best, np.clip(out[np.arange(len(x)), best], 0, 1)
+        top = out[np.arange(len(x)), best]
+        second = np.sort(out, axis=1)[:, -2] if out.shape[1] > 1 else 0.0
+        return best, np.clip(top, 0, 1), np.where(near < NEAR, near * (top - second), near)
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> StringKernel | None:
@@ -123,28 +137,29 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_
     return StringKernel(x, [r.lang for r in got])
 
 
-def predict(docs: DataFrame, model: StringKernel | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+def predict(docs: DataFrame, model: StringKernel | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", fit_out: str | None = None) -> DataFrame:
     """docs with a language and a score added, in columns lang_out and score_out; columns of these names are replaced.
 
-    The language is a learned one, or 'und' with score 0 for null texts, texts without letters and where nothing was
-    learned. Whole texts are read, a few rows of a batch at a time; ties go to the first language in order.
+    With fit_out, the fit of the language is added in that column too (see StringKernel.judge). The language is a
+    learned one, or 'und' with score and fit 0 for null texts, texts without letters and where nothing was learned. Whole texts are read, a few rows of a batch at a time; ties go to the first language in order.
     """
-    docs = docs.drop(lang_out, score_out)
+    more = [score_out] if fit_out is None else [score_out, fit_out]
+    docs = docs.drop(lang_out, *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH):
                 b = batch.slice(a, BATCH)
                 found = [(i, p) for i, p in enumerate(map(presence, b.column(text_col).to_pylist())) if p is not None] if model else []
-                langs, scores = ["und"] * b.num_rows, np.zeros(b.num_rows)
+                langs, scores, fits = ["und"] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows)
                 if found:
                     at = [i for i, _ in found]
-                    best, scores[at] = model(np.stack([p for _, p in found]))
+                    best, scores[at], fits[at] = model.judge(np.stack([p for _, p in found]))
                     for i, k in zip(at, best, strict=True):
                         langs[i] = model.langs[k]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs), pa.array(scores)], names=[*b.schema.names, lang_out, score_out])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs), *map(pa.array, (scores, fits)[: len(more)])], names=[*b.schema.names, lang_out, *more])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(lang_out, StringType()), *[StructField(c, DoubleType()) for c in more]]))
 
 
 def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:

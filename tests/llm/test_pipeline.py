@@ -66,3 +66,17 @@ def test_run_is_registered(spark, sf_dir):
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert corpus_pipeline.run(spark, sf_dir).where("n_ids > 0").count() > 100
+
+
+def test_junk_and_foreign_texts_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    junk = [
+        "xqzt vbnk wrtp lkjh gfds zxcv mnbv qqqq wwkk", "asdfghjkl qwertyuiop zxcvbnm", "zzzz zzzz zzzz", "kjhg 8734 xx %%% fjf kdkd q",
+        "Привет, как дела, это русский текст о погоде и природе", "これは日本語の文章です。今日は天気がいい",
+        "hvala lijepo, danas je vrijeme vrlo lijepo i idemo na more", "to jest polski tekst o pogodzie i przyrodzie w naszym kraju",
+    ]
+    planted = spark.createDataFrame([(10**9 + i, t, None, "junk", len(t)) for i, t in enumerate(junk)], SHAPE)
+    kept = [r[0] for r in rows_of(corpus_pipeline.language_id(spark, docs.unionByName(planted), ""))]
+    assert not [i for i in kept if i >= 10**9]
+    # no document with letters goes
+    assert len(kept) >= 0.998 * docs.where(docs.text.rlike(r"\p{L}")).count()
