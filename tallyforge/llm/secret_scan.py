@@ -1,6 +1,7 @@
 """Secret scans with DataFrame and SQL functions only.
 
-Candidates are long runs of key characters with a digit or a change of case inside. A random forest, trained on labelled
+Candidates are long runs of key characters with a digit or a change of case inside, and shorter values that are assigned
+to names of secrets. A random forest, trained on labelled
 findings, removes false positives: it looks at length, character transitions, dictionary coverage, the path around the
 candidate and the words beside it.
 """
@@ -18,9 +19,17 @@ from pyspark.sql import functions as F
 from tallyforge.llm.blocks import BROADCAST_ROWS
 from tallyforge.llm.common import save, table
 
-KEY = r"A-Za-z0-9+/=_\-"
-#: A run of at least 16 key characters that holds a digit or a lower-case letter before an upper-case one.
-CANDIDATE = rf"(?<![{KEY}])(?=[{KEY}]{{16}})(?=[{KEY}]*(?:[0-9]|[a-z][A-Z]))[{KEY}]+"
+KEY = r"A-Za-z0-9+/_\-"
+#: Names whose assigned values are searched at shorter lengths, and what may stand between; of fixed widths, as they are looked back for.
+NAMES = ("token", "secret", "api[ _-]key", "apikey", "access[ _-]key", "accesskey", "private[ _-]key", "client[ _-]key", "signing[ _-]key", "password", "passwd", "pwd", "credential", "credentials", "auth")
+BETWEEN = ("[=:]", "[=:] ", " [=:] ", "[=:][\"'`]", "[=:] [\"'`]", " [=:][\"'`]", " [=:] [\"'`]", "[\"'`][=:][\"'`]", "[\"'`][=:] [\"'`]", "[\"'`] [=:] [\"'`]")
+NAMED = "(?:" + "|".join(f"(?<=(?i:{n}){b})" for n in NAMES for b in BETWEEN) + ")"
+#: A value of at least 8 characters after an assignment to a name, with a digit, a change of case or a sign inside; a quoted one may hold any sign.
+INSIDE = r"(?:[0-9]|[a-z][A-Z]|[^A-Za-z0-9\s\"'`.,;:)])"
+ASSIGNED = "|".join(rf"(?<=[{before}])(?=[^{out}]{{8}})(?=[^{out}]*{INSIDE}){NAMED}[^{out}]{{7,}}[^{out}.,:)\]}}]" for before, out in (("\"'`", r"\s\"'`"), (r"=:\s", r"\s\"'`&;<>")))
+#: Else a run of at least 16 key characters that holds a digit or a lower-case letter before an upper-case one; = is padding at its end. A name before = is none.
+RUN = rf"(?<![{KEY}])(?=[{KEY}]{{16}})(?=[{KEY}]*(?:[0-9]|[a-z][A-Z]))(?![{KEY}]+=[{KEY}\"'`])[{KEY}]+(?:={{1,2}}(?![{KEY}=]))?"
+CANDIDATE = f"(?:{ASSIGNED}|{RUN})"
 CONTEXT = 48
 MASK = "[secret]"
 
@@ -99,7 +108,7 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str = "source"
     added = ["begin", "end", "candidate", "before", "after", "path"]
     src = docs.withColumns({"_text": F.col(text_col), "_path": F.coalesce(F.col(path_col).cast("string"), F.lit(""))}).drop(text_col, *added)
     src = src.where(F.col("_text").rlike(CANDIDATE))
-    src = src.withColumns({"_found": F.expr(f"regexp_extract_all(_text, r'{CANDIDATE}', 0)"), "_gaps": F.split("_text", CANDIDATE, -1)}).drop("_text")
+    src = src.withColumns({"_found": F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0)), "_gaps": F.split("_text", CANDIDATE, -1)}).drop("_text")
     at = F.aggregate(
         F.sequence(F.lit(0), F.size("_found") - 1),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
@@ -118,7 +127,7 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str = "source"
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """n made-up findings (candidate, before, after, path, label): a secret or harmless value in a sentence, by turns of fixed patterns."""
+    """Findings (candidate, before, after, path, label) of candidates() in n made-up sentences, each with a secret or harmless value by turns of fixed patterns."""
     words = F.array(*[F.lit(w) for w in ("the", "and", "report", "of", "summer", "is", "we", "find", "los", "para", "und", "nicht", "dans", "pour", "value", "note", "erle", "anthe")])
 
     def pick(k: int) -> Column:
@@ -152,20 +161,23 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         ("see ", F.concat(F.lit("usr/lib/python3/"), pick(18), F.lit("/file")), ".py", 0), ('token = "', F.concat(F.lit("your-token-here-"), (F.col("id") % 1000).cast("string")), '"', 0),
         ('api_key = "', F.lit("EXAMPLE_KEY_1234567890"), '"', 0), ("data:image/png;base64,", b64(48, 80), "", 0), ("checksum ", hexes(49, 64), "", 0), ('integrity="sha512-', b64(51, 80), '"', 0),
         ("", hexes(52, 40), "", 0), ("", slug, ".", 0), ("build ", F.concat(F.lit("2024-01-02-"), hexes(53, 12)), "", 0), ("", F.upper(hexes(54, 24)), "", 0), ("card ", digits(55, 16), "", 0),
+        ('password = "', alnum(56, 12), '"', 1), ("password: '", F.concat(alnum(57, 7), F.lit("&"), alnum(58, 9)), "'", 1), ("db_password=", alnum(59, 10), "", 1), ('"secret": "', F.concat(alnum(70, 6), F.lit("!"), alnum(71, 6)), '"', 1),
+        ("pwd=", F.concat(pick(19), F.lit("-"), alnum(72, 6)), "", 1), ('password = "', F.concat(F.lit("your-password-"), (F.col("id") % 100).cast("string")), '"', 0), ("token: ", F.concat(F.lit("example-"), pick(20), (F.col("id") % 10).cast("string")), "", 0),
     ]
     which = F.col("id") % len(patterns)
     value, before, after, label = (reduce(lambda e, p: F.when(which == p[0], p[1][k] if isinstance(p[1][k], Column) else F.lit(p[1][k])).otherwise(e), enumerate(patterns), F.lit(None)) for k in (1, 0, 2, 3))
-    return (
+    sentences = (
         spark.range(0, n, 1, 4)
-        .withColumns({"candidate": value.cast("string"), "start": before.cast("string"), "rest": after.cast("string"), "label": label.cast("double")})
+        .withColumns({"value": value.cast("string"), "start": before.cast("string"), "rest": after.cast("string"), "of_value": label.cast("double")})
         .select(
-            "candidate",
-            F.right(F.concat_ws(" ", pick(60), pick(61), pick(62), F.concat(pick(63), F.lit(". ")), "start"), F.lit(CONTEXT)).alias("before"),
-            F.left(F.concat("rest", F.lit(" "), pick(64), F.lit(" "), pick(65)), F.lit(CONTEXT)).alias("after"),
-            F.when(F.col("id") % 7 == 0, "src").otherwise("").alias("path"),
-            "label",
+            "value",
+            "of_value",
+            F.concat(F.concat_ws(" ", pick(60), pick(61), pick(62), F.concat(pick(63), F.lit(". ")), "start"), "value", "rest", F.lit(" "), pick(64), F.lit(" "), pick(65)).alias("text"),
+            F.when(F.col("id") % 7 == 0, "src").otherwise("").alias("source"),
         )
     )
+    mine = F.col("candidate").contains(F.col("value")) | F.col("value").contains(F.col("candidate"))
+    return candidates(sentences).select("candidate", "before", "after", "path", F.when(mine, F.col("of_value")).otherwise(0.0).alias("label"))
 
 
 def assembler() -> VectorAssembler:

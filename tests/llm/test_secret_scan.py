@@ -44,3 +44,13 @@ def test_every_token_of_the_documents(spark, model):
     want = {(r.doc_id, m.start(1)) for r in docs.collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text)}
     got = {(r.doc_id, r.begin) for r in secret_scan.scan(docs, model).where("is_secret").collect()}
     assert want <= got and len(got) <= len(want) + 2
+
+
+def test_assigned_values_are_found_without_their_names(spark, model):
+    hexes, mixed = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff71aa0c55d1e8842b6f9037ce", "Ab3dK9xQz7LmP2vRt5Wy8NcE4fGh6Jk1sUoIbTaV"
+    lines = [(f"export API_TOKEN={hexes}", hexes), (f"secret={mixed}", mixed), (f"the secret={mixed}== of", f"{mixed}=="), (f"clientSecretToken={mixed}", mixed),
+             ('password = "hunter2pass99"', "hunter2pass99"), ("password = 'tr0ub4dor&3horsebatter'", "tr0ub4dor&3horsebatter"), ('{"secret": "k7Qp!x9Zt2Lw"}', "k7Qp!x9Zt2Lw")]
+    docs = spark.createDataFrame([(i, t, "a") for i, (t, _) in enumerate(lines)], "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.begin, r.candidate) for r in secret_scan.scan(docs, model).where("is_secret").collect())
+    assert got == [(i, t.index(v), v) for i, (t, v) in enumerate(lines)]
+    assert {r.doc_id: r.text for r in secret_scan.redact(docs, model).collect()} == {i: t.replace(v, secret_scan.MASK) for i, (t, v) in enumerate(lines)}
