@@ -28,15 +28,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id.
+    """One row of each group of near copies: that with the smallest doc_id, of rows that repeat it the one whose text has the smallest hash.
 
-    A document without an id goes by the hash of its text, after all ids; of rows that repeat an id the one with the
-    smallest text stays.
+    A document without an id goes by the hash of its text, after all ids. Rows that repeat an id with other texts are
+    documents of their own.
     """
     by_text = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), by_text))
+    keyed = docs.withColumn("_id", F.struct(F.coalesce(F.col("doc_id").cast("long"), by_text).alias("id"), F.xxhash64("text").alias("text")))
     groups = simhash.dedup(keyed, "_id", "text")
-    kept = save(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), "kept")
+    kept = save(groups.where("doc_id = component_id").select("doc_id.id", "doc_id.text").distinct(), "kept").select(F.struct("id", "text").alias("_id"))
     first = Window.partitionBy("_id").orderBy("text", "source", "lang")
     one = keyed.join(kept, "_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
     return one.select(*docs.columns)

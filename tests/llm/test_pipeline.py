@@ -80,3 +80,10 @@ def test_junk_and_foreign_texts_go(spark):
     assert not [i for i in kept if i >= 10**9]
     # no document with letters goes
     assert len(kept) >= 0.998 * docs.where(docs.text.rlike(r"\p{L}")).count()
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma"))
+    rows = [(3, a), (5, a), (5, b), (7, b), (5, c), (5, c), (None, a), (None, c + " more words of its own " * 20)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SHAPE)
+    assert sorted((r[0] or 0, r[1]) for r in rows_of(corpus_pipeline.near_dedup(spark, docs, ""))) == sorted([(3, a), (5, b), (5, c), (0, rows[-1][1])])
