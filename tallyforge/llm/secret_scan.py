@@ -177,7 +177,9 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         )
     )
     mine = F.col("candidate").contains(F.col("value")) | F.col("value").contains(F.col("candidate"))
-    return candidates(sentences).select("candidate", "before", "after", "path", F.when(mine, F.col("of_value")).otherwise(0.0).alias("label"))
+    # written between, as the patterns would else be planned again for each use of their columns
+    found = candidates(save(sentences, "sentences"))
+    return save(found.select("candidate", "before", "after", "path", F.when(mine, F.col("of_value")).otherwise(0.0).alias("label")), "findings")
 
 
 def assembler() -> VectorAssembler:
