@@ -8,7 +8,6 @@ its recall is proven to be 1, however well the codebooks fit; visited cells are
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +23,8 @@ from tallyforge.llm.simhash import roots
 #: The codebooks are fitted on at most this many vectors, those with the smallest hashes of their ids.
 FIT_ROWS = 4096
 PART_ROWS = 8_000
+#: Vectors of a length from which their cells are told apart.
+GRID_FROM = 256
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -56,19 +57,27 @@ def half_bounds(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
     return own, np.maximum(bound, 0) ** 2
 
 
-def traverse(first: np.ndarray, second: np.ndarray, limit: float) -> Iterator[tuple[int, int]]:
-    """Cells (i, j) in rising order of first[i] + second[j], up to limit: the multi-sequence algorithm."""
-    a, b = np.argsort(first, kind="stable").tolist(), np.argsort(second, kind="stable").tolist()
-    heap, seen = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}
-    while heap:
-        bound, i, j = heapq.heappop(heap)
-        if bound > limit:
-            return
-        yield a[i], b[j]
-        for p, q in ((i + 1, j), (i, j + 1)):
-            if p < len(a) and q < len(b) and (p, q) not in seen:
-                seen.add((p, q))
-                heapq.heappush(heap, (first[a[p]] + second[b[q]], p, q))
+def traverse(first: np.ndarray, second: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, i, j) of the cells whose bound first[row, i] + second[row, j] is within limit, for all rows in rising order of the bound.
+
+    The multi-sequence traversal of many rows at once: both lists of a row are sorted, each entry of the first is met
+    with the head of the second that the limit leaves, and a row's cells are put in order.
+    """
+    a, b = np.argsort(first, axis=1, kind="stable"), np.argsort(second, axis=1, kind="stable")
+    low_a, low_b = np.take_along_axis(first, a, axis=1), np.take_along_axis(second, b, axis=1)
+    found: list[tuple[np.ndarray, ...]] = []
+    for k in range(low_a.shape[1]):
+        rows = np.flatnonzero(low_a[:, k] + low_b[:, 0] <= limit)
+        if not len(rows):
+            break
+        sums = low_a[rows, k, None] + low_b[rows]
+        at, head = np.nonzero(sums <= limit)
+        found.append((rows[at], a[rows[at], k], b[rows[at], head], sums[at, head]))
+    if not found:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    row, i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((bound, row))
+    return row[order], i[order], j[order]
 
 
 def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,13 +87,10 @@ def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], limit: float) ->
     own_b, low_b = half_bounds(x[:, half:], books[1])
     width = len(books[1])
     home = own_a * width + own_b
-    rows, cells = [], []
-    for n in range(len(x)):
-        for i, j in traverse(low_a[n], low_b[n], limit):
-            if (cell := i * width + j) >= home[n]:
-                rows.append(n)
-                cells.append(cell)
-    rows, cells = np.array(rows, dtype=np.int64), np.array(cells, dtype=np.int64)
+    rows, i, j = traverse(low_a, low_b, limit)
+    cells = i * width + j
+    later = cells >= home[rows]
+    rows, cells = rows[later], cells[later]
     return rows, cells, (cells == home[rows]).astype(np.int8)
 
 
@@ -95,7 +101,7 @@ def near_links(rows: DataFrame, cosine: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in by_key(batches, ["label", "cell", "lo", "hi"]):
+        for group in by_key(batches, ["label", "size", "cell", "lo", "hi"]):
             home = np.flatnonzero(group.column("home").to_numpy())
             n = group.num_rows
             if not len(home) or n < 2:
@@ -120,64 +126,66 @@ def near_links(rows: DataFrame, cosine: float) -> DataFrame:
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(count[hit]), pa.array(rep[label[hit]])], names=["rep", "n_links", "root"])
 
-    keys = ["label", "cell", "lo", "hi"]
+    keys = ["label", "size", "cell", "lo", "hi"]
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "rep long, n_links long, root long")
 
 
 def grid_size(n: int) -> int:
-    """Centroids a half: cells grow with the square root of the rows."""
-    return int(min(64, max(4, round(n**0.25))))
+    """Centroids a half: cells grow with the square root of the rows, so that a cell's rows grow as slowly."""
+    return max(4, round(n**0.25))
 
 
 def dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of rows.
 
     Vectors link when their labels are equal and not null and their cosine in double precision is at least cosine.
-    Null, empty, zero, wrong-length vectors and those with null or non-finite components link with nothing, like those
-    of a null label. Equal vectors of a label are one class while linking; each counts the other copies as links.
+    Null, empty and zero vectors and those with null or non-finite components link with nothing, like those of a null
+    label; vectors of different lengths do not link. Labels may be of any type that has a string form. Equal vectors of a label are one class while linking; each counts the other copies as links.
     component_id is the smallest id reachable; repeated ids each keep their row, and a null id has a null component.
     Empty tables give no rows; other columns are ignored.
     """
-    src = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).cast("long").alias("label"))
-    good = src.where(valid_vector("embedding"))
-    size = good.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    if not size:
-        return src.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    size = size[0]["size"]
-    usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & valid_vector("embedding", size)
+    src = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).cast("string").alias("label"))
+    usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & valid_vector("embedding")
     # classes of equal vectors; 0.0 + x turns -0.0 into 0.0
     keyed = src.where(usable).withColumn("key", F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0)))
     classes = save(keyed.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    n = classes.count()
-    fit = np.array([r.key for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("key").collect()], dtype=np.float64).reshape(-1, size)
-    half = size - size // 2
-    fit = units(fit)
-    k = grid_size(n)
-    books = (fit_codebook(fit[:, :half], k), fit_codebook(fit[:, half:], k) if size > 1 else np.zeros((1, 0)))
     limit = 2 - 2 * cosine + 1e-9
+    # lengths with few vectors have one cell, so there are few codebooks
+    books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for size, n in classes.groupBy(F.size("key").alias("size")).count().where(F.col("count") > GRID_FROM).collect():
+        fit = classes.where(F.size("key") == size).orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("key").collect()
+        fit, half, k = units(np.array([r.key for r in fit], dtype=np.float64)), size - size // 2, grid_size(n)
+        books[size] = (fit_codebook(fit[:, :half], k), fit_codebook(fit[:, half:], k) if size > 1 else np.zeros((1, 0)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = units(vectors(b.column("key")))
-            i, cell, home = visits(x, books, limit)
-            for a in range(0, len(i), 20_000):
-                s = slice(a, a + 20_000)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(i[s]) + 1, dtype=np.int32) * size), pa.array(x[i[s]].ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("label").take(pa.array(i[s])), pa.array(cell[s]), pa.array(home[s]), b.column("rep").take(pa.array(i[s])), b.column("copies").take(pa.array(i[s])), flat],
-                    names=["label", "cell", "home", "rep", "copies", "unit"],
-                )
-
-    placed = classes.mapInArrow(index, "label long, cell long, home byte, rep long, copies long, unit array<double>")
-    found = save(near_links(split_hot(placed, ["label", "cell"], "rep", PART_ROWS), cosine), "near")
+        for whole in batches:
+            sizes = whole.column("key").value_lengths().to_numpy()
+            for size in np.unique(sizes).tolist():
+                b = whole.take(pa.array(np.flatnonzero(sizes == size)))
+                for at in range(0, b.num_rows, 2_000):
+                    part = b.slice(at, 2_000)
+                    x = units(vectors(part.column("key")))
+                    n = np.arange(len(x))
+                    i, cell, home = visits(x, books[size], limit) if size in books else (n, np.zeros_like(n), np.ones_like(n).astype(np.int8))
+                    for a in range(0, len(i), 20_000):
+                        s = slice(a, a + 20_000)
+                        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(i[s]) + 1, dtype=np.int32) * size), pa.array(x[i[s]].ravel()))
+                        of = pa.array(i[s])
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column("label").take(of), pa.array(np.full(len(of), size, np.int32)), pa.array(cell[s]), pa.array(home[s]), part.column("rep").take(of), part.column("copies").take(of), flat],
+                            names=["label", "size", "cell", "home", "rep", "copies", "unit"],
+                        )
+
+    placed = classes.mapInArrow(index, "label string, size int, cell long, home byte, rep long, copies long, unit array<double>")
+    found = save(near_links(split_hot(placed, ["label", "size", "cell"], "rep", PART_ROWS), cosine), "near")
     comp = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     totals = found.groupBy("rep").agg(F.sum("n_links").alias("links"))
-    per_class = (
+    # written before the join, so that the partition of a hot class can be split (spark.sql.adaptive.skewJoin)
+    per_class = save(
         classes.join(totals, "rep", "left")
         .join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")),
+        "per_class",
     )
     linked = keyed.select("vec_id", "label", "key").join(per_class, ["label", "key"]).select("vec_id", "n_links", "component_id")
     alone = src.where(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -170,8 +170,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     comp = components(edges)
     named = classes.join(comp, classes.fp == comp.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
+    # written before the join: a hot fingerprint's partition of prints can then be split (spark.sql.adaptive.skewJoin)
+    by_fp = save(named.join(least, "component").select("fp", "component_id"), "by_fp")
     out = prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    forget(classes)
     forget(edges)
     return out
 

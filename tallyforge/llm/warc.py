@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import shared_dir, table
+from tallyforge.llm.common import save, shared_dir, table
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
@@ -115,7 +115,8 @@ def plan_records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """(page_id, url, payload, digest, first): first is the smallest page_id with the payload where that is long enough.
 
     The smallest id is found by partial aggregates over digests, so a payload that a third of all pages share is
-    gathered nowhere. Payloads are joined to it by digest alone; only (page_id, digest) rows are shuffled for the minima.
+    gathered nowhere; they are written before the join, so that the partition of a digest that many pages share can be
+    split (spark.sql.adaptive.skewJoin). Where they are not few, the join shuffles each payload once.
     """
     src = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary")).alias("payload")
@@ -127,7 +128,7 @@ def plan_records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
         .where("n > 1 and first is not null")
         .select("digest", "first")
     )
-    return src.join(shared, "digest", "left")
+    return src.join(save(shared, "shared"), "digest", "left")
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 100, archive_bytes: int = ARCHIVE_BYTES, level: int = 6) -> DataFrame:

@@ -67,16 +67,28 @@ def test_link_edges(spark):
 
 def test_traversal_is_ordered_and_whole():
     rng = np.random.default_rng(0)
-    a, b = rng.random(9), rng.random(7)
-    cells = list(multi_index.traverse(a, b, 1.1))
-    sums = [a[i] + b[j] for i, j in cells]
-    assert sums == sorted(sums)
-    assert set(cells) == {(i, j) for i in range(9) for j in range(7) if a[i] + b[j] <= 1.1}
+    a, b = rng.random((5, 9)), rng.random((5, 7))
+    row, i, j = multi_index.traverse(a, b, 1.1)
+    sums = a[row, i] + b[row, j]
+    assert list(zip(row, sums, strict=True)) == sorted(zip(row, sums, strict=True))
+    assert set(zip(row, i, j, strict=True)) == {(n, i, j) for n in range(5) for i in range(9) for j in range(7) if a[n, i] + b[n, j] <= 1.1}
+    assert all(len(x) == 0 for x in multi_index.traverse(a, b, -1))
+
+
+def test_links_of_all_lengths_and_text_labels(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "GRID_FROM", 100)
+    rows = [(i, v, f"label {c}") for i, v, c in clustered(3, 30, 12, 9, 0.1)]
+    n = len(rows)
+    rows += [(n + i, v, f"label {c}") for i, v, c in clustered(4, 12, 8, 5, 0.1)] + [(5000, [1.0], "a"), (5001, [2.0], "a"), (5002, [2.0], "b"), (5003, [-2.0], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    want = brute_links(rows)
+    assert want[5000][:2] == (1, 5000) and want[5002][0] == 0
+    assert got(multi_index.dedup(df)) == want
 
 
 def brute_nearest(rows, query, k=10):
     q = np.array(dict((i, v) for i, v, _ in rows)[query], float)
-    d = sorted((math.sqrt(((np.array(v, float) - q) ** 2).sum()), i) for i, v, _ in rows if i != query and usable(v))
+    d = sorted((math.sqrt(((np.array(v, float) - q) ** 2).sum()), i) for i, v, _ in rows if i != query and usable(v) and len(v) == len(q))
     return [(i, s) for s, i in d[:k]]
 
 
@@ -104,6 +116,21 @@ def test_search_edges(spark):
     assert hash_search.search(df.limit(0), df).count() == 0
 
 
+def test_search_of_all_lengths(spark, monkeypatch):
+    monkeypatch.setattr(hash_search, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6 if i % 5 else 3)], 0) for i in range(300)] + [(301, [1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found, hits = {}, 0
+    for r in hash_search.search(df, df.where("vec_id % 7 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, near in found.items():
+        want = {i for i, _ in brute_nearest(rows, q)}
+        assert len(near) == len(want) == 10
+        hits += len(near & want)
+    assert set(found) == set(range(0, 300, 7)) and hits >= 0.9 * 10 * len(found)
+
+
 def test_probing_finds_every_code_in_the_radius():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 256, (400, 5), dtype=np.uint8)
