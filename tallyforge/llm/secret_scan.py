@@ -32,6 +32,8 @@ RUN = rf"(?<![{KEY}])(?=[{KEY}]{{16}})(?=[{KEY}]*(?:[0-9]|[a-z][A-Z]))(?![{KEY}]
 CANDIDATE = f"(?:{ASSIGNED}|{RUN})"
 CONTEXT = 48
 MASK = "[secret]"
+#: Stands for a candidate while its text is split.
+MARK = "\u0000"
 
 #: Fixed word lists, in natural order.
 DICTIONARY = (
@@ -108,7 +110,9 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str = "source"
     added = ["begin", "end", "candidate", "before", "after", "path"]
     src = docs.withColumns({"_text": F.col(text_col), "_path": F.coalesce(F.col(path_col).cast("string"), F.lit(""))}).drop(text_col, *added)
     src = src.where(F.col("_text").rlike(CANDIDATE))
-    src = src.withColumns({"_found": F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0)), "_gaps": F.split("_text", CANDIDATE, -1)}).drop("_text")
+    # gaps are split at a mark that the plain text does not hold, as split() would compile the long pattern for each row
+    plain = F.translate("_text", MARK, "\ufffd")
+    src = src.withColumns({"_found": F.regexp_extract_all(plain, F.lit(CANDIDATE), F.lit(0)), "_gaps": F.split(F.regexp_replace(plain, CANDIDATE, MARK), MARK, -1)})
     at = F.aggregate(
         F.sequence(F.lit(0), F.size("_found") - 1),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
@@ -119,65 +123,79 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str = "source"
         lambda acc: acc["all"],
     )
     one = F.transform(
-        at, lambda begin, i: F.struct(begin.alias("begin"), F.get("_found", i).alias("candidate"), F.right(F.get("_gaps", i), F.lit(CONTEXT)).alias("before"), F.left(F.get("_gaps", i + 1), F.lit(CONTEXT)).alias("after"))
+        at, lambda begin, i: F.struct(begin.alias("begin"), F.substring("_text", begin + 1, F.length(F.get("_found", i))).alias("candidate"), F.right(F.get("_gaps", i), F.lit(CONTEXT)).alias("before"), F.left(F.get("_gaps", i + 1), F.lit(CONTEXT)).alias("after"))
     )
-    kept = [c for c in src.columns if c not in ("_found", "_gaps", "_path")]
+    kept = [c for c in src.columns if c not in ("_found", "_gaps", "_path", "_text")]
     rows = src.select(*kept, F.col("_path").alias("path"), F.explode(one).alias("_one"))
     return rows.select(*kept, F.col("_one.begin").alias("begin"), (F.col("_one.begin") + F.length("_one.candidate")).alias("end"), "_one.candidate", "_one.before", "_one.after", "path")
 
 
+#: Made-up findings: before, prefix, kind of value, its seed and size, joint, kind of tail, its seed and size, after, label.
+#: Kinds: x hex, X upper-case hex, a letters and digits, A upper-case ones, b base64, d digits, u UUID, s slug, c camel case, w a word, n a number, - none.
+PATTERNS = [
+    ('token = "', "", "x", 30, 40, "", "-", 0, 0, '"', 1), ("api_key: '", "", "a", 31, 32, "", "-", 0, 0, "'", 1), ("secret=", "", "b", 32, 40, "", "-", 0, 0, "", 1), ('password = "', "", "a", 33, 18, "", "-", 0, 0, '"', 1),
+    ("aws_access_key_id = ", "AKIA", "A", 21, 16, "", "-", 0, 0, "", 1), ("Authorization: Bearer ", "", "a", 34, 60, "", "-", 0, 0, "", 1), ("use ", "ghp_", "a", 35, 36, "", "-", 0, 0, " for", 1),
+    ("client_secret='", "", "x", 36, 32, "", "-", 0, 0, "'", 1), ("export API_TOKEN=", "", "x", 37, 64, "", "-", 0, 0, "", 1), ("", "sk-", "a", 38, 48, "", "-", 0, 0, "", 1), ('private_key = "', "", "x", 39, 64, "", "-", 0, 0, '"', 1),
+    ("pwd: ", "", "a", 40, 16, "", "-", 0, 0, ".", 1), ("the access token is ", "", "a", 41, 24, "", "-", 0, 0, "", 1),
+    ("commit ", "", "x", 42, 40, "", "-", 0, 0, " by", 0), ("sha256:", "", "x", 43, 64, "", "-", 0, 0, "", 0), ("md5 = ", "", "x", 44, 32, "", "-", 0, 0, "", 0), ('<img src="/assets/', "", "x", 45, 32, "", "-", 0, 0, '.png"', 0),
+    ("uuid ", "", "u", 1, 0, "", "-", 0, 0, "", 0), ("https://site.net/news/", "", "s", 11, 0, "", "-", 0, 0, "", 0), ("order number ", "", "d", 46, 16, "", "-", 0, 0, ".", 0), ("", "", "d", 47, 16, "", "-", 0, 0, "", 0),
+    ("class ", "", "c", 15, 0, "", "-", 0, 0, " {", 0), ("", "", "c", 15, 0, "", "-", 0, 0, "(", 0), ("see ", "usr/lib/python3/", "w", 18, 0, "/file", "-", 0, 0, ".py", 0),
+    ('token = "', "your-token-here-", "-", 0, 0, "", "n", 0, 1000, '"', 0), ('api_key = "', "EXAMPLE_KEY_1234567890", "-", 0, 0, "", "-", 0, 0, '"', 0), ("data:image/png;base64,", "", "b", 48, 80, "", "-", 0, 0, "", 0),
+    ("checksum ", "", "x", 49, 64, "", "-", 0, 0, "", 0), ('integrity="sha512-', "", "b", 51, 80, "", "-", 0, 0, '"', 0), ("", "", "x", 52, 40, "", "-", 0, 0, "", 0), ("", "", "s", 11, 0, "", "-", 0, 0, ".", 0),
+    ("build ", "2024-01-02-", "x", 53, 12, "", "-", 0, 0, "", 0), ("", "", "X", 54, 24, "", "-", 0, 0, "", 0), ("card ", "", "d", 55, 16, "", "-", 0, 0, "", 0),
+    ('password = "', "", "a", 56, 12, "", "-", 0, 0, '"', 1), ("password: '", "", "a", 57, 7, "&", "a", 58, 9, "'", 1), ("db_password=", "", "a", 59, 10, "", "-", 0, 0, "", 1), ('"secret": "', "", "a", 70, 6, "!", "a", 71, 6, '"', 1),
+    ("pwd=", "", "w", 19, 0, "-", "a", 72, 6, "", 1), ('password = "', "your-password-", "-", 0, 0, "", "n", 0, 100, '"', 0), ("token: ", "example-", "w", 20, 0, "", "n", 0, 10, "", 0),
+]
+FILLERS = ("the", "and", "report", "of", "summer", "is", "we", "find", "los", "para", "und", "nicht", "dans", "pour", "value", "note", "erle", "anthe")
+
+
+def made_value(kind: Column, k: Column, size: Column) -> Column:
+    """A value of a kind of PATTERNS by the hash of the row's id and a seed, of size characters where the kind has no shape of its own."""
+
+    def keyed(sep: str, seed: Column) -> Column:
+        return F.concat_ws(sep, seed, "id").cast("binary")
+
+    def hexes(seed: Column) -> Column:
+        return F.concat(F.sha2(keyed(":", seed), 256), F.sha2(keyed(";", seed), 256))
+
+    letters = F.substring(F.regexp_replace(F.concat(*[F.base64(F.unhex(F.sha2(keyed(sep, k), 512))) for sep in "ab"]), "[+/=]", ""), F.lit(1), size)
+    base64 = F.substring(F.base64(F.unhex(F.sha2(keyed("c", k), 512))), F.lit(1), size)
+    digits = F.substring(F.concat(F.lit("4"), F.regexp_replace(F.concat(hexes(k), hexes(k + 50)), "[a-f]", "")), F.lit(1), size)
+    uuid = F.concat_ws("-", *[F.substring(hexes(k + i), F.lit(1), F.lit(n)) for i, n in enumerate((8, 4, 4, 4, 12))])
+    slug = F.concat_ws("-", *[filler(k + i) for i in range(4)], (F.col("id") % 900 + 100).cast("string"))
+    camel = F.concat(F.initcap(filler(k)), F.initcap(filler(k + 1)), F.lit("Controller"), F.initcap(filler(k + 2)), F.lit("Factory"), (F.col("id") % 10).cast("string"))
+    plain = F.substring(hexes(k), F.lit(1), size)
+    return (
+        F.when(kind == "x", plain).when(kind == "X", F.upper(plain)).when(kind == "a", letters).when(kind == "A", F.upper(letters)).when(kind == "b", base64).when(kind == "d", digits)
+        .when(kind == "u", uuid).when(kind == "s", slug).when(kind == "c", camel).when(kind == "w", filler(k)).when(kind == "n", (F.col("id") % size).cast("string")).otherwise("")
+    )
+
+
+def filler(k: Column) -> Column:
+    return F.get(F.array(*[F.lit(w) for w in FILLERS]), F.pmod(F.xxhash64("id", k), F.lit(len(FILLERS))).cast("int"))
+
+
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """Findings (candidate, before, after, path, label) of candidates() in n made-up sentences, each with a secret or harmless value by turns of fixed patterns."""
-    words = F.array(*[F.lit(w) for w in ("the", "and", "report", "of", "summer", "is", "we", "find", "los", "para", "und", "nicht", "dans", "pour", "value", "note", "erle", "anthe")])
-
-    def pick(k: int) -> Column:
-        return F.get(words, F.pmod(F.xxhash64("id", F.lit(k)), F.size(words)).cast("int"))
-
-    def hexes(k: int, size: int) -> Column:
-        return F.substring(F.concat(F.sha2(F.concat_ws(":", F.lit(k), "id").cast("binary"), 256), F.sha2(F.concat_ws(";", F.lit(k), "id").cast("binary"), 256)), 1, size)
-
-    def alnum(k: int, size: int) -> Column:
-        raw = F.concat(*[F.base64(F.unhex(F.sha2(F.concat_ws(sep, F.lit(k), "id").cast("binary"), 512))) for sep in "ab"])
-        return F.substring(F.regexp_replace(raw, "[+/=]", ""), 1, size)
-
-    def b64(k: int, size: int) -> Column:
-        return F.substring(F.base64(F.unhex(F.sha2(F.concat_ws("c", F.lit(k), "id").cast("binary"), 512))), 1, size)
-
-    def digits(k: int, size: int) -> Column:
-        return F.substring(F.concat(F.lit("4"), F.regexp_replace(F.concat(hexes(k, 64), hexes(k + 50, 64)), "[a-f]", "")), 1, size)
-
-    uuid = F.concat_ws("-", hexes(1, 8), hexes(2, 4), hexes(3, 4), hexes(4, 4), hexes(5, 12))
-    slug = F.concat_ws("-", pick(11), pick(12), pick(13), pick(14), (F.col("id") % 900 + 100).cast("string"))
-    camel = F.concat(F.initcap(pick(15)), F.initcap(pick(16)), F.lit("Controller"), F.initcap(pick(17)), F.lit("Factory"), (F.col("id") % 10).cast("string"))
-    upper = F.upper(alnum(21, 16))
-    #: before, value, after, label
-    patterns = [
-        ('token = "', hexes(30, 40), '"', 1), ("api_key: '", alnum(31, 32), "'", 1), ("secret=", b64(32, 40), "", 1), ('password = "', alnum(33, 18), '"', 1),
-        ("aws_access_key_id = ", F.concat(F.lit("AKIA"), upper), "", 1), ("Authorization: Bearer ", alnum(34, 60), "", 1), ("use ", F.concat(F.lit("ghp_"), alnum(35, 36)), " for", 1),
-        ("client_secret='", hexes(36, 32), "'", 1), ("export API_TOKEN=", hexes(37, 64), "", 1), ("", F.concat(F.lit("sk-"), alnum(38, 48)), "", 1), ('private_key = "', hexes(39, 64), '"', 1),
-        ("pwd: ", alnum(40, 16), ".", 1), ("the access token is ", alnum(41, 24), "", 1),
-        ("commit ", hexes(42, 40), " by", 0), ("sha256:", hexes(43, 64), "", 0), ("md5 = ", hexes(44, 32), "", 0), ('<img src="/assets/', hexes(45, 32), '.png"', 0), ("uuid ", uuid, "", 0),
-        ("https://site.net/news/", slug, "", 0), ("order number ", digits(46, 16), ".", 0), ("", digits(47, 16), "", 0), ("class ", camel, " {", 0), ("", camel, "(", 0),
-        ("see ", F.concat(F.lit("usr/lib/python3/"), pick(18), F.lit("/file")), ".py", 0), ('token = "', F.concat(F.lit("your-token-here-"), (F.col("id") % 1000).cast("string")), '"', 0),
-        ('api_key = "', F.lit("EXAMPLE_KEY_1234567890"), '"', 0), ("data:image/png;base64,", b64(48, 80), "", 0), ("checksum ", hexes(49, 64), "", 0), ('integrity="sha512-', b64(51, 80), '"', 0),
-        ("", hexes(52, 40), "", 0), ("", slug, ".", 0), ("build ", F.concat(F.lit("2024-01-02-"), hexes(53, 12)), "", 0), ("", F.upper(hexes(54, 24)), "", 0), ("card ", digits(55, 16), "", 0),
-        ('password = "', alnum(56, 12), '"', 1), ("password: '", F.concat(alnum(57, 7), F.lit("&"), alnum(58, 9)), "'", 1), ("db_password=", alnum(59, 10), "", 1), ('"secret": "', F.concat(alnum(70, 6), F.lit("!"), alnum(71, 6)), '"', 1),
-        ("pwd=", F.concat(pick(19), F.lit("-"), alnum(72, 6)), "", 1), ('password = "', F.concat(F.lit("your-password-"), (F.col("id") % 100).cast("string")), '"', 0), ("token: ", F.concat(F.lit("example-"), pick(20), (F.col("id") % 10).cast("string")), "", 0),
-    ]
-    which = F.col("id") % len(patterns)
-    value, before, after, label = (reduce(lambda e, p: F.when(which == p[0], p[1][k] if isinstance(p[1][k], Column) else F.lit(p[1][k])).otherwise(e), enumerate(patterns), F.lit(None)) for k in (1, 0, 2, 3))
-    sentences = (
-        spark.range(0, n, 1, 4)
-        .withColumns({"value": value.cast("string"), "start": before.cast("string"), "rest": after.cast("string"), "of_value": label.cast("double")})
-        .select(
-            "value",
-            "of_value",
-            F.concat(F.concat_ws(" ", pick(60), pick(61), pick(62), F.concat(pick(63), F.lit(". ")), "start"), "value", "rest", F.lit(" "), pick(64), F.lit(" "), pick(65)).alias("text"),
-            F.when(F.col("id") % 7 == 0, "src").otherwise("").alias("source"),
-        )
+    """Findings (candidate, before, after, path, label) of candidates() in n made-up sentences, each with a secret or harmless value by turns of PATTERNS."""
+    names = "which, start, prefix, kind, k, size, joint, tail, tail_k, tail_size, rest, of_value"
+    quoted = lambda v: "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+    lines = ", ".join(f"({i}, {', '.join(map(quoted, p))})" for i, p in enumerate(PATTERNS))
+    patterns = spark.sql(f"SELECT * FROM VALUES {lines} AS p({names})")
+    rows = spark.range(0, n, 1, 4).join(F.broadcast(patterns), F.col("id") % len(PATTERNS) == F.col("which"))
+    value = F.concat("prefix", made_value(F.col("kind"), F.col("k"), F.col("size")), "joint", made_value(F.col("tail"), F.col("tail_k"), F.col("tail_size")))
+    # written between, as the expressions would else be planned again for each use of their columns
+    made = save(rows.select("id", "start", "rest", "of_value", value.alias("value")), "values")
+
+    def word(k: int) -> Column:
+        return filler(F.lit(k))
+
+    sentences = made.select(
+        "value",
+        F.col("of_value").cast("double").alias("of_value"),
+        F.concat(F.concat_ws(" ", word(60), word(61), word(62), F.concat(word(63), F.lit(". ")), "start"), "value", "rest", F.lit(" "), word(64), F.lit(" "), word(65)).alias("text"),
+        F.when(F.col("id") % 7 == 0, "src").otherwise("").alias("source"),
     )
     mine = F.col("candidate").contains(F.col("value")) | F.col("value").contains(F.col("candidate"))
-    # written between, as the patterns would else be planned again for each use of their columns
     found = candidates(save(sentences, "sentences"))
     return save(found.select("candidate", "before", "after", "path", F.when(mine, F.col("of_value")).otherwise(0.0).alias("label")), "findings")
 
@@ -193,7 +211,9 @@ def train(findings: DataFrame, trees: int = 16, depth: int = 5, seed: int = 11)
     """
     text = {c: F.coalesce(c, F.lit("")) for c in ("before", "after", "path")}
     rows = findings.where("label is not null and length(candidate) > 1").withColumns(text).orderBy(F.xxhash64("candidate", "before", "after")).limit(FIT_ROWS)
-    data = assembler().transform(with_features(rows)).select("_features", "label")
+    # features are computed once, side by side; the fit passes over them several times
+    data = save(with_features(rows.repartition(8)).select(*FEATURES, "label"), "features")
+    data = assembler().transform(data).select("_features", "label")
     return RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=64).fit(data)
 
 
