@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed list, in order of precedence: type and pattern on lower-case text padded with spaces. The last two are tried after all others.
+#: Fixed list, in order of precedence: type and its clauses, one of which must hold: all its patterns are found in the
+#: lower-case text padded with spaces. The last two types look at the form of the text and are tried after all others.
 TYPES = [
-    ("system", r"system|two equations|substitution|elimination"),
-    ("factor", r"factor"),
-    ("exponents", r"^[^=]*(\^|exponent)[^=]*$|positive exponents"),
-    ("simplify", r"simplify|expand|like terms|distribut"),
-    ("slope", r"slope|intercept|equation of (the|a) line"),
-    ("midpoint", r"midpoint"),
-    ("distance", r"distance between|length of (the|a) segment"),
-    ("pythagorean", r"hypotenuse|right triangle"),
-    ("area", r"(^|[^e]) area|perimeter|circumference"),
-    ("volume", r"volume|surface area"),
-    ("angles", r"angle|complementary|supplementary|transversal|parallel lines"),
-    ("congruence", r"congruent|similar|postulate|[^a-z](sss|sas|asa|aas)[^a-z]"),
-    ("evaluate", r"evaluate|find the value|substitute"),
-    ("quadratic", r"quadratic|[a-z]\^2[^=]*=|[a-z]²[^=]*="),
-    ("linear", r"solve|[a-z][^=]*=|=[^=]*[a-z]"),
+    ("system", [(r"system of|\btwo equations\b|by substitution|by elimination|solve the system",)]),
+    ("factor", [(r"factor",)]),
+    ("exponents", [(r"\^|exponent|power of a power", r"^[^=]*\z"), (r"positive exponents",)]),
+    ("simplify", [(r"simplif|expand|combine like terms|distribute",)]),
+    ("slope", [(r"slope|y-?intercept|equation of (?:the )?line|y\s*=\s*mx",)]),
+    ("midpoint", [(r"midpoint",)]),
+    ("distance", [(r"distance between|length of (?:the )?segment",)]),
+    ("pythagorean", [(r"pythag|hypotenuse|right triangle",)]),
+    ("area", [(r"\b(?:area|perimeter|circumference)\b",)]),
+    ("volume", [(r"\bvolume\b|surface area",)]),
+    ("angles", [(r"\bangle|complementary|supplementary|vertical angles|transversal|parallel lines",)]),
+    ("congruence", [(r"congruent|\b(?:similar|sss|sas|asa|aas)\b|corresponding sides",)]),
+    ("evaluate", [(r"evaluate|find the value|when x\s*=|substitut",)]),
+    ("quadratic", [(r"quadratic",), (r"solv|=|zero|root", r"[a-z]\s*[*^]\s*2\b|[a-z]²|x\^2|x2\s*[-+]")]),
+    ("linear", [(r"solve|=", r"[a-z]")]),
 ]
+#: The names of the types.
+LABELS = {
+    "system": "System of equations", "factor": "Factoring", "exponents": "Properties of exponents", "simplify": "Simplify / expressions", "slope": "Slope / line equations", "midpoint": "Midpoint",
+    "distance": "Distance between points", "pythagorean": "Pythagorean theorem", "area": "Area / perimeter", "volume": "Volume / surface area", "angles": "Angles",
+    "congruence": "Congruent / similar figures", "evaluate": "Evaluate / substitute", "quadratic": "Quadratic equation", "linear": "Linear equation", "general": "General problem",
+}
 
 HINTS = {
     "system": ["Write one variable in terms of the other.", "Put that into the second equation."],
@@ -45,13 +55,20 @@ HINTS = {
 
 
 def classify(column: Column) -> Column:
+    """The type of a text; 'general' where no clause holds."""
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(column, F.lit(""))), F.lit(" "))
-    out = None
-    for name, pattern in TYPES:
-        out = F.when(padded.rlike(pattern), name) if out is None else out.when(padded.rlike(pattern), name)
+    out = F
+    for name, clauses in TYPES:
+        holds = reduce(or_, [reduce(and_, [padded.rlike(p) for p in clause]) for clause in clauses])
+        out = out.when(holds, name)
     return out.otherwise("general")
 
 
+def label(type_column: Column) -> Column:
+    """The name of a type."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), type_column)
+
+
 def hints(spark: SparkSession) -> DataFrame:
     """The dimension (type_label, hints), one row for each type."""
     return spark.createDataFrame([(k, v) for k, v in HINTS.items()], "type_label string, hints array<string>")

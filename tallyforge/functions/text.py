@@ -13,7 +13,13 @@ SIGNS = [("[−–—]", "-"), ("[×·]", "*"), ("÷", "/"), ("√", "sqrt"), ("
 BLANK = r"[a-z]?\s*=?\s*_{2,}\s*$"
 LABEL = r"^\s*(?:\(\d{1,3}\)|\d{1,3}[.)])\s*"
 #: The line break before a mark and the white space behind it belong to it, so an empty problem swallows the next mark.
-MARK = r"(?:^|\n)[ \t]*(\d{1,2})[.)]\s+"
+MARK = r"(?:^|\n)\s*(\d{1,2})\s*[.)]\s+"
+#: Fixed patterns of what follows a problem: a line that is a title, a form line, a lone letter with a power, an answer in braces and in words.
+TITLE_LINE = r"^[A-Z][A-Za-z0-9 ,'\"&()—.:!?-]{12,}\z"
+FORM_LINE = r"(?i)^(?:name|date|period|class|score)\b"
+CRUMB = r"(?i)^[a-z](?:\^-?\(?[0-9]+\)?)?\z"
+BRACES = r"\{\s*([^{}]{0,48}?)\s*\}\s*\z"
+CLOSING = r"(?i)(No solutions?|All real numbers|Infinitely many solutions)\.?\s*\z"
 
 
 def replace_all(column: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -74,39 +80,40 @@ def split_problems(column: Column) -> Column:
 
 
 def paragraphs(column: Column) -> Column:
-    """Paragraphs of more than four characters."""
-    return F.filter(F.transform(F.split(plain_space(column), r"\n\s*\n"), lambda p: F.trim(p, F.lit(" \n\t"))), lambda p: F.length(p) > 4)
+    """Cleaned paragraphs of more than four characters."""
+    return F.filter(F.transform(F.split(plain_space(column), r"\n\s*\n"), clean_block), lambda p: F.length(p) > 4)
 
 
 def clean_block(column: Column) -> Column:
     """Trimmed lines without empty ones, without a title or form line at the end and without a run of crumbs.
 
-    A title is a capitalised line of 13 characters or more without '='; a form line asks for a name, date or score.
-    Crumbs are two or more last lines of one short token each, after a first line of 14 characters or more.
+    A title is a capitalised line of 13 characters or more without '='; a form line begins with name, date, period,
+    class or score. Crumbs are two or more last lines of one letter with or without a power, in a block of three lines
+    or more whose first has 14 characters that are not white space; a number is no crumb, as it may be a denominator.
     """
-    lines = F.filter(F.transform(F.split(plain_space(column), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.translate(plain_space(column), "\r", ""), "\n"), lambda x: F.trim(x, F.lit(" \t\f\u000b"))), lambda x: x != "")
     last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(""))
     no_last = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
-    title = last(lines).rlike(r"^[A-Z][^=]{12,}\z") & (F.size(lines) > 1)
-    lines = F.when(title, no_last(lines)).otherwise(lines)
-    form = last(lines).rlike(r"(?i)^(?:name|date|period|score|class)\b") & (F.size(lines) > 1)
-    lines = F.when(form, no_last(lines)).otherwise(lines)
-    solid = F.aggregate(
-        F.transform(lines, lambda x, i: F.when(x.rlike(r"\s") | (F.length(x) > 3), i + 1).otherwise(F.lit(0))), F.lit(0), lambda a, b: F.greatest(a, b)
-    )
-    crumbs = (F.size(lines) >= 3) & (F.length(F.get(lines, F.lit(0))) >= 14) & (F.size(lines) - solid >= 2) & (solid > 0)
+    for line in (TITLE_LINE, FORM_LINE):
+        lines = F.when(last(lines).rlike(line) & (F.size(lines) > 1), no_last(lines)).otherwise(lines)
+    bare = F.transform(lines, lambda x: F.regexp_replace(x, r"\s", ""))
+    # the number of the last line that is no crumb, 0 if all are
+    solid = F.aggregate(F.transform(bare, lambda x, i: F.when(x.rlike(CRUMB), 0).otherwise(i + 1)), F.lit(0), lambda a, b: F.greatest(a, b))
+    crumbs = (F.size(lines) >= 3) & (F.length(F.get(bare, F.lit(0))) >= 14) & (F.size(lines) - solid >= 2)
     return F.array_join(F.when(crumbs, F.slice(lines, 1, F.greatest(solid, F.lit(1)))).otherwise(lines), "\n")
 
 
 def inline_answer(column: Column) -> Column:
-    """A short answer in braces at the end that has a digit or begins with x, no or all; or a closing phrase for none or all."""
-    braces = F.nullif(F.regexp_extract(column, r"\{([^{}]{1,48})\}\s*\z", 1), F.lit(""))
-    phrase = F.nullif(F.lower(F.regexp_extract(column, r"(?i)\b(no solution|all real numbers|infinitely many solutions)\.?\s*\z", 1)), F.lit(""))
-    return F.coalesce(F.when(braces.rlike(r"\d|^(?:x|no|all)"), F.trim(braces)), phrase)
+    """What stands in braces at the end, if it has a digit or begins with x, no or all (else ''); without braces a closing phrase less its last s; else null."""
+    braces = F.regexp_extract(column, BRACES, 1)
+    inner = F.trim(F.regexp_replace(F.regexp_replace(braces, r"\s*−\s*", "-"), r"\s+", " "))
+    phrase = F.nullif(F.regexp_replace(F.regexp_extract(column, CLOSING, 1), "(?i)s\\z", ""), F.lit(""))
+    return F.when(column.rlike(BRACES), F.when(inner.rlike(r"\d|^(?i:x|no|all)"), inner).otherwise("")).otherwise(phrase)
 
 
 def without_inline_answer(column: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(column, r"\{[^{}]{1,48}\}\s*\z", ""), r"(?i)\b(?:no solution|all real numbers|infinitely many solutions)\.?\s*\z", ""))
+    """The question before an answer of inline_answer; braces go even where they hold no answer."""
+    return F.trim(F.when(column.rlike(BRACES), F.regexp_replace(column, BRACES, "")).otherwise(F.regexp_replace(column, CLOSING, "")), F.lit(" \n\t"))
 
 
 def looks_mathy(column: Column) -> Column:

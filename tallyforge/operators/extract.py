@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
+from tallyforge.functions.linear import linear_answer
 from tallyforge.functions.udfs import auto_answer
 
-KEY_START = r"(?im)answer key|^[ \t]*(?:answers|solutions)[ \t]*(?=\n|\d)"
+#: Fixed patterns: the start of a key, a line of it, and one of several answers of a line, up to the next or the end.
+KEY_START = r"(?i)answer\s*key|(?:^|\n)\s*(?:answer|solution)s?(?=\s*[:.]?(?:\s*\n|\s+\d))"
+KEY_LINE = r"^\s*(\d{1,2})\s*[.)]\s*(\S.*?)\s*\z"
+KEY_ITEM = r"(?:^|\s)(\d{1,2})[.)]\s+([^\n]+?)(?=\s+\d{1,2}[.)]\s|\s*\z)"
 
 
 def split_key(pages: DataFrame) -> DataFrame:
@@ -19,29 +23,31 @@ def split_key(pages: DataFrame) -> DataFrame:
 
 
 def key_lines(pages: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, number, value) of lines 'N) value', the last one of a number; texts with fewer than two numbers give none."""
+    """(ids, number, value, n_numbers) of lines 'N) value', the last one of a number; number is text, n_numbers counts those of the ids."""
     lines = pages.select(*ids, F.posexplode(F.split("key_text", "\n")).alias("line_no", "line"))
-    found = lines.select(*ids, "line_no", F.regexp_extract("line", r"^\s*(\d{1,3})[.)]\s*(\S.*)$", 1).alias("n"), F.trim(F.regexp_extract("line", r"^\s*(\d{1,3})[.)]\s*(\S.*)$", 2)).alias("value"))
-    per = found.where("n <> ''").groupBy(*ids, "n").agg(F.max_by("value", "line_no").alias("value"))
-    enough = per.withColumn("_k", F.count("*").over(Window.partitionBy(*ids))).where("_k >= 2")
-    return enough.select(*ids, F.col("n").cast("int").alias("number"), "value")
+    found = lines.select(*ids, "line_no", F.regexp_extract("line", KEY_LINE, 1).alias("number"), F.regexp_replace(F.regexp_extract("line", KEY_LINE, 2), r"\s+", " ").alias("value"))
+    per = found.where("number <> ''").groupBy(*ids, "number").agg(F.max_by("value", "line_no").alias("value"))
+    return per.withColumn("n_numbers", F.count("*").over(Window.partitionBy(*ids)))
 
 
 def key_inline(pages: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, number, value) where several 'N) value' share a line; values of at most 40 characters, the last one of a number."""
-    line = F.explode(F.split("key_text", "\n")).alias("line")
-    cut = F.split(F.regexp_replace("line", r"(?:^|\s)(\d{1,3})[.)]\s+", "\u0001$1\u0002"), "\u0001")
-    rows = pages.select(*ids, line).withColumn("cut", cut).where(F.size("cut") >= 3).select(*ids, F.posexplode("cut").alias("at", "item")).where(F.col("item").contains("\u0002"))
-    both = rows.select(*ids, "at", F.regexp_extract("item", "^(\\d+)\u0002", 1).cast("int").alias("number"), F.trim(F.regexp_replace("item", "^\\d+\u0002", "")).alias("value"))
-    return both.where(F.length("value").between(1, 40)).groupBy(*ids, "number").agg(F.max_by("value", "at").alias("value"))
+    """(ids, number, value) of answers 'N) value' that follow each other, on a line or on several; values of at most 40 characters, the last one of a number."""
+    items = F.arrays_zip(*[F.expr(f"regexp_extract_all(key_text, r'{KEY_ITEM}', {k})").alias(n) for k, n in ((1, "number"), (2, "value"))])
+    each = pages.select(*ids, F.posexplode(items).alias("at", "item")).select(*ids, "at", "item.number", F.trim(F.regexp_replace("item.value", r"\s+", " ")).alias("value"))
+    return each.where(F.length("value").between(1, 40)).groupBy(*ids, "number").agg(F.max_by("value", "at").alias("value"))
 
 
 def answer_key(pages: DataFrame, ids: list[str]) -> DataFrame:
-    """One value for each number, inline ones before those of lines."""
+    """One value for each number: of lines if they have two numbers or more; else of answers that follow each other, and of lines where those have none.
+
+    Numbers are compared as they are written, so one with a leading zero answers no problem.
+    """
     cut = split_key(pages)
-    inline, lines = key_inline(cut, ids), key_lines(cut, ids)
-    joined = lines.withColumnRenamed("value", "by_line").join(inline.withColumnRenamed("value", "by_inline"), [*ids, "number"], "full_outer")
-    return joined.select(*ids, "number", F.coalesce("by_inline", "by_line").alias("value"))
+    joined = key_lines(cut, ids).withColumnRenamed("value", "by_line").join(key_inline(cut, ids).withColumnRenamed("value", "by_inline"), [*ids, "number"], "full_outer")
+    enough = F.coalesce(F.max("n_numbers").over(Window.partitionBy(*ids)), F.lit(0)) >= 2
+    value = F.when(enough, F.col("by_line")).otherwise(F.coalesce("by_inline", "by_line"))
+    plain = F.col("number").cast("int")
+    return joined.select(*ids, "number", value.alias("value")).where(F.col("value").isNotNull()).where(plain.cast("string") == F.col("number")).withColumn("number", plain)
 
 
 def split_pages(pages: DataFrame, ids: list[str]) -> DataFrame:
@@ -53,12 +59,16 @@ def split_pages(pages: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def problems(pages: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, pos, number, question, answer, answer_source); the key goes before an answer in the text, none is ''."""
+    """(ids, pos, number, question, answer, answer_source); the key goes before an answer in the text, none is ''.
+
+    Paragraphs of texts without marks are questions as they stand.
+    """
     body = split_key(pages).select(*ids, F.col("body").alias("text"))
-    rows = split_pages(body, ids).withColumn("block", T.clean_block(F.col("body")))
-    rows = rows.withColumns({"inline": T.inline_answer(F.col("block")), "question": T.without_inline_answer(F.col("block"))}).where(F.length("question") >= 2)
+    rows = split_pages(body, ids).withColumn("block", F.when(F.col("marked"), T.clean_block(F.col("body"))).otherwise(F.col("body")))
+    inline = F.when(F.col("marked"), F.nullif(T.inline_answer(F.col("block")), F.lit("")))
+    rows = rows.withColumns({"inline": inline, "question": F.when(F.col("marked"), T.without_inline_answer(F.col("block"))).otherwise(F.col("block"))}).where(F.length("question") >= 2)
     out = rows.join(answer_key(pages, ids), [*ids, "number"], "left")
-    value = F.when(F.col("marked"), F.col("value"))
+    value = F.when(F.col("marked"), F.nullif(F.col("value"), F.lit("")))
     return out.select(
         *ids, "pos", "number", "question", F.coalesce(value, "inline", F.lit("")).alias("answer"), F.when(value.isNotNull(), "key").when(F.col("inline").isNotNull(), "inline").otherwise("").alias("answer_source")
     )
@@ -79,15 +89,20 @@ def key_pages(pages: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame
 
 def key_page_answers(blocks: DataFrame) -> DataFrame:
     """(doc_id, number, value): the lines after a block's first, of the last key page that has the number."""
-    rest = F.array_join(F.slice(F.split("body", "\n"), 2, 1000), " ")
+    lines = F.split("body", "\n")
+    rest = F.array_join(F.slice(lines, 2, F.size(lines)), " ")
     return blocks.withColumn("value", F.trim(rest)).where("value <> ''").groupBy("doc_id", "number").agg(F.max_by("value", F.struct("page_index", "pos")).alias("value"))
 
 
 def answers(rows: DataFrame, question: str = "question") -> DataFrame:
-    """Adds auto and auto_kind; each distinct question is solved once and joined back."""
-    asked = rows.select(F.col(question).alias("_q")).where(F.col("_q").isNotNull()).distinct().withColumn("_s", auto_answer(T.clean_equation(F.col("_q"))))
-    solved = asked.select("_q", F.col("_s.answer").alias("auto"), F.col("_s.kind").alias("auto_kind"))
-    return rows.join(solved, F.col(question) == F.col("_q"), "left").drop("_q")
+    """Adds auto and auto_kind. Plain linear equations are solved in place; each other distinct question once, by the parser, and joined back."""
+    asked = T.clean_equation(F.col(question))
+    marked = rows.withColumn("_n", linear_answer(asked))
+    easy = marked.where(F.col("_n").isNotNull() | F.col(question).isNull())
+    easy = easy.withColumns({"auto": F.col("_n"), "auto_kind": F.when(F.col("_n").isNotNull(), F.lit("linear"))})
+    hard = marked.where(F.col("_n").isNull() & F.col(question).isNotNull())
+    solved = hard.select(F.col(question).alias("_q"), asked.alias("_t")).distinct().withColumn("_s", auto_answer("_t")).select("_q", F.col("_s.answer").alias("auto"), F.col("_s.kind").alias("auto_kind"))
+    return easy.unionByName(hard.join(solved, F.col(question) == F.col("_q"), "left").drop("_q")).drop("_n")
 
 
 def waterfall(columns: list[tuple[str, Column]]) -> tuple[Column, Column]:

@@ -6,68 +6,122 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
+from tallyforge.functions.linear import linear_answer
 from tallyforge.functions.udfs import solve
 
-#: Fixed rules of glyphs that are read for others: pattern and replacement.
+#: Fixed rules of glyphs that are read for others, in order: pattern and replacement.
 SWAPS = [
-    ("[lI|]", "1"), ("O", "0"), ("o(?=\\d|$)", "0"), ("S", "5"), ("Z", "2"), ("B", "8"), ("G", "6"), ("g(?=\\d)", "9"), ("\\?", "7"), ("(?<=\\d)T", ""), ("[–—~]", "-"), ("(\\d) (\\d)", "$1.$2"),
-    ("(?<=[0-9x)])\\s*:\\s*", " = "), ("(?<=[0-9a-z)]) - (?=\\d+$)", " = "), ("t", "+"), ("\\]", "1"), ("q", "9"), ("X", "x"),
-]
+    (r"[lI](?=\d)|(?<=\d)[lI]", "1"),
+    (r"\b[lI]\b", "1"),
+    (r"[lI|](?=\s*\d)", "="),
+    (r"[oO]", "0"),
+    (r"\bS\b", "5"),
+    (r"(?<=[-+*/(=]\s?)S|S(?=\s?[-+*/)=])", "5"),
+    (r"\bS(?=\d)|(?<=\d)S\b", "5"),
+    (r"[Zz](?=\s*\d)|(?<=\d)\s*[Zz]", "2"),
+    (r"[Bß](?=\s|=|\z)", "8"),
+    (r"\bg\b", "9"),
+    (r"(?<=\d)\s*g|g\s*(?=\d)", "9"),
+    (r"\?", "7"),
+    (r"[Tt](?=[a-z])", ""),
+    (r"(?<=\d)[lI](?=\d)", ""),
+    (r"(?<=[\d)])\s*[Tt]\s*(?=[\d(])", " - "),
+    (r"(?<=[\d)])\s*[Tt]\s*(?=[\d(])", " + "),
+    (r"[—–]", "-"),
+    (r"(?<=\d) (?=\d\b)", "."),
+]
+#: Fixed patterns of a problem's label, words of instruction, an answer blank at the end and a lone letter behind a gap.
+LABEL = r"^\s*\(?\d{1,2}\)?[.)]\s*"
+ASKED = r"(?i)solve(?:\s+the\s+equation)?(?:\s+for\s+[a-z])?\s*[:.]?"
+ANSWER_BLANK = r"(?:[,;]?\s*[a-zA-Z]\s*=\s*_*\s*)+\z"
+LONE_LETTER = r"(?:\n|\s{2,})[a-zA-Z]\s*\z"
+
+
+def first(pattern: str, text: Column, replacement: str) -> Column:
+    """text with the first match of a pattern replaced; groups count from 2."""
+    return F.regexp_replace(text, rf"(?s)^(.*?){pattern}", f"$1{replacement}")
+
+
+def one_line(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def base_reading(raw: Column) -> Column:
+    """A garbled text without label, instruction and answer blank, on one line; its glyphs stay as they were read."""
+    c = F.regexp_replace(F.regexp_replace(raw, r"\r", " "), r"\n+", "\n")
+    c = first(ASKED, F.regexp_replace(c, LABEL, ""), "")
+    c = F.regexp_replace(F.regexp_replace(c, r"[·∙×]", "*"), "÷", "/")
+    c = F.regexp_replace(F.regexp_replace(c, ANSWER_BLANK, ""), LONE_LETTER, "")
+    return F.trim(F.regexp_replace(c, r"\s*\n\s*", " "), F.lit(" \t\n"))
+
+
+def candidate(base: Column, variant: Column, more: int, is_loose: bool = False) -> Column:
+    """A variant on one line, its edits from the base (more added) and whether it is a loose one."""
+    return F.struct(one_line(variant).alias("variant"), (F.levenshtein(base, variant) + more).cast("int").alias("edits"), F.lit(is_loose).alias("loose"))
 
 
 def swaps(base: Column) -> Column:
-    """Array of (variant, edits): each rule alone, and all in sequence."""
-    single = [F.regexp_replace(base, p, r) for p, r in SWAPS]
-    every = T.replace_all(base, SWAPS)
-    made = [F.struct(v.alias("variant"), F.greatest(F.levenshtein(base, v), F.lit(1)).alias("edits"), F.lit(False).alias("loose")) for v in single]
-    return F.array(*made, F.struct(every.alias("variant"), (F.levenshtein(base, every) + 1).alias("edits"), F.lit(False).alias("loose")))
+    """Array of variants, each rule alone where it changes the text."""
+    return F.filter(F.array(*[F.regexp_replace(base, p, r) for p, r in SWAPS]), lambda v: v != base)
 
 
-def structural(base: Column, text: Column) -> Column:
-    """A decimal point lost, a sum that belongs under a slash, an operator or an equals sign lost, a power written beside its letter."""
-    pairs = [(r"(?<![\d.])(\d)(\d)(?![\d.])", "$1.$2"), (r"/\s*(\w+)\s*([+-])\s*(\w+)", "/($1$2$3)"), (r"(\w) (\w)", "$1 + $2"), (r"(\w) (\w)", "$1 - $2"), (r"(\w) (\w)", "$1 * $2"), (r"([a-z])(\d)", "$1^$2")]
-    made = [F.regexp_replace(text, p, r) for p, r in pairs]
-    made.append(F.when(text.contains("="), text).otherwise(F.regexp_replace(text, r"\s+(-?\d+)$", " = $1")))
-    return F.array(*[F.struct(v.alias("variant"), (F.levenshtein(base, v) + 1).alias("edits"), F.lit(False).alias("loose")) for v in made])
+def structural(text: Column) -> Column:
+    """Array of variants: a decimal point lost from one of the two-digit numbers, a sum that belongs under a slash, an operator, a power or an equals sign lost."""
+    # a number of two digits that stands alone, found by the four characters around each place
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(padded, i, F.lit(4)).rlike(r"^[^0-9.][0-9]{2}[^0-9.]\z"))
+    points = F.transform(places, lambda i: F.concat(F.substring(text, F.lit(1), i), F.lit("."), F.substring(text, i + 1, F.length(text))))
+    term, gap = r"([\d(][\w+\-() ]*?)\s*/\s*(\w+)\s*([+-])\s*(\w+)", r"([A-Za-z0-9)])\s+([A-Za-z0-9(])"
+    power = F.when(~text.contains("^"), F.regexp_replace(text, r"(?i)([a-z])\s*\*?\s*2\b", "$1^2"))
+    equals = F.when(~text.contains("="), F.regexp_replace(text, r"(?i)^(.*[a-z].*?)\s+(-?\d+(?:\.\d+)?)\s*\z", "$1 = $2"))
+    others = F.array(first(term, text, "$2/($3 $4 $5)"), *[first(gap, text, f"$2 {op} $3") for op in "+-*"], power, equals)
+    return F.concat(points, F.filter(others, lambda v: v.isNotNull() & (v != text)))
 
 
 def loose(base: Column) -> Column:
-    """Each operator turned into its opposite, one at a time, and the sign of a lone right side turned."""
+    """Array of variants: each operator turned into its opposite, one at a time, and the sign of a lone right side turned."""
     flips = F.create_map(*[F.lit(x) for pair in ("+-", "-+", "*/", "/*") for x in pair])
     spots = F.filter(F.sequence(F.lit(1), F.greatest(F.length(base), F.lit(1))), lambda i: F.substring(base, i, F.lit(1)).isin("+", "-", "*", "/"))
     turned = F.transform(spots, lambda i: F.concat(F.substring(base, F.lit(1), i - 1), F.try_element_at(flips, F.substring(base, i, F.lit(1))), F.substring(base, i + 1, F.length(base))))
-    right = F.array(F.regexp_replace(base, r"=\s*(\d+)\s*$", "= -$1"))
-    return F.transform(F.concat(turned, right), lambda v: F.struct(v.alias("variant"), (F.levenshtein(base, v) + 3).alias("edits"), F.lit(True).alias("loose")))
+    number = r"(\d+(?:\.\d+)?)\s*\z"
+    right = F.when(base.rlike(rf"=\s*-{number}"), F.regexp_replace(base, rf"=\s*-{number}", "= $1")).when(base.rlike(rf"=\s*{number}"), F.regexp_replace(base, rf"=\s*{number}", "= -$1"))
+    return F.concat(turned, F.filter(F.array(right), lambda v: v.isNotNull()))
 
 
 def variants(rows: DataFrame, raw: str = "raw") -> DataFrame:
-    """(raw, variant, edits, loose): distinct variants of each distinct raw text with their least edits."""
-    base = rows.select(F.col(raw).alias("raw")).where(F.col(raw).isNotNull()).distinct().withColumn("base", T.light_clean(F.col("raw")))
-    # rules that change nothing are dropped before the next step multiplies them
-    given = F.array(F.struct(F.col("base").alias("variant"), F.lit(0).alias("edits"), F.lit(False).alias("loose")))
-    changed = F.array_distinct(F.filter(swaps(F.col("base")), lambda v: v["variant"] != F.col("base")))
-    first = base.withColumn("s", F.concat(given, changed))
-    deep = F.array_distinct(F.flatten(F.transform("s", lambda v: F.filter(structural(F.col("base"), v["variant"]), lambda w: w["variant"] != v["variant"]))))
-    rows = first.select("raw", F.explode(F.concat("s", deep, loose(F.col("base")))).alias("v")).select("raw", "v.*")
-    return rows.groupBy("raw", "variant").agg(F.min("edits").alias("edits"), F.min("loose").alias("loose"))
+    """(raw, variant, edits, loose): distinct variants of each distinct raw text with their least edits; loose if a loose form gives it at all."""
+    base = rows.select(F.col(raw).alias("raw")).where(F.col(raw).isNotNull()).distinct().withColumn("base", base_reading(F.col("raw"))).where("base <> ''")
+    b, every = F.col("base"), F.col("every")
+    base = base.withColumns({"singles": swaps(b), "every": T.replace_all(b, SWAPS)})
+    # seeds that repeat are dropped before the next step multiplies them
+    seeds = base.withColumn("seeds", F.array_distinct(F.concat(F.array(b), "singles", F.array(every))))
+    single = F.transform("singles", lambda v: candidate(b, v, 0))
+    deep = F.transform(F.array_distinct(F.flatten(F.transform("seeds", structural))), lambda v: candidate(b, v, 1))
+    far = F.transform(loose(b), lambda v: candidate(b, v, 3, True))
+    both = F.array(candidate(b, b, 0), candidate(b, every, 1))
+    found = seeds.select("raw", F.explode(F.concat(both, single, deep, far)).alias("v")).select("raw", "v.*")
+    return found.where("variant <> ''").groupBy("raw", "variant").agg(F.min("edits").alias("edits"), F.max("loose").alias("loose"))
 
 
 def niceness(kind: Column, answer: Column) -> Column:
-    """0 for integers, 1 for fractions with denominators up to 12, 2 for other rationals, 3 for radicals, 6 for none, 9 for no answer."""
+    """0 for integers, 1 for fractions with denominators up to 12, 2 for other rationals and for all numbers, 4 for radicals (their text has approximations), 6 for none, 9 for no answer."""
     bottoms = F.transform(F.expr(r"regexp_extract_all(answer, r'/(\d+)', 1)"), lambda x: x.cast("bigint"))
     rational = F.when(F.size(bottoms) == 0, 0).when(F.array_max(bottoms) <= 12, 1).otherwise(2)
-    return F.when(answer.isNull(), 9).when(kind == "radical", 3).when(kind.isin("none", "complex", "all"), 6).otherwise(rational)
+    return F.when(answer.isNull(), 9).when(kind == "radical", 4).when(kind.isin("none", "complex"), 6).when(kind == "all", 2).otherwise(rational)
 
 
 def readings(rows: DataFrame, raw: str = "raw", limit: int = 3) -> DataFrame:
     """(raw, rank, reading, answer, score, as_read): the best readings of each text, one for each answer.
 
-    Distinct variants are solved once. The score is four times the niceness and the edits; ties go to fewer edits, then
+    Plain linear variants are solved in place, the other distinct ones once, by the parser. The score is four times the niceness and the edits; ties go to fewer edits, then
     to the smaller reading. Loose variants need a nice answer; variants without a solution are left out.
     """
     found = variants(rows, raw)
-    asked = found.select("variant").distinct().withColumn("s", solve(T.clean_equation(F.col("variant")))).select("variant", "s.answer", "s.kind")
-    scored = found.join(asked, "variant").withColumn("nice", niceness(F.col("kind"), F.col("answer"))).where("nice < 6 and (not loose or nice <= 1)")
+    text = found.withColumn("text", T.clean_equation(F.col("variant"))).withColumn("plain", linear_answer(F.col("text")))
+    easy = text.where("plain is not null").select(*found.columns, F.col("plain").alias("answer"), F.lit("linear").alias("kind"))
+    hard = text.where("plain is null").drop("plain")
+    asked = hard.select("text").distinct().withColumn("s", solve("text")).where("s.answer is not null").select("text", "s.answer", "s.kind")
+    scored = easy.unionByName(hard.join(asked, "text").drop("text")).withColumn("nice", niceness(F.col("kind"), F.col("answer"))).where("nice < 6 and (not loose or nice <= 1)")
     scored = scored.withColumn("score", F.col("nice") * 4 + F.col("edits"))
     one = Window.partitionBy("raw", "answer").orderBy("score", "edits", "variant")
     best = scored.withColumn("k", F.row_number().over(one)).where("k = 1")

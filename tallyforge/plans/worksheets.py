@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
-from tallyforge.functions.classify import classify, hint_at, hints
+from tallyforge.functions.classify import HINTS, LABELS, classify, hint_at, hints, label
 from tallyforge.operators import extract as X
 from tallyforge.sources import files
-from tallyforge.sources.adapters import CARDS, cards, table, worksheets
+from tallyforge.sources.adapters import CARDS, SHEETS, cards, sheets, table, worksheets
 
 
 def b01(s, d):
@@ -21,12 +21,17 @@ def b02(s, d):
 
 
 def b03(s, d):
-    return X.key_lines(X.split_key(worksheets(s, d)), ["deck_id"]).select("deck_id", F.col("number").cast("long").alias("number"), "value")
+    return X.key_lines(X.split_key(worksheets(s, d)), ["deck_id"]).where("n_numbers >= 2").select("deck_id", F.col("number").cast("long").alias("number"), "value")
 
 
 def b04(s, d):
-    one = worksheets(s, d).select("deck_id", F.concat(F.lit("Answers\n"), F.regexp_replace(F.get(F.split("text", "\nAnswer Key\n"), F.lit(1)), "\n", "   ")).alias("text"))
-    return X.answer_key(one, ["deck_id"]).select("deck_id", F.col("number").cast("long").alias("number"), "value")
+    """Keys of four forms: all answers on a line, one answer, two lines, and numbers written with a zero first."""
+    card = cards(s, d).select("card_id", F.col("part") % 4, "a", "b", "c").toDF("card_id", "form", "a", "b", "c")
+    n, v = F.concat(F.col("a").cast("string"), F.lit(") ")), F.concat(F.lit("K"), F.col("c").cast("string"))
+    one = F.when(F.col("form") == 0, F.concat(F.lit("Answers: "), n, v, F.lit("  81) K0 and more   82. 5"))).when(F.col("form") == 1, F.concat(F.lit("Solution\n"), n, v))
+    text = one.when(F.col("form") == 2, F.concat(F.lit("ANSWER  KEY\n"), n, v, F.lit("\n 81 . two  words 82) 7\n82) 1/2"))).otherwise(F.concat(F.lit("answers \n07) x\n"), n, v, F.lit("\n08) y")))
+    key = X.answer_key(card.select("card_id", F.concat(F.lit("1) body\n"), text).alias("text")), ["card_id"])
+    return key.select("card_id", F.col("number").cast("long").alias("number"), "value")
 
 
 def b05(s, d):
@@ -35,12 +40,22 @@ def b05(s, d):
 
 
 def b07(s, d):
-    block = F.concat(F.col("question"), F.lit("\n\n  and check it by hand\n"), F.when(F.col("part") % 3 == 0, F.lit("Chapter Seven Review")).when(F.col("part") % 3 == 1, F.lit("Name: ____")).otherwise(F.lit("7\n8")))
-    return cards(s, d).select("card_id", T.clean_block(block).alias("block"))
+    """Blocks that end in a title, a form line, crumbs, numbers that are no crumbs, a lone crumb, or a title that is none."""
+    ends = ["Chapter Seven Review", "Name: ____", "7\n8", "m^-1\n p ^ (3)", "and more\nx", "So y = 2x + 1 here", "q\nDate 5\nScore"]
+    end = F.get(F.array(*[F.lit(x) for x in ends]), (F.col("part") % len(ends)).cast("int"))
+    return cards(s, d).select("card_id", T.clean_block(F.concat(F.lit("Work out  "), F.col("question"), F.lit("\n\n  and check it by hand\n"), end)).alias("block"))
+
+
+#: Ends of problems with the answer in them, and whether the end leaves the question.
+ENDINGS = [
+    (" { 36 }", "36", True), (" No solution.", "No solution", True), (" {see text}", "", True), ("", None, False), (" no solutions", "no solution", True), (" {  X  =  − 5 }", "X =-5", True), (" Infinitely many solutions ", "Infinitely many solution", True),
+    (" {none} of them", None, False), (" {}", "", True),
+]
 
 
 def b08(s, d):
-    text = F.concat("question", F.when(F.col("part") % 4 == 0, F.concat(F.lit(" {"), F.col("c").cast("string"), F.lit("}"))).when(F.col("part") % 4 == 1, F.lit(" No solution.")).when(F.col("part") % 4 == 2, F.lit(" {see text}")).otherwise(""))
+    end = F.get(F.array(*[F.lit(x) for x, _, _ in ENDINGS]), (F.col("part") % len(ENDINGS)).cast("int"))
+    text = F.concat("question", end)
     return cards(s, d).select("card_id", T.inline_answer(text).alias("answer"), T.without_inline_answer(text).alias("question"))
 
 
@@ -53,6 +68,9 @@ PROMPTS = [
     ("Solve the system by substitution", "system"), ("Factor x^2 - 9", "factor"), ("x^2 * x^3", "exponents"), ("Simplify 3x + 2x", "simplify"), ("Find the slope through both points", "slope"),
     ("Find the midpoint", "midpoint"), ("What is the distance between A and B?", "distance"), ("The area of a right triangle", "pythagorean"), ("The perimeter of a square", "area"), ("The volume of a box", "volume"),
     ("The angles are complementary", "angles"), ("Are the figures similar?", "congruence"), ("Find the value of 3a", "evaluate"), ("x^2 + 3x = 4", "quadratic"), ("3x + 1 = 7", "linear"), ("How many apples are left?", "general"),
+    ("Two equations", "system"), ("The system has a root", "general"), ("Give the power of a power", "exponents"), ("Use positive exponents: x^2 = y", "exponents"), ("y-intercept and y = mx + b", "slope"),
+    ("The length of segment AB", "distance"), ("The surface area of a cube", "area"), ("Does SSS hold?", "congruence"), ("When x = 3, what is y?", "evaluate"), ("The roots of x2 + 5", "quadratic"), ("x*2 = zero", "quadratic"),
+    ("3 = 4", "general"), ("an arealike shape", "general"), ("x^2 - 1 = 0", "quadratic"), ("Distribute 2(x + 1) = 4", "simplify"),
 ]
 
 
@@ -62,13 +80,13 @@ def _prompts(s, d):
 
 
 def b10(s, d):
-    return _prompts(s, d).select("card_id", classify(F.col("question")).alias("type_label"))
+    return _prompts(s, d).select("card_id", classify(F.col("question")).alias("type_label")).withColumn("label", label(F.col("type_label")))
 
 
 def b11(s, d):
     rows = _prompts(s, d).withColumn("type_label", classify(F.col("question"))).join(F.broadcast(hints(s)), "type_label")
     level = (F.col("misses") + 1).cast("int")
-    return rows.select("card_id", F.size("hints").cast("long").alias("n_hints"), (hint_at(F.col("hints"), level) == F.get("hints", F.size("hints") - 1)).alias("is_last"))
+    return rows.select("card_id", F.size("hints").cast("long").alias("n_hints"), hint_at(F.col("hints"), level).alias("hint"))
 
 
 def f08(s, d):
@@ -77,12 +95,12 @@ def f08(s, d):
     own = F.when(F.col("card_id") % 2 == 0, F.lit("own"))
     level = (F.col("misses") + 1).cast("int")
     shown = F.when(own.isNotNull() & (level == 1), own).otherwise(hint_at(F.col("hints"), F.when(own.isNotNull(), level - 1).otherwise(level)))
-    return rows.select("card_id", (shown == "own").alias("is_own"))
+    return rows.select("card_id", shown.alias("hint"))
 
 
 def _pages(s, d):
-    """Three pages a deck: the problems, their key (numbers again) and an unrelated page."""
-    deck = cards(s, d).where("number < 100")
+    """Three pages a sheet: the problems, their key (numbers again) and an unrelated page."""
+    deck = sheets(cards(s, d))
     texts = deck.groupBy("deck_id").agg(F.array_sort(F.collect_list(F.struct("number", "question", "c"))).alias("q"))
     one = F.array_join(F.transform("q", lambda x: F.concat(x["number"].cast("string"), F.lit(") "), x["question"])), "\n")
     two = F.array_join(F.transform("q", lambda x: F.concat(x["number"].cast("string"), F.lit(") "), x["question"], F.lit("\nK"), x["c"].cast("string"))), "\n")
@@ -113,7 +131,7 @@ def b15(s, d):
 
 
 def b16(s, d):
-    asked = cards(s, d).where("number < 100").select(F.col("deck_id").alias("doc_id"), "card_id", F.when(F.col("part") % 3 == 0, F.lit("51) x no numbers")).otherwise(F.col("question")).alias("question"))
+    asked = sheets(cards(s, d)).select(F.col("deck_id").alias("doc_id"), "card_id", F.when(F.col("part") % 3 == 0, F.lit("51) x no numbers")).otherwise(F.col("question")).alias("question"))
     return X.guess_page(asked, _pages(s, d)).select("card_id", F.col("page_index").cast("long").alias("page_index"))
 
 
@@ -141,6 +159,20 @@ def h04(s, d):
     return table(s, d, "documents").select("doc_id", T.scanned(F.col("text")).alias("needs_ocr"))
 
 
+def h01(s, d):
+    """Sources of two kinds written to the shared folder and read as bytes; unknown kinds and large files are left out."""
+    import uuid
+
+    base = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/sources/{uuid.uuid4().hex}"
+    rows = cards(s, d).select((F.col("part") % 4).alias("bucket"), "question").repartition(4, "bucket")
+    rows.write.partitionBy("bucket").text(path)
+    rows.write.partitionBy("bucket").json(f"{path}-more")
+    found = files.read_sources(s, path, "*.{txt,pdf}").unionByName(files.read_sources(s, f"{path}-more", "*.{txt,pdf}"))
+    large = files.read_sources(s, path, "*.txt", max_bytes=0).agg(F.count("*").alias("n_allowed"))
+    return found.groupBy("bucket", "extension").agg(F.sum("length").alias("bytes"), F.sum(F.octet_length("content")).alias("content_bytes")).join(large, how="cross").select(F.col("bucket").cast("long").alias("bucket"), "extension", "bytes", "content_bytes", "n_allowed")
+
+
 def h09(s, d):
     """Decks written as a JSON collection and read again with their schema."""
     import uuid
@@ -161,40 +193,51 @@ def h13(s, d):
 QUERIES = {
     "b01_plain_space": b01, "b02_answer_key_region": b02, "b03_key_lines": b03, "b04_inline_key": b04, "b05_b06_problem_split": b05, "b07_clean_block": b07, "b08_inline_answer": b08, "b09_problem_records": b09, "b10_classify": b10,
     "b11_hint_level": b11, "b12_key_pages": b12, "b13_key_page_answers": b13, "b14_answer_waterfall": b14, "b15_problem_order": b15, "b16_guess_page": b16, "b17_tidy_deck": b17, "f06_f07_fill_blanks": f06, "f08_hint_escalation": f08,
-    "h02_glyphs": h02, "h04_needs_ocr": h04, "h08_h09_json_collection": h09, "h13_parse_cards": h13,
+    "h01_h03_h10_h14_sources": h01, "h02_glyphs": h02, "h04_needs_ocr": h04, "h08_h09_json_collection": h09, "h13_parse_cards": h13,
 }
 
-LINES = f"""WITH {CARDS}, w AS (SELECT *, CAST(number AS VARCHAR) || ') ' || question AS line, CASE WHEN flag = 'R' THEN CAST(number AS VARCHAR) || ') K' || CAST(c AS VARCHAR) END AS key_line,
-  count(*) OVER (PARTITION BY deck_id) AS n, count(*) FILTER (WHERE flag = 'R') OVER (PARTITION BY deck_id) AS n_keys FROM cards WHERE number < 100)"""
+LINES = f"""WITH {CARDS}, {SHEETS}, w AS (SELECT *, CAST(number AS VARCHAR) || ') ' || question AS line, CASE WHEN flag = 'R' THEN CAST(number AS VARCHAR) || ') K' || CAST(c AS VARCHAR) END AS key_line,
+  count(*) OVER (PARTITION BY deck_id) AS n, count(*) FILTER (WHERE flag = 'R') OVER (PARTITION BY deck_id) AS n_keys FROM sheets)"""
 TYPE_VALUES = ", ".join(f"({i}, '{t}')" for i, (_, t) in enumerate(PROMPTS))
-PAGES = f"""WITH {CARDS}, n AS (SELECT deck_id AS doc_id, count(*) AS n FROM cards WHERE number < 100 GROUP BY deck_id)"""
+HINT_VALUES = ", ".join(f"('{t}', {i + 1}, '{h}')" for t, all_hints in HINTS.items() for i, h in enumerate(all_hints))
+LABEL_VALUES = ", ".join(f"('{t}', '{x}')" for t, x in LABELS.items())
+ENDING_VALUES = ", ".join(f"({i}, '{e}', {'NULL' if a is None else repr(a)}, {cut})" for i, (e, a, cut) in enumerate(ENDINGS))
+PAGES = f"""WITH {CARDS}, {SHEETS}, n AS (SELECT deck_id AS doc_id, count(*) AS n FROM sheets GROUP BY deck_id)"""
 
 ORACLE_SQL = {
     "b01_plain_space": f"WITH {CARDS} SELECT card_id, CASE WHEN part % 2 = 0 THEN question ELSE '' END AS text FROM cards",
     "b02_answer_key_region": LINES + """ SELECT deck_id, length(string_agg(line, chr(10))) + 1 AS body_chars, CAST(1 + coalesce(length(string_agg(key_line, chr(10))), 0) AS BIGINT) AS key_chars FROM w GROUP BY deck_id""",
     "b03_key_lines": LINES + " SELECT deck_id, number, 'K' || CAST(c AS VARCHAR) AS value FROM w WHERE flag = 'R' AND n_keys >= 2",
-    "b04_inline_key": LINES + " SELECT deck_id, number, 'K' || CAST(c AS VARCHAR) AS value FROM w WHERE flag = 'R' AND n_keys >= 2",
+    "b04_inline_key": f"""WITH {CARDS}, k AS (SELECT card_id, part % 4 AS form, a, 'K' || CAST(c AS VARCHAR) AS v FROM cards)
+      SELECT card_id, a AS number, v AS value FROM k
+      UNION ALL SELECT card_id, n AS number, v AS value FROM (SELECT card_id FROM k WHERE form = 0), (VALUES (81, 'K0 and more'), (82, '5')) AS t(n, v)
+      UNION ALL SELECT card_id, n AS number, v AS value FROM (SELECT card_id FROM k WHERE form = 2), (VALUES (81, 'two words 82) 7'), (82, '1/2')) AS t(n, v)""",
     "b05_b06_problem_split": LINES + " SELECT deck_id, number, CASE WHEN n >= 2 THEN question ELSE line END AS body, n >= 2 AS marked FROM w",
-    "b07_clean_block": f"WITH {CARDS} SELECT card_id, question || chr(10) || 'and check it by hand' || CASE WHEN part % 3 = 2 AND length(question) < 14 THEN chr(10) || '7' || chr(10) || '8' ELSE '' END AS block FROM cards",
-    "b08_inline_answer": f"""WITH {CARDS} SELECT card_id, CASE part % 4 WHEN 0 THEN CAST(c AS VARCHAR) WHEN 1 THEN 'no solution' END AS answer, question FROM cards""",
-    "b09_problem_records": LINES + """ SELECT deck_id, number, CASE WHEN n >= 2 THEN question ELSE line END AS question, CASE WHEN n >= 2 AND n_keys >= 2 AND flag = 'R' THEN 'K' || CAST(c AS VARCHAR) ELSE '' END AS answer,
-      CASE WHEN n >= 2 AND n_keys >= 2 AND flag = 'R' THEN 'key' ELSE '' END AS answer_source FROM w""",
-    "b10_classify": f"WITH {CARDS}, t(i, type_label) AS (VALUES {TYPE_VALUES}) SELECT card_id, type_label FROM cards JOIN t ON t.i = part % {len(PROMPTS)}",
-    "b11_hint_level": f"""WITH {CARDS}, t(i, type_label) AS (VALUES {TYPE_VALUES}), h AS (SELECT i, CASE WHEN type_label = 'general' THEN 3 ELSE 2 END AS k FROM t)
-      SELECT card_id, CAST(k AS BIGINT) AS n_hints, misses + 1 >= k AS is_last FROM cards JOIN h ON h.i = part % {len(PROMPTS)}""",
-    "f08_hint_escalation": f"WITH {CARDS} SELECT card_id, card_id % 2 = 0 AND misses = 0 AS is_own FROM cards",
+    "b07_clean_block": f"""WITH {CARDS} SELECT card_id, 'Work out  ' || question || chr(10) || 'and check it by hand' ||
+      CASE part % 7 WHEN 2 THEN chr(10) || '7' || chr(10) || '8' WHEN 3 THEN CASE WHEN length(replace('Workout' || question, ' ', '')) < 14 THEN chr(10) || 'm^-1' || chr(10) || 'p ^ (3)' ELSE '' END WHEN 4 THEN chr(10) || 'and more' || chr(10) || 'x' WHEN 5 THEN chr(10) || 'So y = 2x + 1 here' WHEN 6 THEN chr(10) || 'q' || chr(10) || 'Date 5' ELSE '' END AS block FROM cards""",
+    "b08_inline_answer": f"""WITH {CARDS}, e(i, ending, answer, cut) AS (VALUES {ENDING_VALUES})
+      SELECT card_id, answer, CASE WHEN cut THEN question ELSE trim(question || ending) END AS question FROM cards JOIN e ON e.i = part % {len(ENDINGS)}""",
+    "b09_problem_records": LINES + """ SELECT deck_id, number, CASE WHEN n >= 2 THEN question ELSE line END AS question, CASE WHEN n >= 2 AND flag = 'R' THEN 'K' || CAST(c AS VARCHAR) ELSE '' END AS answer,
+      CASE WHEN n >= 2 AND flag = 'R' THEN 'key' ELSE '' END AS answer_source FROM w""",
+    "b10_classify": f"WITH {CARDS}, t(i, type_label) AS (VALUES {TYPE_VALUES}) SELECT card_id, type_label, label FROM cards JOIN t ON t.i = part % {len(PROMPTS)} JOIN (VALUES {LABEL_VALUES}) AS l(name, label) ON l.name = type_label",
+    "b11_hint_level": f"""WITH {CARDS}, t(i, type_label) AS (VALUES {TYPE_VALUES}), h(name, level, hint) AS (VALUES {HINT_VALUES}), k AS (SELECT name, max(level) AS k FROM h GROUP BY name)
+      SELECT card_id, CAST(k AS BIGINT) AS n_hints, hint FROM cards JOIN t ON t.i = part % {len(PROMPTS)} JOIN k ON k.name = type_label JOIN h ON h.name = type_label AND h.level = least(misses + 1, k)""",
+    "f08_hint_escalation": f"""WITH {CARDS}, t(i, type_label) AS (VALUES {TYPE_VALUES}), h(name, level, hint) AS (VALUES {HINT_VALUES}), k AS (SELECT name, max(level) AS k FROM h GROUP BY name)
+      SELECT card_id, CASE WHEN card_id % 2 = 0 AND misses = 0 THEN 'own' ELSE hint END AS hint FROM cards JOIN t ON t.i = part % {len(PROMPTS)} JOIN k ON k.name = type_label
+      JOIN h ON h.name = type_label AND h.level = greatest(1, least(misses + CASE WHEN card_id % 2 = 0 THEN 0 ELSE 1 END, k))""",
     "b12_key_pages": PAGES + " SELECT doc_id, CAST(2 AS BIGINT) AS page_index FROM n WHERE n >= 3",
-    "b13_key_page_answers": PAGES + " SELECT c.deck_id AS doc_id, c.number, 'K' || CAST(c.c AS VARCHAR) AS value FROM cards c JOIN n ON n.doc_id = c.deck_id WHERE n.n >= 3 AND c.number < 100",
+    "b13_key_page_answers": PAGES + " SELECT c.deck_id AS doc_id, c.number, 'K' || CAST(c.c AS VARCHAR) AS value FROM sheets c JOIN n ON n.doc_id = c.deck_id WHERE n.n >= 3",
     "b14_answer_waterfall": f"""WITH {CARDS} SELECT card_id, CASE WHEN flag = 'R' THEN CAST(c AS VARCHAR) WHEN part % 5 = 0 THEN 'page' WHEN part % 7 <> 0 THEN solved ELSE '' END AS answer,
       CASE WHEN flag = 'R' THEN 'key' WHEN part % 5 = 0 THEN 'key page' WHEN part % 7 <> 0 THEN 'solved' ELSE '' END AS answer_source FROM cards""",
     "b15_problem_order": f"""WITH {CARDS} SELECT deck_id, card_id, row_number() OVER (PARTITION BY deck_id ORDER BY CASE WHEN part % 4 <> 0 THEN a ELSE 1000000 END, part % 3, card_id) AS place FROM cards""",
-    "b16_guess_page": f"""WITH {CARDS}, k AS (SELECT *, lower(regexp_replace(question, '[^A-Za-z0-9]', '', 'g')) AS probe FROM cards WHERE number < 100),
+    "b16_guess_page": f"""WITH {CARDS}, {SHEETS}, k AS (SELECT *, lower(regexp_replace(question, '[^A-Za-z0-9]', '', 'g')) AS probe FROM sheets),
       p AS (SELECT deck_id, lower(regexp_replace(string_agg(CAST(number AS VARCHAR) || ') ' || question, '' ORDER BY number), '[^A-Za-z0-9]', '', 'g')) AS one,
-        lower(regexp_replace(string_agg(CAST(number AS VARCHAR) || ') ' || question || 'K' || CAST(c AS VARCHAR), '' ORDER BY number), '[^A-Za-z0-9]', '', 'g')) AS two FROM cards WHERE number < 100 GROUP BY deck_id)
+        lower(regexp_replace(string_agg(CAST(number AS VARCHAR) || ') ' || question || 'K' || CAST(c AS VARCHAR), '' ORDER BY number), '[^A-Za-z0-9]', '', 'g')) AS two FROM sheets GROUP BY deck_id)
       SELECT k.card_id, CAST(1 AS BIGINT) AS page_index FROM k JOIN p ON p.deck_id = k.deck_id""",
     "b17_tidy_deck": f"""WITH {CARDS}, k AS (SELECT *, row_number() OVER (PARTITION BY deck_id ORDER BY card_id) AS place FROM cards WHERE part % 5 <> 0)
       SELECT card_id, CASE WHEN part % 2 = 0 THEN number ELSE place END AS number, question || CASE WHEN part % 5 = 1 THEN ' is to be solved' ELSE CASE WHEN length(question) >= 12 AND length('and so on') <= 8 THEN '' ELSE ' and so on' END END AS question FROM k""",
     "f06_f07_fill_blanks": f"WITH {CARDS} SELECT deck_id, count(*) AS total, count(*) FILTER (WHERE flag <> 'R') AS filled FROM cards GROUP BY deck_id",
+    "h01_h03_h10_h14_sources": f"""WITH {CARDS} SELECT part % 4 AS bucket, 'txt' AS extension, CAST(sum(length(question) + 1) AS BIGINT) AS bytes, CAST(sum(length(question) + 1) AS BIGINT) AS content_bytes, CAST(0 AS BIGINT) AS n_allowed FROM cards GROUP BY 1""",
     "h02_glyphs": """SELECT l_orderkey AS doc_id, l_partkey AS glyph_seq, CASE WHEN l_linenumber = 1 THEN CAST(0 AS DOUBLE) ELSE l_quantity END AS x, CASE WHEN l_linenumber = 1 THEN CAST(0 AS DOUBLE) ELSE l_tax END AS y, l_discount AS w,
       CAST(CASE WHEN l_linenumber = 1 THEN 12 ELSE 5 END AS DOUBLE) AS scale, l_returnflag AS s FROM lineitem WHERE l_returnflag <> 'A'""",
     "h04_needs_ocr": "SELECT doc_id, length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) < 40 AS needs_ocr FROM documents",

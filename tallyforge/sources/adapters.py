@@ -78,10 +78,18 @@ RUNS = """runs AS (
 )"""
 
 
+def sheets(cards: DataFrame) -> DataFrame:
+    """Cards numbered within sheets of 99, as problem numbers have two digits at most; deck_id becomes the sheet's."""
+    return cards.withColumns({"deck_id": F.col("deck_id") * 1000 + F.floor((F.col("number") - 1) / 99), "number": (F.col("number") - 1) % 99 + 1})
+
+
+SHEETS = "sheets AS (SELECT * REPLACE (deck_id * 1000 + (number - 1) // 99 AS deck_id, (number - 1) % 99 + 1 AS number) FROM cards)"
+
+
 def worksheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A worksheet text for each deck: its problems as lines, then a key with the answers of returned items."""
-    deck = cards(spark, sf_dir)
+    """A worksheet text for each sheet of a deck: its problems as lines, then a key with the answers of returned items."""
+    deck = sheets(cards(spark, sf_dir))
     line = F.concat(F.col("number").cast("string"), F.lit(") "), F.col("question"))
     key = F.when(F.col("flag") == "R", F.concat(F.col("number").cast("string"), F.lit(") K"), F.col("c").cast("string")))
     ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("number", c.alias("line"))))), lambda x: x["line"]), "\n")
-    return deck.where("number < 100").groupBy("deck_id").agg(F.concat(ordered(line), F.lit("\nAnswer Key\n"), ordered(key)).alias("text"))
+    return deck.groupBy("deck_id").agg(F.concat(ordered(line), F.lit("\nAnswer Key\n"), ordered(key)).alias("text"))
