@@ -118,7 +118,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_
         return None
     per_lang = max(1, fit_rows // langs)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id").distinct().limit(fit_rows)
+    chosen = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     ids = [r.doc_id for r in chosen.collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,10 +14,12 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table
+from tallyforge.llm.common import save, table
 
-#: Sources whose totals may come to the driver; more are refused.
+#: Sources whose totals may come to the driver; of more, only sums do.
 MAX_SOURCES = 100_000
+#: Steps of an interval of exponents that one job looks at.
+GRID = 32
 #: Tokens of a bucket, the group in which documents of a source and epoch are ranked.
 BUCKET_TOKENS = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,6 +94,51 @@ def solve(totals: dict[str, int], target_entropy: float | None = 0.95, max_repea
     return Mix(alpha, b, dict(zip(names, weights, strict=True)), quotas)
 
 
+def solve_sums(totals: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: int | None) -> tuple[int, DataFrame]:
+    """The budget of solve(), and (source, weight, quota, total) of each source, for any number of sources in totals (source, total).
+
+    Entropy and repeats of an exponent follow from two sums over the sources and from their least and largest totals;
+    one job gives the sums for GRID exponents, of which the two about the turning point are the next job's ends.
+    """
+    low_t, top, n, every = totals.agg(F.min("total"), F.max("total"), F.count("*"), F.sum("total")).head()
+    log_t = F.log(F.col("total") / F.lit(float(top)))
+
+    def sums(alphas: list[float]) -> list[tuple[float, float]]:
+        row = totals.agg(*[f for a in alphas for f in (F.sum(F.exp(log_t * a)), F.sum(F.exp(log_t * a) * log_t))]).head()
+        return [(row[2 * i], row[2 * i + 1]) for i in range(len(alphas))]
+
+    def entropy_of(a: float, z: float, s: float) -> float:
+        return log(z) - a * s / z
+
+    def repeats(a: float, z: float, s: float) -> float:
+        return (budget / z if budget is not None else top) * (low_t / top) ** a / low_t
+
+    def turn(holds, low: float) -> float:
+        high = 1.0
+        for _ in range(12):
+            grid = [low + (high - low) * k / GRID for k in range(GRID + 1)]
+            first = next((k for k, (a, x) in enumerate(zip(grid, sums(grid), strict=True)) if holds(a, *x)), GRID)
+            if first == 0:
+                return grid[0]
+            low, high = grid[first - 1], grid[first]
+        return high
+
+    alpha = 1.0
+    if target_entropy is not None and n > 1:
+        goal = target_entropy * log(n)
+        if entropy_of(1.0, *sums([1.0])[0]) < goal:
+            alpha = turn(lambda a, z, s: entropy_of(a, z, s) < goal, 0.0)
+    if max_repeats is not None and repeats(alpha, *sums([alpha])[0]) > max_repeats:
+        if repeats(1.0, *sums([1.0])[0]) > max_repeats * (1 + 1e-12):
+            raise ValueError("the budget repeats every source more often than max_repeats allows")
+        alpha = turn(lambda a, z, s: repeats(a, z, s) <= max_repeats, alpha)
+    z = sums([alpha])[0][0]
+    b = budget if budget is not None else round(z * top)
+    weight = F.exp(log_t * alpha) / z
+    quota = F.rint(weight * b).cast("long")
+    return b, totals.select("source", weight.alias("weight"), (quota if budget is not None else F.greatest(quota, "total")).alias("quota"), "total")
+
+
 def source_key(column: str) -> Column:
     """Null is a source of its own, apart from the empty string."""
     return F.when(F.col(column).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(column).cast("string")))
@@ -111,7 +158,7 @@ def mix(
     A row appears once for each epoch in which its source's quota reaches it; the stream is sorted by mix_block and
     mix_order. A source's tokens differ from its quota by less than one document, and each block's by less than two.
     Without a budget no row is dropped. Ranks come from prefix sums over hashed buckets of bounded size, so a source
-    with most rows is never gathered in one task. Repeated rows are documents of their own; empty tables give no rows;
+    with most rows is never gathered in one task; weights of very many sources are joined as a table. Repeated rows are documents of their own; empty tables give no rows;
     columns named like the added ones are replaced, others are kept.
     """
     spark = docs.sparkSession
@@ -119,14 +166,17 @@ def mix(
     docs = docs.drop(*added)
     kept = docs.columns
     src = docs.select(F.struct(*kept).alias("row"), source_key(source_col).alias("source"), token_count(text_col).alias("tokens"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("id_hash"))
-    totals = {r.source: r.t for r in src.groupBy("source").agg(F.sum("tokens").alias("t")).limit(MAX_SOURCES + 1).collect()}
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    plan = solve(totals, target_entropy, max_repeats, budget)
-    rows = [(s, plan.weights[s], plan.quotas[s], totals[s]) for s in sorted(totals)]
-    sources = spark.createDataFrame(rows, "source string, weight double, quota long, total long")
+    sums = save(src.groupBy("source").agg(F.sum("tokens").alias("total")), "totals")
+    if sums.count() <= MAX_SOURCES:
+        totals = {r.source: r.total for r in sums.collect()}
+        plan = solve(totals, target_entropy, max_repeats, budget)
+        rows = [(s, plan.weights[s], plan.quotas[s], totals[s]) for s in sorted(totals)]
+        whole, sources = plan.budget, F.broadcast(spark.createDataFrame(rows, "source string, weight double, quota long, total long"))
+    else:
+        whole, sources = solve_sums(sums, target_entropy, max_repeats, budget)
+        sources = save(sources, "sources")
     copies = (
-        src.join(F.broadcast(sources), "source")
+        src.join(sources, "source")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("total")))))
         .where("quota > 0")
         .withColumn("turn", F.xxhash64("id_hash", "epoch", F.lit(seed)))
@@ -134,8 +184,8 @@ def mix(
         .withColumn("turn", F.shiftrightunsigned("turn", 11))
     )
     groups = ["source", "epoch", "bucket"]
-    sums = copies.groupBy(*groups).agg(F.sum("tokens").alias("held"))
-    before = sums.withColumn("before", F.coalesce(F.sum("held").over(Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("held")
+    held = copies.groupBy(*groups).agg(F.sum("tokens").alias("held"))
+    before = held.withColumn("before", F.coalesce(F.sum("held").over(Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("held")
     order = Window.partitionBy(*groups).orderBy("turn", "id_hash", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         copies.withColumn("inside", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
@@ -143,7 +193,7 @@ def mix(
         .withColumn("at", F.col("epoch") * F.col("total") + F.col("before") + F.col("inside"))
         .where("at < quota")
     )
-    n_blocks = max(1, -(-plan.budget // block_tokens))
+    n_blocks = max(1, -(-whole // block_tokens))
     return placed.select(
         "row.*",
         F.col("tokens").alias("mix_tokens"),

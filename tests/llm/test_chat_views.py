@@ -1,3 +1,4 @@
+import hashlib
 from collections import defaultdict
 
 from tallyforge.llm import chat_views
@@ -11,7 +12,7 @@ def plain(rows):
     for c, turns in convs.items():
         for speaker in {r for _, r, _ in turns} - {"system"}:
             text, masks = "", []
-            for _, role, said in sorted(turns):
+            for _, role, said in sorted(turns, key=lambda t: (t[0], t[1], hashlib.md5(t[2].encode()).hexdigest(), t[2])):
                 text += "<|system|>\n" if role == "system" else "<|assistant|>\n" if role == speaker else f"<|user name={role}|>\n"
                 if role == speaker:
                     masks.append((len(text), len(text) + len(said) + len(chat_views.END)))
@@ -22,7 +23,7 @@ def plain(rows):
 
 def check(got, rows):
     out = defaultdict(lambda: ["", []])
-    for r in sorted(got, key=lambda r: r.part):
+    for r in sorted(got, key=lambda r: (r.part, r.piece)):
         at = out[r.conv_id, r.speaker]
         at[1] += [(m.begin + len(at[0]), m.end + len(at[0])) for m in r.masks]
         at[0] += r.text
@@ -43,3 +44,16 @@ def test_edges(spark):
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, part int, speaker string")
     check(chat_views.perspectives(df).collect(), rows)
     assert chat_views.perspectives(df.limit(0)).count() == 0
+
+
+def test_parts_of_many_turns_are_cut_into_pieces(spark):
+    rows = [(1, None, "ann", f"x{i % 7}") for i in range(50)] + [(1, 3, "bob", "same")] * 40 + [(1, 4, "bob" if i % 3 else "cy", f"t{i}") for i in range(30)] + [(None, 2, "di", "lost")] * 25 + [(2, 2, "ann", "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_views.perspectives(df, part_turns=8).collect()
+    check(got, rows)
+    assert max(r.n_turns for r in got) == 8
+    assert {(r.part, r.piece) for r in got if r.conv_id == 1} == {(-1, k) for k in range(7)} | {(0, k) for k in range(9)}
+    # pieces but the last of a part are full
+    for r in got:
+        if r.n_turns < 8:
+            assert not any(o.conv_id == r.conv_id and o.part == r.part and o.piece > r.piece for o in got)

@@ -67,3 +67,21 @@ def test_epochs_are_whole_permutations(spark):
 def test_every_document_is_in_the_query(spark, sf_dir):
     got = mixing.op2_mixing(spark, sf_dir)
     assert got.select("doc_id").distinct().count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("target, limit, budget", [(0.9, 4.0, None), (0.9, None, None), (None, 1.5, None), (0.2, 4.0, None), (0.97, 2.0, None), (0.9, 50.0, 5000)])
+def test_sums_give_what_totals_give(spark, target, limit, budget):
+    totals = {f"s{i}": 3 + i * i * i for i in range(40)}
+    plan = mixing.solve(totals, target, limit, budget)
+    whole, table = mixing.solve_sums(spark.createDataFrame(list(totals.items()), "source string, total long"), target, limit, budget)
+    assert whole == pytest.approx(plan.budget, rel=1e-6)
+    for r in table.collect():
+        assert r.weight == pytest.approx(plan.weights[r.source], rel=1e-6) and abs(r.quota - plan.quotas[r.source]) <= 1
+
+
+def test_more_sources_than_the_driver_takes(spark, monkeypatch):
+    rows, docs = make(spark)
+    few = sorted(map(tuple, mixing.mix(docs, target_entropy=0.85, max_repeats=3).select("doc_id", "source", "mix_tokens", "mix_epoch").collect()), key=str)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    many = sorted(map(tuple, mixing.mix(docs, target_entropy=0.85, max_repeats=3).select("doc_id", "source", "mix_tokens", "mix_epoch").collect()), key=str)
+    assert abs(len(few) - len(many)) <= 2 and {r[0] for r in many} == {i for i, _, _ in rows}
