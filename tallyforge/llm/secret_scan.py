@@ -236,7 +236,8 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, text_col: st
     distinct = keyed.select("_key", F.col(text_col).alias("text"), F.col(path_col).alias("source")).where(F.col("text").rlike(CANDIDATE)).dropDuplicates(["_key"])
     found = scan(distinct, model, threshold=threshold).where("is_secret").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("_spans"))
     found = save(found, "secrets")
-    spans = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    n_spans = found.agg(F.coalesce(F.sum(F.size("_spans")), F.lit(0))).head()[0]
+    spans = F.broadcast(found) if n_spans <= BROADCAST_ROWS else found
     text = F.col(text_col)
     done = F.aggregate(
         "_spans",

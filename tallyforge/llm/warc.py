@@ -1,14 +1,17 @@
 """WARC archives: a writer of one gzip member per record, and a sequential reader.
 
 Archives are files in the shared folder. A task stages its archives and moves them, all at once, to the folder of its
-partition; a task that runs again after an executor was lost replaces that folder whole, so no record is doubled. The reader takes the bytes as they come, inflates member after
-member in steps, frames each record by its Content-Length and checks its block and payload digests.
+partition. Where that folder is there already, an earlier attempt has written the same records whole, and the staged
+ones are thrown away, so no record is doubled. The reader takes the bytes as they come, inflates member after member in
+steps, frames each record by its Content-Length and checks its block and payload digests where it has them. It reads
+archives of other writers as well: header names in any case, other record types, versions and digests.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -54,6 +57,37 @@ def record(kind: str, uri: str, payload: bytes, digest: str, record_id: str, ref
     return deflate.compress(text) + deflate.flush()
 
 
+def digest_differs(named: str | None, data: bytes) -> bool:
+    """Whether a digest header (algorithm:value in base 16 or 32) is not that of data; one of an unknown algorithm is not checked."""
+    kind, _, value = (named or "").partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("sha1", "sha256", "sha512", "md5"):
+        return False
+    made = hashlib.new(kind, data)
+    return value.strip().lower() not in (made.hexdigest(), base64.b32encode(made.digest()).decode().lower())
+
+
+def header_lines(text: str) -> dict[str, str]:
+    """Headers by lower-case name; a line that begins with white space goes on with the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in text.split("\r\n"):
+        if line[:1] in (" ", "\t") and name:
+            out[name] += f" {line.strip()}"
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def payload_of(head: dict[str, str], block: bytes) -> bytes:
+    """The block without the HTTP head where the record's type says that it has one."""
+    if head.get("content-type", "").replace(" ", "").lower().startswith("application/http") and b"\r\n\r\n" in block:
+        return block.split(b"\r\n\r\n", 1)[1]
+    return block
+
+
 def inflated(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
     """Pieces of inflated bytes; True marks the end of a gzip member."""
     member = zlib.decompressobj(31)
@@ -71,26 +105,30 @@ def inflated(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
 
 
 def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record in turn; raises ArchiveError at the first that isn't whole or whose digest differs."""
+    """(headers by lower-case name, block) of each record in turn; raises ArchiveError at the first that isn't whole or whose digest differs.
+
+    The payload digest of a revisit is of the payload that it leaves out, so it is not checked.
+    """
     held = bytearray()
     head: dict[str, str] | None = None
     need = 0
     for piece, end in inflated(chunks):
         held += piece
         if head is None and (cut := held.find(b"\r\n\r\n")) >= 0:
-            if not held.startswith(VERSION):
+            if not held.startswith(b"WARC/1."):
                 raise ArchiveError("a member that does not start with a record")
-            head = dict(line.split(": ", 1) for line in held[len(VERSION) : cut].decode().split("\r\n"))
-            need = int(head["Content-Length"])
+            head = header_lines(held[held.find(b"\r\n") + 2 : cut].decode("utf-8", "replace"))
+            if not head.get("content-length", "").isdigit():
+                raise ArchiveError("a record without Content-Length")
+            need = int(head["content-length"])
             del held[: cut + 4]
         if end:
             if head is None or len(held) != need + 4 or held[-4:] != b"\r\n\r\n":
                 raise ArchiveError("Content-Length does not frame the record")
             block = bytes(held[:need])
-            if base32_sha1(block) != head["WARC-Block-Digest"]:
+            if digest_differs(head.get("warc-block-digest"), block):
                 raise ArchiveError("the block digest differs")
-            payload = block.split(b"\r\n\r\n", 1)[1]
-            if head["WARC-Type"] == "response" and f"sha256:{hashlib.sha256(payload).hexdigest()}" != head["WARC-Payload-Digest"]:
+            if head.get("warc-type") != "revisit" and digest_differs(head.get("warc-payload-digest"), payload_of(head, block)):
                 raise ArchiveError("the payload digest differs")
             yield head, block
             held, head = bytearray(), None
@@ -107,8 +145,9 @@ def page_urn(page_id: int | None) -> str:
 
 
 def page_of(urn: str | None) -> int | None:
-    value = urn[len("<urn:page:") : -1] if urn else "none"
-    return None if value == "none" else int(value)
+    """The page of a record id; null for null and for ids of other writers."""
+    value = urn[len("<urn:page:") : -1] if urn and urn.startswith("<urn:page:") else "none"
+    return int(value) if value.lstrip("-").isdigit() else None
 
 
 def plan_records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
@@ -165,9 +204,16 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 100, archive_bytes:
             out.close()
             done.append((f"{folder}/{part}/{len(done):06d}.warc.gz", n, size))
         if done:
-            if store.get_file_info(f"{root}/{part}").type != fs.FileType.NotFound:
-                store.delete_dir(f"{root}/{part}")
-            store.move(staged, f"{root}/{part}")
+            there = store.get_file_info(f"{root}/{part}").type != fs.FileType.NotFound
+            if not there:
+                try:
+                    store.move(staged, f"{root}/{part}")
+                except OSError:  # another attempt was faster
+                    there = store.get_file_info(f"{root}/{part}").type != fs.FileType.NotFound
+                    if not there:
+                        raise
+            if there:
+                store.delete_dir(staged)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["path", "n_records", "n_bytes"])
 
     planned = plan_records(pages, least_bytes).select("page_id", "url", "payload", "digest", "first")
@@ -175,10 +221,11 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 100, archive_bytes:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of the archives of a folder: page_id, record_type, refers_to, target_uri, headers, payload_bytes, payload_digest, block.
+    """Every record of the archives of a folder: page_id, record_type, refers_to, target_uri, headers (by lower-case name), payload_bytes, payload_digest, block.
 
-    payload_bytes and payload_digest are of the full payload, which a revisit names without holding it; for a response
-    the reader has verified them against the bytes.
+    payload_bytes and payload_digest (bare SHA-256) are of the full payload: of a revisit what the writer named, null
+    where it named none of this kind; of other records what they hold. page_id and refers_to are null in archives of
+    other writers, and so is a missing target.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
     return files.mapInArrow(
@@ -187,6 +234,19 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def described(head: dict[str, str], block: bytes) -> tuple:
+    """A row of read()."""
+    kind, uri, length = head.get("warc-type"), head.get("warc-target-uri"), head.get("x-payload-length", "")
+    named = re.fullmatch("sha256:([0-9a-f]{64})", head.get("warc-payload-digest", ""))
+    digest = named[1] if named else None  # checked already, but of a revisit
+    if kind == "revisit":
+        size = int(length) if length.isdigit() else None
+    else:
+        payload = payload_of(head, block)
+        size, digest = len(payload), digest or hashlib.sha256(payload).hexdigest()
+    return page_of(head.get("warc-record-id")), kind, page_of(head.get("warc-refers-to")), uri and unquote(uri), list(head.items()), size, digest, block
+
+
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shape = pa.schema(
         [("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("headers", pa.map_(pa.string(), pa.string())),
@@ -197,10 +257,7 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             raw = b.column(1)[i].as_buffer()
             rows, held = [], 0
             for head, block in records(raw.slice(a, min(STEP, raw.size - a)).to_pybytes() for a in range(0, raw.size, STEP)):
-                rows.append(
-                    (page_of(head["WARC-Record-ID"]), head["WARC-Type"], page_of(head.get("WARC-Refers-To")), unquote(head["WARC-Target-URI"]), list(head.items()),
-                     int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha256:"), block)
-                )
+                rows.append(described(head, block))
                 held += len(block)
                 if held >= ARCHIVE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), shape.types, strict=True)], schema=shape)

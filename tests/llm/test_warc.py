@@ -67,3 +67,32 @@ def test_reader_rejects_damage():
             list(warc.records([again(bad)]))
     with pytest.raises(zlib.error):
         list(warc.records([b"not gzip"]))
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    import base64
+    import gzip
+
+    def member(*lines, block=b""):
+        return gzip.compress(b"\r\n".join([b"WARC/1.0", *lines, b"Content-Length: %d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    body = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>hi</p>"
+    sha1 = base64.b32encode(hashlib.sha1(b"<p>hi</p>").digest())
+    info = member(b"warc-type: warcinfo", b"WARC-RECORD-ID: <urn:uuid:1>", b"Content-Type: application/warc-fields", block=b"software: x\r\n\r\nmore")
+    page = member(b"Warc-Type: response", b"warc-target-uri:http://a/", b"Content-Type: application/http;", b" msgtype=response", b"WARC-Payload-Digest: sha1:" + sha1, b"WARC-Block-Digest: tiger:123", block=body)
+    again = member(b"WARC-Type: revisit", b"WARC-Payload-Digest: sha1:" + sha1, b"Content-Type: application/http", block=b"HTTP/1.1 200 OK\r\n\r\n")
+    (tmp_path / "x.warc.gz").write_bytes(info + page + again)
+    got = {r.record_type: r for r in warc.read(spark, f"file://{tmp_path}").collect()}
+    assert got["response"].payload_bytes == 9 and got["response"].payload_digest == hashlib.sha256(b"<p>hi</p>").hexdigest() and got["response"].target_uri == "http://a/"
+    assert got["warcinfo"].payload_bytes == 19 and got["warcinfo"].page_id is None and got["warcinfo"].target_uri is None
+    assert got["revisit"].payload_bytes is None and got["revisit"].payload_digest is None
+    for bad in (page.replace(page, member(b"WARC-Type: response", b"Content-Type: application/http", b"WARC-Payload-Digest: sha1:" + sha1, block=body + b"!")), gzip.compress(b"WARC/1.0\r\nWARC-Type: metadata\r\n\r\n\r\n\r\n")):
+        with pytest.raises(warc.ArchiveError):
+            list(warc.records([bad]))
+
+
+def test_an_attempt_that_runs_again_doubles_nothing(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string").repartition(2)
+    for _ in range(2):
+        assert sum(r.n_records for r in warc.write(pages, f"file://{tmp_path}/w").collect()) == 20
+    assert warc.read(spark, f"file://{tmp_path}/w").count() == 20
