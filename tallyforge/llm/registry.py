@@ -10,7 +10,7 @@ from tallyforge.llm.mixing import op2_mixing
 from tallyforge.llm.multi_index import OP3_SQL, op3_multi_index
 from tallyforge.llm.secret_scan import op9_secret_scan
 from tallyforge.llm.simhash import op7_simhash
-from tallyforge.llm.sp_codec import op4_sentencepiece
+from tallyforge.llm.sp_codec import op4_sentencepiece, sentencepiece_unigram
 from tallyforge.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_hash_search": op8_hash_search,
     "op9_secret_scan": op9_secret_scan,
     "op10_warc": op10_warc,
+    "sentencepiece_unigram": sentencepiece_unigram,
 }
 
 ORACLE_SQL = {

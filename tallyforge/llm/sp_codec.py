@@ -199,13 +199,14 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 texts = b.column(1).slice(a, z - a).to_pylist()
                 part = [t or "" for t in texts]
                 ids = codec.encode(part)
-                same = back = [None] * len(part)
-                if verify:
-                    back = [x == y for x, y in zip(codec.decode(ids), part, strict=True)]
-                    same = [x == y for x, y in zip(codec.plain.encode(part, num_threads=threads), ids, strict=True)]
                 missing = np.array([t is None for t in texts], dtype=bool)
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
+                same = back = [None] * len(part)
+                if verify:
+                    back = [x == y for x, y in zip(codec.decode(ids), part, strict=True)]
+                    other = codec.plain.encode(part, num_threads=threads, return_type="numpy")
+                    same = [np.array_equal(x, flat[i:j]) for x, i, j in zip(other, ends[:-1], ends[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(missing))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(a, z - a), lists, pa.array(np.diff(ends).astype(np.int64)), pa.array(back, pa.bool_()), pa.array(same, pa.bool_())],
@@ -231,6 +232,33 @@ def decode(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: st
     return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
 
 
+def varint(value: int) -> bytes:
+    out = bytearray()
+    while value > 127:
+        out.append(value & 127 | 128)
+        value >>= 7
+    return bytes([*out, value])
+
+
+def message(values: list[tuple[int, int | bytes]]) -> bytes:
+    """A protobuf message of (number, value) fields: integers as varints, bytes with their length."""
+    return b"".join(varint(n << 3) + varint(v) if isinstance(v, int) else varint(n << 3 | 2) + varint(len(v)) + v for n, v in values)
+
+
+def as_unigram(data: bytes) -> bytes:
+    """A unigram model over the pieces of a BPE one: the score of a piece is minus the logarithm of its rank, in sixteenths.
+
+    Sums of such scores are exact in single precision, in which sentencepiece adds them up over a whole text.
+    """
+    model, rank, out = Model.parse(data), 0, []
+    for piece, _, kind in model.pieces:
+        rank += kind == NORMAL
+        score = -round(16 * float(np.log(rank + 1))) / 16 if kind == NORMAL else 0.0
+        out.append((1, varint(1 << 3 | 2) + varint(len(piece.encode())) + piece.encode() + varint(2 << 3 | 5) + struct.pack("<f", score) + message([(3, kind)])))
+    spec = [(n, v) for n, v in fields(next(v for n, v in fields(data) if n == 2)) if isinstance(v, int) and n != 3]
+    return message([*out, (2, message([(3, UNIGRAM), *spec])), *[(n, v) for n, v in fields(data) if n == 3]])
+
+
 def default_model() -> bytes:
     import public_tokenizers
 
@@ -240,3 +268,9 @@ def default_model() -> bytes:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(table(spark, sf_dir, "documents"), default_model())
     return coded.select("doc_id", "n_ids", F.xxhash64("ids").alias("ids_digest"), "round_trip", "parity")
+
+
+def sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codec of a unigram model, with the pieces of the default one, over all documents."""
+    coded = encode(table(spark, sf_dir, "documents"), as_unigram(default_model()))
+    return coded.select("doc_id", "n_ids", F.xxhash64("ids").alias("ids_digest"), "round_trip", "parity")

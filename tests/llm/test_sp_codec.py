@@ -76,3 +76,14 @@ def test_parser_rejects_cut_and_unknown_models(model):
         sp_codec.Model.parse(model[:1001])
     with pytest.raises(ValueError):
         sp_codec.Model.parse(msg(2, num(3, 4)))
+
+
+def test_unigram_form_of_the_default_model(spark, sf_dir):
+    import sentencepiece
+
+    data = sp_codec.as_unigram(sp_codec.default_model())
+    model, old = sp_codec.Model.parse(data), sp_codec.Model.parse(sp_codec.default_model())
+    assert model.kind == sp_codec.UNIGRAM and model.byte_fallback == old.byte_fallback and [(p, k) for p, _, k in model.pieces] == [(p, k) for p, _, k in old.pieces]
+    assert sentencepiece.SentencePieceProcessor(model_proto=data).encode("hello") == sp_codec.build(model).encode("hello", add_special_tokens=False).ids
+    got = sp_codec.sentencepiece_unigram(spark, sf_dir).collect()
+    assert all(r.round_trip for r in got) and sum(r.parity for r in got) >= 0.99 * len(got)
