@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import fraction_text
+from tallyforge.functions.text import gcd
 
 #: coefficient, letter, sign and number of a sum with one letter, and the number it equals; numbers have nine digits at most.
 FORM = r"^(-?\d{0,9})([a-z])(?:\s*([-+])\s*(\d{1,9}))?\s*=\s*(-?\d{1,9})\z"
 
 
+def bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made of a value that is computed once, however often made uses it and wherever the optimizer moves the whole."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def linear_answer(text: Column) -> Column:
     """C06: 'v = n/d' of a text a*v + b = c with whole numbers and a not 0; null for any other text, which the parser has to see."""
-    part = lambda i: F.regexp_extract(text, FORM, i)
-    a = F.when(part(1).isin("", "-"), F.concat(part(1), F.lit("1"))).otherwise(part(1)).cast("bigint")
-    b = F.coalesce(F.concat(part(3), part(4)).try_cast("bigint"), F.lit(0))
-    c = part(5).try_cast("bigint")
-    return F.when(text.rlike(FORM) & (a != 0), F.concat(part(2), F.lit(" = "), fraction_text(c - b, a)))
+
+    def numbers(t: Column) -> Column:
+        part = [F.regexp_extract(t, FORM, i) for i in range(1, 6)]
+        a = F.when(part[0].isin("", "-"), F.concat(part[0], F.lit("1"))).otherwise(part[0])
+        n = part[4].try_cast("bigint") - F.coalesce(F.concat(part[2], part[3]).try_cast("bigint"), F.lit(0))
+        return F.struct(part[1].alias("v"), n.alias("n"), a.try_cast("bigint").alias("d"))
+
+    def reduced(e: Column) -> Column:
+        return F.struct(e["v"].alias("v"), e["n"].alias("n"), e["d"].alias("d"), F.greatest(gcd(e["n"], e["d"]), F.lit(1)).alias("g"))
+
+    def shown(e: Column) -> Column:
+        top = F.when(e["d"] < 0, -e["n"]).otherwise(e["n"]) / e["g"]
+        bottom = (F.abs(e["d"]) / e["g"]).cast("bigint").cast("string")
+        return F.concat(e["v"], F.lit(" = "), top.cast("bigint").cast("string"), F.when(bottom == "1", "").otherwise(F.concat(F.lit("/"), bottom)))
+
+    def solved(t: Column) -> Column:
+        return F.when(t.rlike(FORM), bound(numbers(t), lambda e: F.when(e["d"] != 0, bound(reduced(e), shown))))
+
+    return bound(text, solved)

@@ -95,14 +95,12 @@ def key_page_answers(blocks: DataFrame) -> DataFrame:
 
 
 def answers(rows: DataFrame, question: str = "question") -> DataFrame:
-    """Adds auto and auto_kind. Plain linear equations are solved in place; each other distinct question once, by the parser, and joined back."""
-    asked = T.clean_equation(F.col(question))
-    marked = rows.withColumn("_n", linear_answer(asked))
-    easy = marked.where(F.col("_n").isNotNull() | F.col(question).isNull())
-    easy = easy.withColumns({"auto": F.col("_n"), "auto_kind": F.when(F.col("_n").isNotNull(), F.lit("linear"))})
-    hard = marked.where(F.col("_n").isNull() & F.col(question).isNotNull())
-    solved = hard.select(F.col(question).alias("_q"), asked.alias("_t")).distinct().withColumn("_s", auto_answer("_t")).select("_q", F.col("_s.answer").alias("auto"), F.col("_s.kind").alias("auto_kind"))
-    return easy.unionByName(hard.join(solved, F.col(question) == F.col("_q"), "left").drop("_q")).drop("_n")
+    """Adds auto and auto_kind; each distinct question is solved once and joined back. Plain linear equations are solved by columns, the others by the parser."""
+    asked = rows.select(F.col(question).alias("_q")).where(F.col("_q").isNotNull()).distinct().withColumn("_t", T.clean_equation(F.col("_q")))
+    asked = asked.withColumn("_n", linear_answer(F.col("_t")))
+    asked = asked.withColumn("_s", auto_answer(F.when(F.col("_n").isNull(), F.col("_t"))))
+    solved = asked.select("_q", F.coalesce("_n", "_s.answer").alias("auto"), F.when(F.col("_n").isNotNull(), "linear").otherwise(F.col("_s.kind")).alias("auto_kind"))
+    return rows.join(solved, F.col(question) == F.col("_q"), "left").drop("_q")
 
 
 def waterfall(columns: list[tuple[str, Column]]) -> tuple[Column, Column]:

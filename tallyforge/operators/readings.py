@@ -113,15 +113,14 @@ def niceness(kind: Column, answer: Column) -> Column:
 def readings(rows: DataFrame, raw: str = "raw", limit: int = 3) -> DataFrame:
     """(raw, rank, reading, answer, score, as_read): the best readings of each text, one for each answer.
 
-    Plain linear variants are solved in place, the other distinct ones once, by the parser. The score is four times the niceness and the edits; ties go to fewer edits, then
+    Distinct variants are solved once: plain linear ones by columns, the others by the parser. The score is four times the niceness and the edits; ties go to fewer edits, then
     to the smaller reading. Loose variants need a nice answer; variants without a solution are left out.
     """
     found = variants(rows, raw)
-    text = found.withColumn("text", T.clean_equation(F.col("variant"))).withColumn("plain", linear_answer(F.col("text")))
-    easy = text.where("plain is not null").select(*found.columns, F.col("plain").alias("answer"), F.lit("linear").alias("kind"))
-    hard = text.where("plain is null").drop("plain")
-    asked = hard.select("text").distinct().withColumn("s", solve("text")).where("s.answer is not null").select("text", "s.answer", "s.kind")
-    scored = easy.unionByName(hard.join(asked, "text").drop("text")).withColumn("nice", niceness(F.col("kind"), F.col("answer"))).where("nice < 6 and (not loose or nice <= 1)")
+    asked = found.select("variant").distinct().withColumn("text", T.clean_equation(F.col("variant")))
+    asked = asked.withColumn("plain", linear_answer(F.col("text"))).withColumn("s", solve(F.when(F.col("plain").isNull(), F.col("text"))))
+    asked = asked.select("variant", F.coalesce("plain", "s.answer").alias("answer"), F.when(F.col("plain").isNotNull(), "linear").otherwise(F.col("s.kind")).alias("kind"))
+    scored = found.join(asked, "variant").withColumn("nice", niceness(F.col("kind"), F.col("answer"))).where("nice < 6 and (not loose or nice <= 1)")
     scored = scored.withColumn("score", F.col("nice") * 4 + F.col("edits"))
     one = Window.partitionBy("raw", "answer").orderBy("score", "edits", "variant")
     best = scored.withColumn("k", F.row_number().over(one)).where("k = 1")
