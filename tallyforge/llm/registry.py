@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyforge.llm.chat_views import OP6_SQL, op6_chat_views
+from tallyforge.llm.filter_audit import OP12_SQL, op12_filter_audit
 from tallyforge.llm.hash_search import op8_hash_search
 from tallyforge.llm.lang_id import op5_lang_id
 from tallyforge.llm.lm_score import op1_lm_score
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_hash_search": op8_hash_search,
     "op9_secret_scan": op9_secret_scan,
     "op10_warc": op10_warc,
+    "op12_filter_audit": op12_filter_audit,
     "sentencepiece_unigram": sentencepiece_unigram,
 }
 
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op3_multi_index": OP3_SQL,
     "op6_chat_views": OP6_SQL,
     "op10_warc": OP10_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
