@@ -13,6 +13,7 @@ from tallyforge.llm.secret_scan import op9_secret_scan
 from tallyforge.llm.simhash import op7_simhash
 from tallyforge.llm.sp_codec import op4_sentencepiece, sentencepiece_unigram
 from tallyforge.llm.warc import OP10_SQL, op10_warc
+from tallyforge.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_warc": op10_warc,
     "op12_filter_audit": op12_filter_audit,
+    "op13_whitening": op13_whitening,
     "sentencepiece_unigram": sentencepiece_unigram,
 }
 
