@@ -6,6 +6,7 @@ from tallyforge.llm.chat_views import OP6_SQL, op6_chat_views
 from tallyforge.llm.filter_audit import OP12_SQL, op12_filter_audit
 from tallyforge.llm.hash_search import op8_hash_search
 from tallyforge.llm.lang_id import op5_lang_id
+from tallyforge.llm.license_scan import OP11_SQL, op11_license_scan
 from tallyforge.llm.lm_score import op1_lm_score
 from tallyforge.llm.mixing import op2_mixing
 from tallyforge.llm.multi_index import OP3_SQL, op3_multi_index
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_hash_search": op8_hash_search,
     "op9_secret_scan": op9_secret_scan,
     "op10_warc": op10_warc,
+    "op11_license_scan": op11_license_scan,
     "op12_filter_audit": op12_filter_audit,
     "op13_whitening": op13_whitening,
     "sentencepiece_unigram": sentencepiece_unigram,
@@ -35,5 +37,6 @@ ORACLE_SQL = {
     "op3_multi_index": OP3_SQL,
     "op6_chat_views": OP6_SQL,
     "op10_warc": OP10_SQL,
+    "op11_license_scan": OP11_SQL,
     "op12_filter_audit": OP12_SQL,
 }
