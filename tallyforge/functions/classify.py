@@ -1,32 +1,34 @@
-"""Problem types by the first pattern that matches, and hints of our own wording."""
+"""Problem types by the terms and forms of a text, and hints of our own wording."""
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed list, in order of precedence: type and its clauses, one of which must hold: all its patterns are found in the
-#: lower-case text padded with spaces. The last two types look at the form of the text and are tried after all others.
-TYPES = [
-    ("system", [(r"system of|\btwo equations\b|by substitution|by elimination|solve the system",)]),
-    ("factor", [(r"factor",)]),
-    ("exponents", [(r"\^|exponent|power of a power", r"^[^=]*\z"), (r"positive exponents",)]),
-    ("simplify", [(r"simplif|expand|combine like terms|distribute",)]),
-    ("slope", [(r"slope|y-?intercept|equation of (?:the )?line|y\s*=\s*mx",)]),
-    ("midpoint", [(r"midpoint",)]),
-    ("distance", [(r"distance between|length of (?:the )?segment",)]),
-    ("pythagorean", [(r"pythag|hypotenuse|right triangle",)]),
-    ("area", [(r"\b(?:area|perimeter|circumference)\b",)]),
-    ("volume", [(r"\bvolume\b|surface area",)]),
-    ("angles", [(r"\bangle|complementary|supplementary|vertical angles|transversal|parallel lines",)]),
-    ("congruence", [(r"congruent|\b(?:similar|sss|sas|asa|aas)\b|corresponding sides",)]),
-    ("evaluate", [(r"evaluate|find the value|when x\s*=|substitut",)]),
-    ("quadratic", [(r"quadratic",), (r"solv|=|zero|root", r"[a-z]\s*[*^]\s*2\b|[a-z]²|x\^2|x2\s*[-+]")]),
-    ("linear", [(r"solve|=", r"[a-z]")]),
-]
+#: Fixed values of our own, in order of precedence: the terms of a type. Words are compared in lower case with single spaces
+#: between them; a term begins at a word, and ends at one where a space follows it.
+TERMS = {
+    "system": ["system", "two equations", "substitution", "elimination"],
+    "factor": ["factor"],
+    "exponents": ["positive exponent"],
+    "simplify": ["simplif", "expand", "like terms", "distribut"],
+    "slope": ["slope", "y intercept", "x intercept", "equation of the line", "equation of a line", "y mx "],
+    "midpoint": ["midpoint", "middle point"],
+    "distance": ["distance between", "length of segment", "length of the segment"],
+    "pythagorean": ["pythagor", "hypotenuse", "right triangle"],
+    "area": ["area ", "areas ", "perimeter", "circumference"],
+    "volume": ["volume "],
+    "angles": ["angle", "complementary", "supplementary", "transversal", "parallel lines"],
+    "congruence": ["congruent", "similar ", "corresponding sides", "sss ", "sas ", "asa ", "aas "],
+    "evaluate": ["evaluate", "find the value", "substitut", "when x "],
+    "quadratic": ["quadratic"],
+}
+#: Terms of a text about powers if it has no equals sign, and terms that ask for a solution.
+POWER_TERMS, ASKING_TERMS = ["exponent", "power of a power"], ["solv", "zero", "root"]
+LETTERS = [chr(c) for c in range(ord("a"), ord("z") + 1)]
 #: The names of the types.
 LABELS = {
     "system": "System of equations", "factor": "Factoring", "exponents": "Properties of exponents", "simplify": "Simplify / expressions", "slope": "Slope / line equations", "midpoint": "Midpoint",
@@ -54,14 +56,33 @@ HINTS = {
 }
 
 
+def _any_of(words: Column, terms: list[str]) -> Column:
+    return reduce(or_, [words.contains(f" {t}") for t in terms])
+
+
+def _squared(text: Column) -> Column:
+    """Holds a letter to the second power, its caret lost before a sign or not."""
+    bare = F.translate(F.regexp_replace(text, "²", "^2"), " \t\n", "")
+    return F.exists(F.array(*[F.lit(c) for c in LETTERS]), lambda c: bare.contains(F.concat(c, F.lit("^2"))) | bare.contains(F.concat(c, F.lit("2+"))) | bare.contains(F.concat(c, F.lit("2-"))))
+
+
 def classify(column: Column) -> Column:
-    """The type of a text; 'general' where no clause holds."""
-    padded = F.concat(F.lit(" "), F.lower(F.coalesce(column, F.lit(""))), F.lit(" "))
+    """The type of a text by the first type that has one of its terms or its form; 'general' where none has.
+
+    Forms: a power without an equals sign is about exponents; an equation or a question for roots with a squared letter is
+    quadratic, else with a letter linear. The last two are tried after all others.
+    """
+    text = F.lower(F.coalesce(column, F.lit("")))
+    words = F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9]+", " "), F.lit(" "))
+    equals = text.contains("=")
+    forms = {
+        "exponents": ~equals & (text.contains("^") | _any_of(words, POWER_TERMS)),
+        "quadratic": (equals | _any_of(words, ASKING_TERMS)) & _squared(text),
+    }
     out = F
-    for name, clauses in TYPES:
-        holds = reduce(or_, [reduce(and_, [padded.rlike(p) for p in clause]) for clause in clauses])
-        out = out.when(holds, name)
-    return out.otherwise("general")
+    for name, terms in TERMS.items():
+        out = out.when(_any_of(words, terms) | forms.get(name, F.lit(False)), name)
+    return out.when((equals & text.rlike("[a-z]")) | _any_of(words, ["solv"]), "linear").otherwise("general")
 
 
 def label(type_column: Column) -> Column:

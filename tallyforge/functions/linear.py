@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import gcd
+from tallyforge.functions.text import bound, gcd
 
-#: coefficient, letter, sign and number of a sum with one letter, and the number it equals; numbers have nine digits at most.
-FORM = r"^(-?\d{0,9})([a-z])(?:\s*([-+])\s*(\d{1,9}))?\s*=\s*(-?\d{1,9})\z"
+#: coefficient, letter, sign and number of a sum with one letter, and the number it equals; numbers have nine digits and six decimals at most.
+NUMBER = r"\d{1,9}(?:\.\d{1,6})?"
+FORM = rf"^(-?(?:{NUMBER})?)\s*([a-z])(?:\s*([-+])\s*({NUMBER}))?\s*=\s*(-?{NUMBER})\z"
 
 
-def bound(value: Column, made: Callable[[Column], Column]) -> Column:
-    """made of a value that is computed once, however often made uses it and wherever the optimizer moves the whole."""
-    return F.get(F.transform(F.array(value), made), F.lit(0))
+def millionths(number: Column) -> Column:
+    return (number.try_cast("decimal(15,6)") * 1_000_000).try_cast("bigint")
 
 
 def linear_answer(text: Column) -> Column:
-    """C06: 'v = n/d' of a text a*v + b = c with whole numbers and a not 0; null for any other text, which the parser has to see."""
+    """C06: 'v = n/d' of a text a*v + b = c with whole or decimal numbers and a not 0; null for any other text, which the parser has to see."""
 
     def numbers(t: Column) -> Column:
         part = [F.regexp_extract(t, FORM, i) for i in range(1, 6)]
         a = F.when(part[0].isin("", "-"), F.concat(part[0], F.lit("1"))).otherwise(part[0])
-        n = part[4].try_cast("bigint") - F.coalesce(F.concat(part[2], part[3]).try_cast("bigint"), F.lit(0))
-        return F.struct(part[1].alias("v"), n.alias("n"), a.try_cast("bigint").alias("d"))
+        n = millionths(part[4]) - F.coalesce(millionths(F.concat(part[2], part[3])), F.lit(0))
+        return F.struct(part[1].alias("v"), n.alias("n"), millionths(a).alias("d"))
 
     def reduced(e: Column) -> Column:
         return F.struct(e["v"].alias("v"), e["n"].alias("n"), e["d"].alias("d"), F.greatest(gcd(e["n"], e["d"]), F.lit(1)).alias("g"))

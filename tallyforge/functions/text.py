@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,15 +12,20 @@ from pyspark.sql import functions as F
 INSTRUCTIONS = r"(?i)\b(?:solve(?: for [a-z])?|find [a-z]|simplify|evaluate|factor|work out)\b:?\s*"
 SIGNS = [("[−–—]", "-"), ("[×·]", "*"), ("÷", "/"), ("√", "sqrt"), ("²", "^2"), ("³", "^3"), ("π", "pi")]
 BLANK = r"[a-z]?\s*=?\s*_{2,}\s*$"
-LABEL = r"^\s*(?:\(\d{1,3}\)|\d{1,3}[.)])\s*"
-#: The line break before a mark and the white space behind it belong to it, so an empty problem swallows the next mark.
-MARK = r"(?:^|\n)\s*(\d{1,2})\s*[.)]\s+"
-#: Fixed patterns of what follows a problem: a line that is a title, a form line, a lone letter with a power, an answer in braces and in words.
-TITLE_LINE = r"^[A-Z][A-Za-z0-9 ,'\"&()—.:!?-]{12,}\z"
-FORM_LINE = r"(?i)^(?:name|date|period|class|score)\b"
-CRUMB = r"(?i)^[a-z](?:\^-?\(?[0-9]+\)?)?\z"
-BRACES = r"\{\s*([^{}]{0,48}?)\s*\}\s*\z"
-CLOSING = r"(?i)(No solutions?|All real numbers|Infinitely many solutions)\.?\s*\z"
+LABEL = r"^\s*(?:\(\d{1,3}\)|\d{1,3}(?:\)|\.(?!\d)))\s*"
+#: White space inside a line.
+BLANKS = " \t\f\u000b\r"
+#: First words of lines to be filled in.
+FORM_WORDS = ["name", "date", "period", "class", "score", "teacher"]
+#: Phrases that are an answer at the end of a problem, and the answers.
+CLOSINGS = {"no solution": "no solution", "no solutions": "no solution", "all real numbers": "all real numbers", "infinitely many solutions": "infinitely many solutions"}
+#: Characters of an answer in braces at most.
+BRACED = 48
+
+
+def bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made of a value that is computed once, however often made uses it and wherever the optimizer moves the whole."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
 
 
 def replace_all(column: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -69,14 +75,39 @@ def scanned(column: Column) -> Column:
     return F.length(F.regexp_replace(plain_space(column), r"\s", "")) < 40
 
 
+def numbered(line: Column, most: int = 2) -> Column:
+    """(number, mark, rest) of a line that begins with a number of so many digits and a point or bracket; null for other lines.
+
+    number is what stands there, mark all up to the text behind the white space that follows, rest that text.
+    """
+    def parted(clear: Column) -> Column:
+        tail = F.ltrim(clear, F.lit("0123456789"))
+        digits = F.length(clear) - F.length(tail)
+        sign = F.ltrim(tail, F.lit(BLANKS))
+        rest = F.ltrim(F.substring(sign, F.lit(2), F.length(sign)), F.lit(BLANKS))
+        made = F.struct(F.substring(clear, F.lit(1), digits).alias("number"), F.substring(clear, F.lit(1), F.length(clear) - F.length(rest)).alias("mark"), rest.alias("rest"))
+        return F.when(digits.between(1, most) & F.substring(sign, 1, 1).isin(".", ")"), made)
+
+    return bound(F.ltrim(line, F.lit(BLANKS)), parted)
+
+
 def split_problems(column: Column) -> Column:
-    """Array of (number, body) between the marks of a text's lines; fewer than two marks give an empty array."""
-    cut = F.split(F.regexp_replace(plain_space(column), MARK, "\u0001$1\u0002"), "\u0001")
-    parts = F.transform(
-        F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(1))),
-        lambda p: F.struct(F.regexp_extract(p, "^(\\d+)\u0002", 1).cast("int").alias("number"), F.trim(F.regexp_replace(p, "^\\d+\u0002", ""), F.lit(" \n\t")).alias("body")),
-    )
-    return F.when(F.size(cut) >= 3, parts).otherwise(F.array().cast("array<struct<number:int,body:string>>"))
+    """Array of (number, body) between the marks of a text's lines; fewer than two marks give an empty array.
+
+    A mark is a numbered line with white space, or nothing, behind the mark. One with nothing behind it takes what follows
+    as its body, even if that looks like the next mark.
+    """
+    made = F.transform(F.split(plain_space(column), "\n"), lambda x: F.struct(x.alias("line"), numbered(x).alias("at")))
+    spaced = lambda m: (m["at"]["rest"] == "") | m["at"]["mark"].rlike(r"\s\z")
+    shown = F.transform(made, lambda m: F.when(spaced(m), F.concat(F.lit("\u0001"), m["at"]["number"], F.lit("\u0002"), m["at"]["mark"], F.lit("\u0003"), m["at"]["rest"])).otherwise(m["line"]))
+    taken = F.regexp_replace(F.array_join(shown, "\n"), "\u0001(\\d+)\u0002[^\u0003]*\u0003\\s*\u0001\\d+\u0002([^\u0003]*)\u0003", "\u0001$1\u0002\u0003$2")
+    none = F.array().cast("array<struct<number:int,body:string>>")
+
+    def parts(cut: Column) -> Column:
+        each = lambda p: F.struct(F.substring_index(p, "\u0002", 1).cast("int").alias("number"), F.trim(F.substring_index(p, "\u0003", -1), F.lit(" \n\t")).alias("body"))
+        return F.when(F.size(cut) >= 3, F.transform(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(1))), each)).otherwise(none)
+
+    return bound(F.split(taken, "\u0001"), parts)
 
 
 def paragraphs(column: Column) -> Column:
@@ -84,36 +115,85 @@ def paragraphs(column: Column) -> Column:
     return F.filter(F.transform(F.split(plain_space(column), r"\n\s*\n"), clean_block), lambda p: F.length(p) > 4)
 
 
+def is_title(line: Column) -> Column:
+    """A capital first, 13 characters or more, no equals sign, and three quarters letters and spaces."""
+    letters = F.length(F.regexp_replace(line, "[^A-Za-z ]", ""))
+    return F.substring(line, 1, 1).between("A", "Z") & (F.length(line) >= 13) & ~line.contains("=") & (letters * 4 >= F.length(line) * 3)
+
+
+def is_form(line: Column) -> Column:
+    """The first word is one of a form."""
+    return F.regexp_extract(F.lower(line), "^[a-z]+", 0).isin(*FORM_WORDS)
+
+
+def is_crumb(bare: Column) -> Column:
+    """A line without white space that is one letter, with or without a whole power."""
+    left = F.translate(bare, "^()-0123456789", "")
+    return (F.length(left) == 1) & left.rlike("[A-Za-z]") & bare.startswith(left) & ((F.length(bare) == 1) | (F.substring(bare, 2, 1) == "^"))
+
+
 def clean_block(column: Column) -> Column:
     """Trimmed lines without empty ones, without a title or form line at the end and without a run of crumbs.
 
-    A title is a capitalised line of 13 characters or more without '='; a form line begins with name, date, period,
-    class or score. Crumbs are two or more last lines of one letter with or without a power, in a block of three lines
-    or more whose first has 14 characters that are not white space; a number is no crumb, as it may be a denominator.
+    A run of crumbs is two or more last lines that are crumbs, in a block of three lines or more whose first has 14
+    characters that are not white space; a number is no crumb, as it may be a denominator.
     """
-    lines = F.filter(F.transform(F.split(F.translate(plain_space(column), "\r", ""), "\n"), lambda x: F.trim(x, F.lit(" \t\f\u000b"))), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.translate(plain_space(column), "\r", ""), "\n"), lambda x: F.trim(x, F.lit(BLANKS))), lambda x: x != "")
     last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(""))
-    no_last = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
-    for line in (TITLE_LINE, FORM_LINE):
-        lines = F.when(last(lines).rlike(line) & (F.size(lines) > 1), no_last(lines)).otherwise(lines)
-    bare = F.transform(lines, lambda x: F.regexp_replace(x, r"\s", ""))
-    # the number of the last line that is no crumb, 0 if all are
-    solid = F.aggregate(F.transform(bare, lambda x, i: F.when(x.rlike(CRUMB), 0).otherwise(i + 1)), F.lit(0), lambda a, b: F.greatest(a, b))
-    crumbs = (F.size(lines) >= 3) & (F.length(F.get(bare, F.lit(0))) >= 14) & (F.size(lines) - solid >= 2)
-    return F.array_join(F.when(crumbs, F.slice(lines, 1, F.greatest(solid, F.lit(1)))).otherwise(lines), "\n")
+
+    def without(goes: Callable[[Column], Column], then: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda a: bound(F.when((F.size(a) > 1) & bound(last(a), goes), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a), then)
+
+    def uncrumbed(a: Column) -> Column:
+        bare = F.transform(a, lambda x: F.regexp_replace(x, r"\s", ""))
+        # the number of the last line that is no crumb, 0 if all are
+        solid = F.aggregate(F.transform(bare, lambda x, i: F.when(is_crumb(x), 0).otherwise(i + 1)), F.lit(0), lambda x, y: F.greatest(x, y))
+        first = F.length(F.regexp_replace(F.get(a, F.lit(0)), r"\s", ""))
+        kept = bound(solid, lambda n: F.when((F.size(a) >= 3) & (first >= 14) & (F.size(a) - n >= 2), F.slice(a, 1, F.greatest(n, F.lit(1)))).otherwise(a))
+        return F.array_join(kept, "\n")
+
+    return bound(lines, without(is_title, without(is_form, uncrumbed)))
+
+
+def _braced(column: Column) -> Column:
+    """What stands between the last opening brace and a closing one at the end; null if there are none or too much is between."""
+    def between(inner: Column) -> Column:
+        held = F.substring(inner, F.lit(1), F.length(inner) - 1)
+        return F.when(inner.endswith("}") & ~held.contains("}") & (F.length(F.trim(held, F.lit(BLANKS + "\n"))) <= BRACED), held)
+
+    text = F.rtrim(column, F.lit(BLANKS + "\n"))
+    return F.when(text.contains("{"), bound(F.substring_index(text, "{", -1), between))
+
+
+def _closing(column: Column) -> Column:
+    """The phrase at the end of a text, in lower case with single spaces; null if it ends otherwise."""
+    def phrase(words: Column) -> Column:
+        ends = [F.array_join(F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), F.lit(n)), " ") for n in (2, 3)]
+        return F.coalesce(*[F.when(e.isin(*CLOSINGS), e) for e in ends])
+
+    return bound(F.split(F.lower(F.rtrim(column, F.lit(BLANKS + "\n."))), r"\s+"), phrase)
 
 
 def inline_answer(column: Column) -> Column:
-    """What stands in braces at the end, if it has a digit or begins with x, no or all (else ''); without braces a closing phrase less its last s; else null."""
-    braces = F.regexp_extract(column, BRACES, 1)
-    inner = F.trim(F.regexp_replace(F.regexp_replace(braces, r"\s*−\s*", "-"), r"\s+", " "))
-    phrase = F.nullif(F.regexp_replace(F.regexp_extract(column, CLOSING, 1), "(?i)s\\z", ""), F.lit(""))
-    return F.when(column.rlike(BRACES), F.when(inner.rlike(r"\d|^(?i:x|no|all)"), inner).otherwise("")).otherwise(phrase)
+    """What stands in braces at the end, if it has a digit or begins with x, no or all (else ''); without braces the answer that a closing phrase is; else null."""
+    inner = F.trim(F.regexp_replace(F.regexp_replace(_braced(column), r"\s*−\s*", "-"), r"\s+", " "))
+    answers = F.create_map(*[F.lit(x) for pair in CLOSINGS.items() for x in pair])
+    told = lambda t: t.rlike("[0-9]") | F.exists(F.array(*[F.lit(w) for w in ("x", "no", "all")]), lambda w: F.startswith(F.lower(t), w))
+    return bound(inner, lambda t: F.when(t.isNotNull(), F.when(told(t), t).otherwise("")).otherwise(F.try_element_at(answers, _closing(column))))
 
 
 def without_inline_answer(column: Column) -> Column:
     """The question before an answer of inline_answer; braces go even where they hold no answer."""
-    return F.trim(F.when(column.rlike(BRACES), F.regexp_replace(column, BRACES, "")).otherwise(F.regexp_replace(column, CLOSING, "")), F.lit(" \n\t"))
+    text = F.rtrim(column, F.lit(BLANKS + "\n"))
+    words = F.split(F.rtrim(column, F.lit(BLANKS + "\n.")), r"(?=\s\S)")
+
+    def cut(found: Column) -> Column:
+        before = F.substring(text, F.lit(1), F.length(text) - F.length(found["braced"]) - 2)
+        n = F.size(F.split(found["closing"], " "))
+        spoken = F.array_join(F.slice(words, 1, F.greatest(F.size(words) - n, F.lit(0))), "")
+        return F.trim(F.when(found["braced"].isNotNull(), before).when(found["closing"].isNotNull(), spoken).otherwise(column), F.lit(" \n\t"))
+
+    return bound(F.struct(_braced(column).alias("braced"), _closing(column).alias("closing")), cut)
 
 
 def looks_mathy(column: Column) -> Column:

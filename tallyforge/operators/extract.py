@@ -7,47 +7,95 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.functions.linear import linear_answer
-from tallyforge.functions.udfs import auto_answer
+from tallyforge.functions.text import bound
+from tallyforge.functions.udfs import auto_answer, solve
 
-#: Fixed patterns: the start of a key, a line of it, and one of several answers of a line, up to the next or the end.
-KEY_START = r"(?i)answer\s*key|(?:^|\n)\s*(?:answer|solution)s?(?=\s*[:.]?(?:\s*\n|\s+\d))"
-KEY_LINE = r"^\s*(\d{1,2})\s*[.)]\s*(\S.*?)\s*\z"
-KEY_ITEM = r"(?:^|\s)(\d{1,2})[.)]\s+([^\n]+?)(?=\s+\d{1,2}[.)]\s|\s*\z)"
+#: Words that head a key when they stand alone or before its first number.
+HEADINGS = ["answer", "answers", "solution", "solutions"]
+#: Characters of an answer among several of a line at most.
+INLINE = 40
+
+
+def _behind_heading(line: Column) -> Column:
+    """What follows the heading of a key in its line; null for lines that are none. 'Answer key' heads one wherever it stands."""
+    first = F.regexp_extract(F.lower(line), r"^\s*([a-z]+)", 1)
+    rest = F.regexp_replace(line, r"^\s*[A-Za-z]+[:.]?", "")
+    alone = (F.trim(rest, F.lit(T.BLANKS)) == "") | rest.rlike(r"^\s+[0-9]")
+    named = F.get(F.split(line, r"(?i)answer\s*key", 2), F.lit(1))
+    return F.coalesce(named, F.when(first.isin(*HEADINGS) & alone, rest))
 
 
 def split_key(pages: DataFrame) -> DataFrame:
-    """Adds body and key_text, the text before and after the start of the answer key."""
-    t = T.plain_space(F.col("text"))
-    parts = F.split(t, KEY_START, 2)
-    return pages.withColumns({"body": F.get(parts, F.lit(0)), "key_text": F.coalesce(F.get(parts, F.lit(1)), F.lit(""))})
+    """Adds body and key_text, the text before and after the heading of the answer key; without one all is body."""
+    lines = F.split(T.plain_space(F.col("text")), "\n")
+    behind = F.transform(lines, _behind_heading)
+    at = F.coalesce(F.array_position(F.transform(behind, lambda b: b.isNotNull()), F.lit(True)), F.lit(0)).cast("int")
+    cut = pages.withColumns({"_lines": lines, "_behind": behind, "_at": at})
+    head = F.get(F.split(F.get("_lines", F.col("_at") - 1), r"(?i)answer\s*key", 2), F.lit(0))
+    head = F.when(F.get("_lines", F.col("_at") - 1).rlike(r"(?i)answer\s*key"), head).otherwise("")
+    body = F.array_join(F.concat(F.slice("_lines", 1, F.greatest(F.col("_at") - 1, F.lit(0))), F.array(head)), "\n")
+    key = F.array_join(F.concat(F.array(F.get("_behind", F.col("_at") - 1)), F.slice("_lines", F.col("_at") + 1, F.size("_lines"))), "\n")
+    found = F.col("_at") > 0
+    return cut.withColumns({"body": F.when(found, body).otherwise(F.array_join("_lines", "\n")), "key_text": F.when(found, key).otherwise("")}).drop("_lines", "_behind", "_at")
 
 
-def key_lines(pages: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, number, value, n_numbers) of lines 'N) value', the last one of a number; number is text, n_numbers counts those of the ids."""
-    lines = pages.select(*ids, F.posexplode(F.split("key_text", "\n")).alias("line_no", "line"))
-    found = lines.select(*ids, "line_no", F.regexp_extract("line", KEY_LINE, 1).alias("number"), F.regexp_replace(F.regexp_extract("line", KEY_LINE, 2), r"\s+", " ").alias("value"))
-    per = found.where("number <> ''").groupBy(*ids, "number").agg(F.max_by("value", "line_no").alias("value"))
-    return per.withColumn("n_numbers", F.count("*").over(Window.partitionBy(*ids)))
+def line_entries(key_text: Column) -> Column:
+    """Array of (number, value) of the lines 'N) value'; number is text."""
+    found = F.transform(F.split(key_text, "\n"), T.numbered)
+    kept = F.filter(found, lambda m: m.isNotNull() & (F.trim(m["rest"], F.lit(T.BLANKS)) != ""))
+    return F.transform(kept, lambda m: F.struct(m["number"].alias("number"), F.trim(F.regexp_replace(m["rest"], r"\s+", " ")).alias("value")))
+
+
+def _entries_of(line: Column) -> Column:
+    tokens = F.filter(F.split(line, r"\s+"), lambda t: t != "")
+    is_mark = lambda t: F.length(t).between(2, 3) & F.substring(t, -1, 1).isin(".", ")") & (F.ltrim(F.substring(t, F.lit(1), F.length(t) - 1), F.lit("0123456789")) == "")
+    places = lambda made: F.filter(F.transform(made, lambda t, i: F.when(is_mark(t), i + 1)), lambda i: i.isNotNull())
+
+    def items(pair: Column) -> Column:
+        at, words = pair["at"], pair["tokens"]
+        upto = lambda k: F.coalesce(F.get(at, k + 1), F.size(words) + 1)
+        return F.transform(at, lambda p, k: F.struct(F.substring_index(F.substring_index(F.get(words, p - 1), ")", 1), ".", 1).alias("number"), F.array_join(F.slice(words, p + 1, upto(k) - p - 1), " ").alias("value")))
+
+    return bound(F.struct(tokens.alias("tokens"), places(tokens).alias("at")), items)
+
+
+def inline_entries(key_text: Column) -> Column:
+    """Array of (number, value) of answers 'N) value' that follow each other in a line, values of at most 40 characters."""
+    every = F.flatten(F.transform(F.split(key_text, "\n"), _entries_of))
+    return F.filter(every, lambda e: F.length(e["value"]).between(1, INLINE))
 
 
-def key_inline(pages: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, number, value) of answers 'N) value' that follow each other, on a line or on several; values of at most 40 characters, the last one of a number."""
-    items = F.arrays_zip(*[F.expr(f"regexp_extract_all(key_text, r'{KEY_ITEM}', {k})").alias(n) for k, n in ((1, "number"), (2, "value"))])
-    each = pages.select(*ids, F.posexplode(items).alias("at", "item")).select(*ids, "at", "item.number", F.trim(F.regexp_replace("item.value", r"\s+", " ")).alias("value"))
-    return each.where(F.length("value").between(1, 40)).groupBy(*ids, "number").agg(F.max_by("value", "at").alias("value"))
+def _last_values(entries: Column) -> Column:
+    """Number to value, the last one of a number; numbers have two digits, so there are a hundred and ten at most."""
+    numbers = F.array_distinct(F.transform(entries, lambda e: e["number"]))
+    return F.map_from_arrays(numbers, F.transform(numbers, lambda n: F.element_at(F.filter(entries, lambda e: e["number"] == n), -1)["value"]))
+
+
+def key_map(key_text: Column) -> Column:
+    """Number (as it is written) to value: of lines if they have two numbers or more; else of answers that follow each other, and of lines where those have none."""
+
+    def chosen(e: Column) -> Column:
+        by_line, by_inline = _last_values(e["line"]), _last_values(e["inline"])
+        missing = F.map_filter(by_line, lambda n, v: ~F.map_contains_key(by_inline, n))
+        return F.when(F.size(by_line) >= 2, by_line).otherwise(F.map_concat(by_inline, missing))
+
+    return bound(F.struct(line_entries(key_text).alias("line"), inline_entries(key_text).alias("inline")), chosen)
+
+
+def key_lines(pages: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, number, value, n_numbers) of lines 'N) value', the last one of a number; number is text, n_numbers counts those of the ids."""
+    found = pages.select(*ids, _last_values(line_entries(F.col("key_text"))).alias("key"))
+    return found.select(*ids, F.explode("key").alias("number", "value"), F.size("key").alias("n_numbers"))
 
 
 def answer_key(pages: DataFrame, ids: list[str]) -> DataFrame:
-    """One value for each number: of lines if they have two numbers or more; else of answers that follow each other, and of lines where those have none.
+    """One value for each number of a page's key; a row of pages is a page, read once.
 
     Numbers are compared as they are written, so one with a leading zero answers no problem.
     """
-    cut = split_key(pages)
-    joined = key_lines(cut, ids).withColumnRenamed("value", "by_line").join(key_inline(cut, ids).withColumnRenamed("value", "by_inline"), [*ids, "number"], "full_outer")
-    enough = F.coalesce(F.max("n_numbers").over(Window.partitionBy(*ids)), F.lit(0)) >= 2
-    value = F.when(enough, F.col("by_line")).otherwise(F.coalesce("by_inline", "by_line"))
+    rows = split_key(pages).select(*ids, F.explode(key_map(F.col("key_text"))).alias("number", "value"))
     plain = F.col("number").cast("int")
-    return joined.select(*ids, "number", value.alias("value")).where(F.col("value").isNotNull()).where(plain.cast("string") == F.col("number")).withColumn("number", plain)
+    return rows.where(plain.cast("string") == F.col("number")).withColumn("number", plain)
 
 
 def split_pages(pages: DataFrame, ids: list[str]) -> DataFrame:
@@ -61,15 +109,18 @@ def split_pages(pages: DataFrame, ids: list[str]) -> DataFrame:
 def problems(pages: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, pos, number, question, answer, answer_source); the key goes before an answer in the text, none is ''.
 
-    Paragraphs of texts without marks are questions as they stand.
+    A page's problems are looked up in its own key, so there is one pass and no shuffle. Paragraphs of texts without marks
+    are questions as they stand.
     """
-    body = split_key(pages).select(*ids, F.col("body").alias("text"))
-    rows = split_pages(body, ids).withColumn("block", F.when(F.col("marked"), T.clean_block(F.col("body"))).otherwise(F.col("body")))
+    cut = split_key(pages).select(*ids, T.split_problems(F.col("body")).alias("parts"), F.transform(T.paragraphs(F.col("body")), lambda p, i: F.struct((i + 1).alias("number"), p.alias("body"))).alias("plain"), key_map(F.col("key_text")).alias("key"))
+    marked = F.size("parts") > 0
+    parts = F.transform(F.when(marked, F.col("parts")).otherwise(F.col("plain")), lambda p: F.struct(p["number"].alias("number"), p["body"].alias("body"), F.try_element_at("key", p["number"].cast("string")).alias("value")))
+    rows = cut.select(*ids, marked.alias("marked"), F.posexplode(parts).alias("pos", "part")).select(*ids, "pos", "part.*", "marked")
+    rows = rows.withColumn("block", F.when(F.col("marked"), T.clean_block(F.col("body"))).otherwise(F.col("body")))
     inline = F.when(F.col("marked"), F.nullif(T.inline_answer(F.col("block")), F.lit("")))
     rows = rows.withColumns({"inline": inline, "question": F.when(F.col("marked"), T.without_inline_answer(F.col("block"))).otherwise(F.col("block"))}).where(F.length("question") >= 2)
-    out = rows.join(answer_key(pages, ids), [*ids, "number"], "left")
     value = F.when(F.col("marked"), F.nullif(F.col("value"), F.lit("")))
-    return out.select(
+    return rows.select(
         *ids, "pos", "number", "question", F.coalesce(value, "inline", F.lit("")).alias("answer"), F.when(value.isNotNull(), "key").when(F.col("inline").isNotNull(), "inline").otherwise("").alias("answer_source")
     )
 
@@ -103,6 +154,13 @@ def answers(rows: DataFrame, question: str = "question") -> DataFrame:
     return rows.join(solved, F.col(question) == F.col("_q"), "left").drop("_q")
 
 
+def solutions(rows: DataFrame, question: str) -> DataFrame:
+    """(question, answer, kind) of distinct texts: plain linear equations by columns, the others by the parser."""
+    asked = rows.withColumn("_t", T.clean_equation(F.col(question)))
+    asked = asked.withColumn("_n", linear_answer(F.col("_t"))).withColumn("_s", solve(F.when(F.col("_n").isNull(), F.col("_t"))))
+    return asked.select(question, F.coalesce("_n", "_s.answer").alias("answer"), F.when(F.col("_n").isNotNull(), "linear").otherwise(F.col("_s.kind")).alias("kind"))
+
+
 def waterfall(columns: list[tuple[str, Column]]) -> tuple[Column, Column]:
     """(answer, source): the first that is neither null nor '', and its name."""
     given = [(n, F.nullif(c, F.lit(""))) for n, c in columns]

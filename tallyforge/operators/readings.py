@@ -1,129 +1,118 @@
-"""Plausible readings of garbled questions: variants, exact answers, ranked."""
+"""Plausible readings of garbled questions: the cheapest paths of a lattice, solved exactly and ranked."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
-from tallyforge.functions.linear import linear_answer
-from tallyforge.functions.udfs import solve
-
-#: Fixed rules of glyphs that are read for others, in order: pattern and replacement.
-SWAPS = [
-    (r"[lI](?=\d)|(?<=\d)[lI]", "1"),
-    (r"\b[lI]\b", "1"),
-    (r"[lI|](?=\s*\d)", "="),
-    (r"[oO]", "0"),
-    (r"\bS\b", "5"),
-    (r"(?<=[-+*/(=]\s?)S|S(?=\s?[-+*/)=])", "5"),
-    (r"\bS(?=\d)|(?<=\d)S\b", "5"),
-    (r"[Zz](?=\s*\d)|(?<=\d)\s*[Zz]", "2"),
-    (r"[Bß](?=\s|=|\z)", "8"),
-    (r"\bg\b", "9"),
-    (r"(?<=\d)\s*g|g\s*(?=\d)", "9"),
-    (r"\?", "7"),
-    (r"[Tt](?=[a-z])", ""),
-    (r"(?<=\d)[lI](?=\d)", ""),
-    (r"(?<=[\d)])\s*[Tt]\s*(?=[\d(])", " - "),
-    (r"(?<=[\d)])\s*[Tt]\s*(?=[\d(])", " + "),
-    (r"[—–]", "-"),
-    (r"(?<=\d) (?=\d\b)", "."),
-]
-#: Fixed patterns of a problem's label, words of instruction, an answer blank at the end and a lone letter behind a gap.
-LABEL = r"^\s*\(?\d{1,2}\)?[.)]\s*"
-ASKED = r"(?i)solve(?:\s+the\s+equation)?(?:\s+for\s+[a-z])?\s*[:.]?"
-ANSWER_BLANK = r"(?:[,;]?\s*[a-zA-Z]\s*=\s*_*\s*)+\z"
-LONE_LETTER = r"(?:\n|\s{2,})[a-zA-Z]\s*\z"
-
-
-def first(pattern: str, text: Column, replacement: str) -> Column:
-    """text with the first match of a pattern replaced; groups count from 2."""
-    return F.regexp_replace(text, rf"(?s)^(.*?){pattern}", f"$1{replacement}")
-
-
-def one_line(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+from tallyforge.functions.lattice import BUDGET, Lattice
+from tallyforge.operators.extract import solutions
+from tallyforge.sources.scratch import drop, keep
+
+#: Readings are solved in bands of costs above a text's cheapest reading; a later band only for texts whose best three it can change.
+BANDS = [(0, 4), (5, BUDGET)]
 
 
 def base_reading(raw: Column) -> Column:
-    """A garbled text without label, instruction and answer blank, on one line; its glyphs stay as they were read."""
-    c = F.regexp_replace(F.regexp_replace(raw, r"\r", " "), r"\n+", "\n")
-    c = first(ASKED, F.regexp_replace(c, LABEL, ""), "")
-    c = F.regexp_replace(F.regexp_replace(c, r"[·∙×]", "*"), "÷", "/")
-    c = F.regexp_replace(F.regexp_replace(c, ANSWER_BLANK, ""), LONE_LETTER, "")
-    return F.trim(F.regexp_replace(c, r"\s*\n\s*", " "), F.lit(" \t\n"))
+    """A garbled text without label, instruction and answer blanks, on one line; its glyphs stay as they were read.
+
+    The text is cut at line breaks, commas and semicolons. Pieces at the end that hold nothing but a blank (a letter, an
+    equals sign and underscores, or less) go, so do last lines of a single letter.
+    """
+    c = F.regexp_replace(F.regexp_replace(T.replace_all(F.regexp_replace(raw, "\r", ""), [(T.LABEL, ""), (T.INSTRUCTIONS, "")]), "[×·∙]", "*"), "÷", "/")
+    pieces = F.split(c, r"(?<=[\n;,])")
+    bare = F.transform(pieces, lambda p: F.regexp_replace(p, r"[\s;,_]", ""))
+    blank = lambda b: (b == "") | (F.length(b) == 1) & b.rlike("[A-Za-z]") | (F.length(b) <= 2) & b.endswith("=")
+    solid = F.array_max(F.concat(F.array(F.lit(1)), F.transform(bare, lambda b, i: F.when(blank(b), 0).otherwise(i + 1))))
+    kept = F.array_join(F.slice(pieces, 1, solid), "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(kept, r"[A-Za-z]?\s*=?\s*_{2,}\s*\z", ""), r"[\s;,]+\z", ""), r"\s*\n\s*", " "))
+
 
+def paths(texts: DataFrame, low: int = 0, high: int = BUDGET) -> DataFrame:
+    """(raw, least, variant, edits, loose): each reading of (raw, base) whose cost is low to high above least, the cheapest one's; texts that no equation can come of have none."""
 
-def candidate(base: Column, variant: Column, more: int, is_loose: bool = False) -> Column:
-    """A variant on one line, its edits from the base (more added) and whether it is a loose one."""
-    return F.struct(one_line(variant).alias("variant"), (F.levenshtein(base, variant) + more).cast("int").alias("edits"), F.lit(is_loose).alias("loose"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for raw, base in zip(batch.column("raw").to_pylist(), batch.column("base").to_pylist(), strict=True):
+                lattice = Lattice(base)
+                least = lattice.least()
+                for cost in range(least + low, least + high + 1) if least is not None else ():
+                    for reading, loose in lattice.paths(cost):
+                        rows.append((raw, least, reading, cost, loose))
+                        if len(rows) == 20_000:
+                            yield batch_of(rows)
+                            rows = []
+            yield batch_of(rows)
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_()), strict=True)], names=["raw", "least", "variant", "edits", "loose"])
 
-def swaps(base: Column) -> Column:
-    """Array of variants, each rule alone where it changes the text."""
-    return F.filter(F.array(*[F.regexp_replace(base, p, r) for p, r in SWAPS]), lambda v: v != base)
+    return texts.select("raw", "base").mapInArrow(run, "raw string, least int, variant string, edits int, loose boolean")
 
 
-def structural(text: Column) -> Column:
-    """Array of variants: a decimal point lost from one of the two-digit numbers, a sum that belongs under a slash, an operator, a power or an equals sign lost."""
-    # a number of two digits that stands alone, found by the four characters around each place
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(padded, i, F.lit(4)).rlike(r"^[^0-9.][0-9]{2}[^0-9.]\z"))
-    points = F.transform(places, lambda i: F.concat(F.substring(text, F.lit(1), i), F.lit("."), F.substring(text, i + 1, F.length(text))))
-    term, gap = r"([\d(][\w+\-() ]*?)\s*/\s*(\w+)\s*([+-])\s*(\w+)", r"([A-Za-z0-9)])\s+([A-Za-z0-9(])"
-    power = F.when(~text.contains("^"), F.regexp_replace(text, r"(?i)([a-z])\s*\*?\s*2\b", "$1^2"))
-    equals = F.when(~text.contains("="), F.regexp_replace(text, r"(?i)^(.*[a-z].*?)\s+(-?\d+(?:\.\d+)?)\s*\z", "$1 = $2"))
-    others = F.array(first(term, text, "$2/($3 $4 $5)"), *[first(gap, text, f"$2 {op} $3") for op in "+-*"], power, equals)
-    return F.concat(points, F.filter(others, lambda v: v.isNotNull() & (v != text)))
+def bases(rows: DataFrame, raw: str = "raw") -> DataFrame:
+    """(raw, base) of the distinct texts; null ones and those without anything to read are left out."""
+    texts = rows.select(F.col(raw).alias("raw")).where(F.col(raw).isNotNull()).distinct().withColumn("base", base_reading(F.col("raw"))).where("base <> ''")
+    return spread(texts)
 
 
-def loose(base: Column) -> Column:
-    """Array of variants: each operator turned into its opposite, one at a time, and the sign of a lone right side turned."""
-    flips = F.create_map(*[F.lit(x) for pair in ("+-", "-+", "*/", "/*") for x in pair])
-    spots = F.filter(F.sequence(F.lit(1), F.greatest(F.length(base), F.lit(1))), lambda i: F.substring(base, i, F.lit(1)).isin("+", "-", "*", "/"))
-    turned = F.transform(spots, lambda i: F.concat(F.substring(base, F.lit(1), i - 1), F.try_element_at(flips, F.substring(base, i, F.lit(1))), F.substring(base, i + 1, F.length(base))))
-    number = r"(\d+(?:\.\d+)?)\s*\z"
-    right = F.when(base.rlike(rf"=\s*-{number}"), F.regexp_replace(base, rf"=\s*-{number}", "= $1")).when(base.rlike(rf"=\s*{number}"), F.regexp_replace(base, rf"=\s*{number}", "= -$1"))
-    return F.concat(turned, F.filter(F.array(right), lambda v: v.isNotNull()))
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all shuffle partitions: few bytes but much work each, which adaptive execution would put into one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def variants(rows: DataFrame, raw: str = "raw") -> DataFrame:
-    """(raw, variant, edits, loose): distinct variants of each distinct raw text with their least edits; loose if a loose form gives it at all."""
-    base = rows.select(F.col(raw).alias("raw")).where(F.col(raw).isNotNull()).distinct().withColumn("base", base_reading(F.col("raw"))).where("base <> ''")
-    b, every = F.col("base"), F.col("every")
-    base = base.withColumns({"singles": swaps(b), "every": T.replace_all(b, SWAPS)})
-    # seeds that repeat are dropped before the next step multiplies them
-    seeds = base.withColumn("seeds", F.array_distinct(F.concat(F.array(b), "singles", F.array(every))))
-    single = F.transform("singles", lambda v: candidate(b, v, 0))
-    deep = F.transform(F.array_distinct(F.flatten(F.transform("seeds", structural))), lambda v: candidate(b, v, 1))
-    far = F.transform(loose(b), lambda v: candidate(b, v, 3, True))
-    both = F.array(candidate(b, b, 0), candidate(b, every, 1))
-    found = seeds.select("raw", F.explode(F.concat(both, single, deep, far)).alias("v")).select("raw", "v.*")
-    return found.where("variant <> ''").groupBy("raw", "variant").agg(F.min("edits").alias("edits"), F.max("loose").alias("loose"))
+    """(raw, variant, edits, loose): the distinct readings of each distinct text with their least cost; loose if that cost needs a loose edge."""
+    return paths(bases(rows, raw)).groupBy("raw", "variant").agg(F.min("edits").alias("edits"), F.min_by("loose", F.struct("edits", "loose")).alias("loose"))
 
 
 def niceness(kind: Column, answer: Column) -> Column:
     """0 for integers, 1 for fractions with denominators up to 12, 2 for other rationals and for all numbers, 4 for radicals (their text has approximations), 6 for none, 9 for no answer."""
-    bottoms = F.transform(F.expr(r"regexp_extract_all(answer, r'/(\d+)', 1)"), lambda x: x.cast("bigint"))
-    rational = F.when(F.size(bottoms) == 0, 0).when(F.array_max(bottoms) <= 12, 1).otherwise(2)
+    bottoms = F.transform(F.expr(r"regexp_extract_all(answer, r'/(\d+)', 1)"), lambda x: x.try_cast("bigint"))
+    rational = F.when(F.size(bottoms) == 0, 0).when(F.coalesce(F.array_max(F.transform(bottoms, lambda x: F.coalesce(x, F.lit(99)))), F.lit(99)) <= 12, 1).otherwise(2)
     return F.when(answer.isNull(), 9).when(kind == "radical", 4).when(kind.isin("none", "complex"), 6).when(kind == "all", 2).otherwise(rational)
 
 
+def scored(found: DataFrame) -> DataFrame:
+    """The readings that have an answer: adds answer and score, four times the niceness and the cost. A loose one needs a nice answer. Each distinct reading is solved once."""
+    asked = solutions(spread(found.select("variant").distinct()), "variant")
+    nice = found.join(asked, "variant").withColumn("nice", niceness(F.col("kind"), F.col("answer"))).where("nice < 6 and (not loose or nice <= 1)")
+    return nice.select("raw", "least", "variant", "edits", "answer", (F.col("nice") * 4 + F.col("edits")).alias("score"))
+
+
+def best_of(rows: DataFrame, limit: int) -> DataFrame:
+    """The best reading of each answer, and of those the best of each text, with their rank."""
+    order = ["score", "edits", "variant"]
+    one = rows.withColumn("rank", F.row_number().over(Window.partitionBy("raw", "answer").orderBy(*order))).where("rank = 1")
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy("raw").orderBy(*order))).where(F.col("rank") <= limit)
+
+
 def readings(rows: DataFrame, raw: str = "raw", limit: int = 3) -> DataFrame:
-    """(raw, rank, reading, answer, score, as_read): the best readings of each text, one for each answer.
+    """(raw, rank, reading, answer, score, as_read): the best readings of each text, one for each answer, exact among all within the budget.
 
-    Distinct variants are solved once: plain linear ones by columns, the others by the parser. The score is four times the niceness and the edits; ties go to fewer edits, then
-    to the smaller reading. Loose variants need a nice answer; variants without a solution are left out.
+    A reading's score is at least its cost. So a text is done once its last rank scores no more than the next band's
+    cheapest reading costs (of equal scores the one with fewer edits is first), and only the others are read on. Ties go
+    to fewer edits, then to the smaller reading. Null and empty texts, and those that no equation can come of, have no readings.
     """
-    found = variants(rows, raw)
-    asked = found.select("variant").distinct().withColumn("text", T.clean_equation(F.col("variant")))
-    asked = asked.withColumn("plain", linear_answer(F.col("text"))).withColumn("s", solve(F.when(F.col("plain").isNull(), F.col("text"))))
-    asked = asked.select("variant", F.coalesce("plain", "s.answer").alias("answer"), F.when(F.col("plain").isNotNull(), "linear").otherwise(F.col("s.kind")).alias("kind"))
-    scored = found.join(asked, "variant").withColumn("nice", niceness(F.col("kind"), F.col("answer"))).where("nice < 6 and (not loose or nice <= 1)")
-    scored = scored.withColumn("score", F.col("nice") * 4 + F.col("edits"))
-    one = Window.partitionBy("raw", "answer").orderBy("score", "edits", "variant")
-    best = scored.withColumn("k", F.row_number().over(one)).where("k = 1")
-    rank = F.row_number().over(Window.partitionBy("raw").orderBy("score", "edits", "variant"))
-    out = best.withColumn("rank", rank).where(F.col("rank") <= limit)
-    return out.select("raw", "rank", F.col("variant").alias("reading"), "answer", "score", (F.col("edits") == 0).alias("as_read"))
+    texts = keep(bases(rows, raw), "texts")
+    left, best, done = texts, None, []
+    for low, high in BANDS:
+        found = keep(paths(left, low, high), "paths")
+        now = scored(found)
+        both = now if best is None else best.drop("rank").unionByName(now)
+        best = keep(best_of(both, limit), "best")
+        done += [found, best]
+        if high == BUDGET:
+            break
+        last = best.groupBy("raw").agg(F.count("*").alias("n"), F.max("score").alias("last"))
+        read_on = found.groupBy("raw").agg(F.min("least").alias("least")).join(last, "raw", "left").where((F.coalesce("n", F.lit(0)) < limit) | (F.col("last") > F.col("least") + high + 1))
+        left = texts.join(read_on, "raw", "left_semi")
+    for table in [texts, *done[:-1]]:
+        drop(table)
+    return best.select("raw", "rank", F.col("variant").alias("reading"), "answer", "score", (F.col("edits") == 0).alias("as_read"))

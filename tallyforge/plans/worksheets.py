@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text as T
 from tallyforge.functions.classify import HINTS, LABELS, classify, hint_at, hints, label
 from tallyforge.operators import extract as X
-from tallyforge.sources import files
+from tallyforge.sources import files, scratch
 from tallyforge.sources.adapters import CARDS, SHEETS, cards, sheets, table, worksheets
 
 
@@ -48,8 +48,8 @@ def b07(s, d):
 
 #: Ends of problems with the answer in them, and whether the end leaves the question.
 ENDINGS = [
-    (" { 36 }", "36", True), (" No solution.", "No solution", True), (" {see text}", "", True), ("", None, False), (" no solutions", "no solution", True), (" {  X  =  − 5 }", "X =-5", True), (" Infinitely many solutions ", "Infinitely many solution", True),
-    (" {none} of them", None, False), (" {}", "", True),
+    (" { 36 }", "36", True), (" No solution.", "no solution", True), (" {see text}", "", True), ("", None, False), (" no   solutions", "no solution", True), (" {  X  =  − 5 }", "X =-5", True), (" Infinitely many solutions ", "infinitely many solutions", True),
+    (" {none} of them", None, False), (" {}", "", True), (" { and so on, word by word, until there are too many of them }", None, False), (" ALL real numbers", "all real numbers", True),
 ]
 
 
@@ -68,9 +68,9 @@ PROMPTS = [
     ("Solve the system by substitution", "system"), ("Factor x^2 - 9", "factor"), ("x^2 * x^3", "exponents"), ("Simplify 3x + 2x", "simplify"), ("Find the slope through both points", "slope"),
     ("Find the midpoint", "midpoint"), ("What is the distance between A and B?", "distance"), ("The area of a right triangle", "pythagorean"), ("The perimeter of a square", "area"), ("The volume of a box", "volume"),
     ("The angles are complementary", "angles"), ("Are the figures similar?", "congruence"), ("Find the value of 3a", "evaluate"), ("x^2 + 3x = 4", "quadratic"), ("3x + 1 = 7", "linear"), ("How many apples are left?", "general"),
-    ("Two equations", "system"), ("The system has a root", "general"), ("Give the power of a power", "exponents"), ("Use positive exponents: x^2 = y", "exponents"), ("y-intercept and y = mx + b", "slope"),
-    ("The length of segment AB", "distance"), ("The surface area of a cube", "area"), ("Does SSS hold?", "congruence"), ("When x = 3, what is y?", "evaluate"), ("The roots of x2 + 5", "quadratic"), ("x*2 = zero", "quadratic"),
-    ("3 = 4", "general"), ("an arealike shape", "general"), ("x^2 - 1 = 0", "quadratic"), ("Distribute 2(x + 1) = 4", "simplify"),
+    ("Two equations", "system"), ("The square has a root", "general"), ("Give the power of a power", "exponents"), ("Use positive exponents: x^2 = y", "exponents"), ("y-intercept and y = mx + b", "slope"),
+    ("The length of segment AB", "distance"), ("The surface area of a cube", "area"), ("Does SSS hold?", "congruence"), ("When x = 3, what is y?", "evaluate"), ("The roots of x2 + 5", "quadratic"), ("x*2 = zero", "linear"),
+    ("3 = 4", "general"), ("an arealike shape", "general"), ("x^2 - 1 = 0", "quadratic"), ("Distribute 2(x + 1) = 4", "simplify"), ("Solve for the unknown number", "linear"), ("4y² = 16", "quadratic"), ("A similarity of sorts", "general"),
 ]
 
 
@@ -161,10 +161,7 @@ def h04(s, d):
 
 def h01(s, d):
     """Sources of two kinds written to the shared folder and read as bytes; unknown kinds and large files are left out."""
-    import uuid
-
-    base = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/sources/{uuid.uuid4().hex}"
+    path = scratch.path(s, "sources")
     rows = cards(s, d).select((F.col("part") % 4).alias("bucket"), "question").repartition(4, "bucket")
     rows.write.partitionBy("bucket").text(path)
     rows.write.partitionBy("bucket").json(f"{path}-more")
@@ -175,11 +172,8 @@ def h01(s, d):
 
 def h09(s, d):
     """Decks written as a JSON collection and read again with their schema."""
-    import uuid
-
     rows = cards(s, d).select("deck_id", "card_id", "question")
-    base = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/collections/{uuid.uuid4().hex}"
+    path = scratch.path(s, "collection")
     files.write_collection(rows, path)
     return files.read_collection(s, path, "deck_id bigint, card_id bigint, question string")
 

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
-from tallyforge.operators import catalog, extract, layout, readings, session, srs
+from tallyforge.operators import catalog, extract, layout, session, srs
 
 
 def test_srs_fold_matches_plain_steps(spark):
@@ -81,56 +81,12 @@ def test_problems_take_key_then_inline_answers(spark):
     assert got == [(1, "x + 1 = 3", "2", "inline"), (2, "x + 2 = 5", "three", "key"), (3, "find all", "none", "key")]
 
 
-def test_readings_find_what_was_written(spark):
-    rows = [("2x + l = 7", "x = 3"), ("3x = 1S", "x = 5"), ("5x + 2 27", "x = 5"), ("x2 = 49", "x = 7 or x = -7"), ("4Tx = 8O", "x = 20")]
-    df = spark.createDataFrame(rows, "raw string, wanted string")
-    got = {}
-    for r in readings.readings(df).collect():
-        got.setdefault(r.raw, []).append((r["rank"], r.answer))
-    assert all(len(v) <= 3 and sorted(v) == sorted(set(v)) for v in got.values())
-    hits = sum(w in [a for _, a in got.get(raw, [])] for raw, w in rows)
-    assert hits == 5
-
-
-def edit_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, old = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
-    return row[-1]
-
-
-def test_variants_have_their_least_edits(spark):
-    raws = ["3) 4x + l2 = 18", "x2 + 5x 6", "1S / 3 + x = 2g", "(x + 1) / 2 - y = 0.25 10", "Solve for x: 7 T 3 = -x\nx = __", "?x = 1 8", "", "Zz = B"]
-    df = spark.createDataFrame([(r,) for r in [*raws, None, raws[0]]], "raw string")
-    got = {}
-    for r in readings.variants(df).collect():
-        assert r.variant not in got.setdefault(r.raw, {})
-        got[r.raw][r.variant] = (r.edits, r.loose)
-    bases = {"3) 4x + l2 = 18": "4x + l2 = 18", "Solve for x: 7 T 3 = -x\nx = __": "7 T 3 = -x"}
-    for raw in raws:
-        base = bases.get(raw, raw)
-        found = got.get(raw, {})
-        assert (found.get(base) == (0, False)) == (base != "")
-        # each variant costs its edits and at most three more; loose ones three, unless another way is cheaper
-        for v, (edits, loose) in found.items():
-            assert edit_distance(base, v) <= edits <= edit_distance(base, v) + 3
-    assert got[raws[0]]["4x + 12 = 18"] == (1, False) and got[raws[0]]["4x + =2 = 18"] == (1, False)
-    assert got[raws[0]]["4x + l2 = 1.8"] == (2, False) and got[raws[0]]["4x - l2 = 18"] == (4, True) and got[raws[0]]["4x + l2 = -18"] == (4, True)
-    assert got[raws[1]]["x^2 + 5x 6"][0] == 2 and got[raws[1]]["x2 + 5x = 6"][0] == 3 and got[raws[1]]["x2 + 5x * 6"][0] == 3
-    assert got[raws[2]]["15 / 3 + x = 2g"][0] == 1 and got[raws[2]]["1S / 3 + x = 29"][0] == 1 and got[raws[2]]["15/(3 + x) = 29"][0] == edit_distance(raws[2], "15/(3 + x) = 29") + 1
-    assert got[raws[4]]["7 - 3 = -x"][0] == 1 and got[raws[4]]["7 + 3 = -x"][0] == 1
-    assert got[raws[5]]["7x = 1 8"][0] == 1 and got[raws[5]]["?x = 1.8"][0] == 1 and got[raws[5]]["7x = 1.8"][0] == 3
-    assert "2z = B" not in got[raws[7]] and got[raws[7]]["Zz = 8"][0] == 1
-
-
 def test_blocks_answers_and_keys(spark):
     blocks = {
         "solve this one please\nk\nx^2": "solve this one please", "solve this one please\n7\nx^2": "solve this one please\n7\nx^2", "short\nk\nx^2": "short\nk\nx^2", "x = 3\nUnit Two: Equations (A)": "x = 3",
-        "x = 3\nUnit Two # Equations": "x = 3\nUnit Two # Equations", "x = 3\nscore 5 of 6": "x = 3", "\r\n a \n\n b": "a\nb", "Chapter Seven Review": "Chapter Seven Review",
+        "x = 3\nUnit 2 # 1 + 1 + 1": "x = 3\nUnit 2 # 1 + 1 + 1", "x = 3\nscore 5 of 6": "x = 3", "\r\n a \n\n b": "a\nb", "Chapter Seven Review": "Chapter Seven Review",
     }
-    ends = {"x {  3 ,  5 }": ("3 , 5", "x"), "x {see}": ("", "x"), "x ALL real numbers.": ("ALL real number", "x"), "x no solutions": ("no solution", "x"), "x {1} y": (None, "x {1} y"), "": (None, "")}
+    ends = {"x {  3 ,  5 }": ("3 , 5", "x"), "x {see}": ("", "x"), "x ALL real\n numbers.": ("all real numbers", "x"), "x = { 5": (None, "x = { 5"), "real numbers": (None, "real numbers"), "x no solutions": ("no solution", "x"), "x {1} y": (None, "x {1} y"), "": (None, "")}
     df = spark.createDataFrame([(k, None) for k in blocks] + [(None, k) for k in ends], "b string, e string")
     for r in df.select("b", "e", T.clean_block(F.col("b")).alias("x"), T.inline_answer(F.col("e")).alias("y"), T.without_inline_answer(F.col("e")).alias("z")).collect():
         assert r.x == blocks[r.b] if r.b is not None else (r.y, r.z) == ends[r.e]
