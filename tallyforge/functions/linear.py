@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import bound, gcd
+from tallyforge.functions.text import bound, gcd, quotient
 
 #: coefficient, letter, sign and number of a sum with one letter, and the number it equals; numbers have nine digits and six decimals at most.
 NUMBER = r"\d{1,9}(?:\.\d{1,6})?"
@@ -29,9 +29,9 @@ def linear_answer(text: Column) -> Column:
         return F.struct(e["v"].alias("v"), e["n"].alias("n"), e["d"].alias("d"), F.greatest(gcd(e["n"], e["d"]), F.lit(1)).alias("g"))
 
     def shown(e: Column) -> Column:
-        top = F.when(e["d"] < 0, -e["n"]).otherwise(e["n"]) / e["g"]
-        bottom = (F.abs(e["d"]) / e["g"]).cast("bigint").cast("string")
-        return F.concat(e["v"], F.lit(" = "), top.cast("bigint").cast("string"), F.when(bottom == "1", "").otherwise(F.concat(F.lit("/"), bottom)))
+        top = quotient(F.when(e["d"] < 0, -e["n"]).otherwise(e["n"]), e["g"])
+        bottom = quotient(F.abs(e["d"]), e["g"]).cast("string")
+        return F.concat(e["v"], F.lit(" = "), top.cast("string"), F.when(bottom == "1", "").otherwise(F.concat(F.lit("/"), bottom)))
 
     def solved(t: Column) -> Column:
         return F.when(t.rlike(FORM), bound(numbers(t), lambda e: F.when(e["d"] != 0, bound(reduced(e), shown))))

@@ -55,6 +55,11 @@ def tidy_expression(column: Column) -> Column:
     return F.trim(c)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of bigints without its fraction, exact."""
+    return F.call_function("div", a, b)
+
+
 def gcd(a: Column, b: Column) -> Column:
     """The greatest common divisor of two bigints, by Euclid in a fold; as many steps as 64 bits can need."""
     start = F.struct(F.abs(a).alias("a"), F.abs(b).alias("b"))
@@ -66,7 +71,7 @@ def fraction_text(n: Column, d: Column) -> Column:
     """n/d in lowest terms with the sign above, an integer where it is one; null for d = 0."""
     g = F.greatest(gcd(n, d), F.lit(1))
     sign = F.when(d < 0, -1).otherwise(1)
-    top, bottom = (sign * n / g).cast("bigint"), (F.abs(d) / g).cast("bigint")
+    top, bottom = quotient((sign * n).cast("bigint"), g), quotient(F.abs(d), g)
     return F.when(d == 0, None).when(bottom == 1, top.cast("string")).otherwise(F.concat_ws("/", top.cast("string"), bottom.cast("string")))
 
 

@@ -1,4 +1,4 @@
-"""Arrow UDFs over the algebra helpers; callers pass distinct texts (see operators.answers)."""
+"""Arrow UDFs over the algebra helpers, for distinct texts that columns cannot solve (see operators.extract)."""
 
 from __future__ import annotations
 
@@ -20,26 +20,6 @@ def solve(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([algebra.solve(t) or empty for t in text], columns=list(empty))
 
 
-@F.pandas_udf(ArrayType(TEXT))
-def steps(text: pd.Series) -> pd.Series:
-    return text.map(algebra.steps)
-
-
-@F.pandas_udf(TEXT)
-def canonical(text: pd.Series) -> pd.Series:
-    return text.map(algebra.canonical)
-
-
-@F.pandas_udf(TEXT)
-def simplify(text: pd.Series) -> pd.Series:
-    return text.map(algebra.simplify)
-
-
-@F.pandas_udf(TEXT)
-def calculate(text: pd.Series) -> pd.Series:
-    return text.map(algebra.calculate)
-
-
 @F.pandas_udf(StructType([StructField("answer", TEXT), StructField("kind", TEXT)]))
 def auto_answer(text: pd.Series) -> pd.DataFrame:
     """Solve, or else simplify, in one pass."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions import monomials, polynomials
 from tallyforge.functions import text as T
 from tallyforge.functions.linear import linear_answer
 from tallyforge.functions.text import bound
@@ -146,19 +147,45 @@ def key_page_answers(blocks: DataFrame) -> DataFrame:
 
 
 def answers(rows: DataFrame, question: str = "question") -> DataFrame:
-    """Adds auto and auto_kind; each distinct question is solved once and joined back. Plain linear equations are solved by columns, the others by the parser."""
+    """Adds auto and auto_kind: the solution, else the simplified form. Each distinct question is solved once and joined back.
+
+    Columns solve all but odd texts (functions.polynomials, functions.monomials), which the parser gets.
+    """
     asked = rows.select(F.col(question).alias("_q")).where(F.col("_q").isNotNull()).distinct().withColumn("_t", T.clean_equation(F.col("_q")))
-    asked = asked.withColumn("_n", linear_answer(F.col("_t")))
-    asked = asked.withColumn("_s", auto_answer(F.when(F.col("_n").isNull(), F.col("_t"))))
-    solved = asked.select("_q", F.coalesce("_n", "_s.answer").alias("auto"), F.when(F.col("_n").isNotNull(), "linear").otherwise(F.col("_s.kind")).alias("auto_kind"))
+    asked = _by_columns(asked, "_t").withColumn("_m", F.when(F.col("_answer").isNull(), monomials.simplify(F.col("_t"))))
+    asked = asked.withColumn("_s", auto_answer(F.when(F.col("_answer").isNull() & (F.col("_odd") | F.col("_m.odd")), F.col("_t"))))
+    solved = asked.select("_q", F.coalesce("_answer", "_s.answer", "_m.form").alias("auto"), F.coalesce("_kind", "_s.kind", F.when(F.col("_m.form").isNotNull(), "monomial")).alias("auto_kind"))
     return rows.join(solved, F.col(question) == F.col("_q"), "left").drop("_q")
 
 
+def _by_columns(rows: DataFrame, text: str) -> DataFrame:
+    """Adds _answer, _kind and _odd of a cleaned text: plain linear equations by their form, others by their tokens."""
+    plain = rows.withColumn("_n", linear_answer(F.col(text)))
+    whole = plain.withColumn("_p", F.when(F.col("_n").isNull(), polynomials.solve(F.col(text))))
+    return whole.withColumns({"_answer": F.coalesce("_n", "_p.answer"), "_kind": F.when(F.col("_n").isNotNull(), "linear").otherwise(F.col("_p.kind")), "_odd": F.coalesce("_p.odd", F.lit(False))}).drop("_n", "_p")
+
+
 def solutions(rows: DataFrame, question: str) -> DataFrame:
-    """(question, answer, kind) of distinct texts: plain linear equations by columns, the others by the parser."""
-    asked = rows.withColumn("_t", T.clean_equation(F.col(question)))
-    asked = asked.withColumn("_n", linear_answer(F.col("_t"))).withColumn("_s", solve(F.when(F.col("_n").isNull(), F.col("_t"))))
-    return asked.select(question, F.coalesce("_n", "_s.answer").alias("answer"), F.when(F.col("_n").isNotNull(), "linear").otherwise(F.col("_s.kind")).alias("kind"))
+    """(question, answer, kind) of distinct texts: by columns, odd ones by the parser."""
+    asked = _by_columns(rows.withColumn("_t", T.clean_equation(F.col(question))), "_t").withColumn("_s", solve(F.when(F.col("_odd"), F.col("_t"))))
+    return asked.select(question, F.coalesce("_answer", "_s.answer").alias("answer"), F.coalesce("_kind", "_s.kind").alias("kind"))
+
+
+def verify_key(mine: DataFrame, key: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, mine, key, my_form, key_form, verdict) of all numbers of either side; ids are unique on each.
+
+    A text's form is its canonical monomial, else its solution, else itself without white space. The verdict is match,
+    differ, or which side is missing; an empty or null text has no form and matches nothing.
+    """
+
+    def form(text: Column) -> Column:
+        bare = F.nullif(F.regexp_replace(text, r"\s", ""), F.lit(""))
+        return F.coalesce(monomials.canonical(text)["form"], polynomials.solve(T.clean_equation(text))["answer"], bare)
+
+    left = mine.select(*ids, F.col("expression").alias("mine"), form(F.col("expression")).alias("my_form"), F.lit(True).alias("_l"))
+    right = key.select(*ids, F.col("expression").alias("key"), form(F.col("expression")).alias("key_form"), F.lit(True).alias("_r"))
+    verdict = F.when(F.col("_r").isNull(), "no key").when(F.col("_l").isNull(), "no answer").when(F.col("my_form") == F.col("key_form"), "match").otherwise("differ")
+    return left.join(right, ids, "full_outer").select(*ids, "mine", "key", "my_form", "key_form", verdict.alias("verdict"))
 
 
 def waterfall(columns: list[tuple[str, Column]]) -> tuple[Column, Column]:

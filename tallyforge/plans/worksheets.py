@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text as T
 from tallyforge.functions.classify import HINTS, LABELS, classify, hint_at, hints, label
 from tallyforge.operators import extract as X
-from tallyforge.sources import files, scratch
+from tallyforge.sources import files, pdf, scratch
 from tallyforge.sources.adapters import CARDS, SHEETS, cards, sheets, table, worksheets
 
 
@@ -155,6 +155,27 @@ def h02(s, d):
     return files.glyphs(runs).select("doc_id", "glyph_seq", "x", "y", "w", "scale", "s")
 
 
+def _pdf_files(s, d):
+    """A PDF file for each sheet, put together by column functions: a page, and a line of text for each problem."""
+    head = "%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R] /Count 1 >>\nendobj\n"
+    page = "3 0 obj\n<< /Type /Page /Parent 2 0 R /Contents 5 0 R /Resources << /Font << /F1 4 0 R >> >> >>\nendobj\n"
+    font = "4 0 obj\n<< /Type /Font /Subtype /Type1 /BaseFont /Courier /FirstChar 32 /LastChar 126 /Widths [" + "600 " * 95 + "] >>\nendobj\n"
+    starts = [head.index("1 0 obj"), head.index("2 0 obj"), len(head), len(head + page), len(head + page + font)]
+    line = F.concat(F.lit("1 0 0 1 "), (F.col("number") % 3 * 150 + 40).cast("string"), F.lit(" "), (F.lit(900) - F.col("number") * 8).cast("string"), F.lit(" Tm ("), F.col("number").cast("string"), F.lit("\\) "), F.col("question"), F.lit(") Tj"))
+    sheet = sheets(cards(s, d)).groupBy("deck_id").agg(F.array_sort(F.collect_list(F.struct("number", line.alias("line")))).alias("lines"))
+    shown = F.concat(F.lit("BT /F1 12 Tf\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\nET"))
+    body = F.concat(F.lit(head + page + font + "5 0 obj\n<< /Length "), F.length("shown").cast("string"), F.lit(" >>\nstream\n"), F.col("shown"), F.lit("\nendstream\nendobj\n"))
+    table = "xref\n0 6\n0000000000 65535 f \n" + "".join(f"{at:010d} 00000 n \n" for at in starts) + "trailer\n<< /Root 1 0 R /Size 6 >>\nstartxref\n"
+    made = sheet.withColumn("shown", shown).withColumn("body", body)
+    return made.select(F.col("deck_id").alias("doc_id"), F.encode(F.concat("body", F.lit(table), F.length("body").cast("string"), F.lit("\n%%EOF")), "ISO-8859-1").alias("content"))
+
+
+def h01_pdf(s, d):
+    """The glyph rows of PDF files."""
+    runs = pdf.pdf_runs(_pdf_files(s, d), "doc_id")
+    return files.glyphs(runs).select("doc_id", F.col("page_index").cast("long").alias("page_index"), "glyph_seq", "x", "y", F.round("w", 6).alias("w"), "scale", "s")
+
+
 def h04(s, d):
     return table(s, d, "documents").select("doc_id", T.scanned(F.col("text")).alias("needs_ocr"))
 
@@ -187,7 +208,7 @@ def h13(s, d):
 QUERIES = {
     "b01_plain_space": b01, "b02_answer_key_region": b02, "b03_key_lines": b03, "b04_inline_key": b04, "b05_b06_problem_split": b05, "b07_clean_block": b07, "b08_inline_answer": b08, "b09_problem_records": b09, "b10_classify": b10,
     "b11_hint_level": b11, "b12_key_pages": b12, "b13_key_page_answers": b13, "b14_answer_waterfall": b14, "b15_problem_order": b15, "b16_guess_page": b16, "b17_tidy_deck": b17, "f06_f07_fill_blanks": f06, "f08_hint_escalation": f08,
-    "h01_h03_h10_h14_sources": h01, "h02_glyphs": h02, "h04_needs_ocr": h04, "h08_h09_json_collection": h09, "h13_parse_cards": h13,
+    "h01_h03_h10_h14_sources": h01, "h01_pdf_runs": h01_pdf, "h02_glyphs": h02, "h04_needs_ocr": h04, "h08_h09_json_collection": h09, "h13_parse_cards": h13,
 }
 
 LINES = f"""WITH {CARDS}, {SHEETS}, w AS (SELECT *, CAST(number AS VARCHAR) || ') ' || question AS line, CASE WHEN flag = 'R' THEN CAST(number AS VARCHAR) || ') K' || CAST(c AS VARCHAR) END AS key_line,
@@ -199,6 +220,9 @@ ENDING_VALUES = ", ".join(f"({i}, '{e}', {'NULL' if a is None else repr(a)}, {cu
 PAGES = f"""WITH {CARDS}, {SHEETS}, n AS (SELECT deck_id AS doc_id, count(*) AS n FROM sheets GROUP BY deck_id)"""
 
 ORACLE_SQL = {
+    "h01_pdf_runs": f"""WITH {CARDS}, {SHEETS}, l AS (SELECT deck_id, number, CAST(number AS VARCHAR) || ') ' || question AS s FROM sheets)
+      SELECT deck_id AS doc_id, CAST(1 AS BIGINT) AS page_index, row_number() OVER (PARTITION BY deck_id ORDER BY number) AS glyph_seq, CAST(number % 3 * 150 + 40 AS DOUBLE) AS x, CAST(900 - number * 8 AS DOUBLE) AS y,
+        round(CAST(length(s) AS DOUBLE) * 7.2, 6) AS w, CAST(12 AS DOUBLE) AS scale, s FROM l""",
     "b01_plain_space": f"WITH {CARDS} SELECT card_id, CASE WHEN part % 2 = 0 THEN question ELSE '' END AS text FROM cards",
     "b02_answer_key_region": LINES + """ SELECT deck_id, length(string_agg(line, chr(10))) + 1 AS body_chars, CAST(1 + coalesce(length(string_agg(key_line, chr(10))), 0) AS BIGINT) AS key_chars FROM w GROUP BY deck_id""",
     "b03_key_lines": LINES + " SELECT deck_id, number, 'K' || CAST(c AS VARCHAR) AS value FROM w WHERE flag = 'R' AND n_keys >= 2",
