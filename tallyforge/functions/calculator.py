@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import bound
+from tallyforge.functions.text import bound, by_name
 
 #: Functions of one number; angles are in degrees.
 FUNCTIONS = {
@@ -69,7 +69,7 @@ def _fold(tokens: Column) -> Column:
             common = {"stack": left, "acc": level["acc"], "call": level["call"], "want": F.lit(False), "number": m["digits"], "ok": fine, "neg": F.lit(False)}
             based = state(s, cur=level["cur"], op=level["op"], bases=F.concat(level["bases"], F.array(F.struct(m["v"].alias("v"), level["neg"].alias("neg")))), **common)
             first = F.when(level["neg"], -m["v"]).otherwise(m["v"])
-            value = F.aggregate(F.reverse(level["bases"]), first, lambda r, b: F.when(b["neg"], -power(b["v"], r)).otherwise(power(b["v"], r)))
+            value = F.when(F.size(level["bases"]) == 0, first).otherwise(F.aggregate(F.reverse(level["bases"]), first, lambda r, b: F.when(b["neg"], -power(b["v"], r)).otherwise(power(b["v"], r))))
 
             def joined(r: Column) -> Column:
                 safe = F.when(r == 0, 1.0).otherwise(r)
@@ -105,6 +105,7 @@ def shown(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), "undefined").when(F.abs(x) > LARGEST, F.format_string("%.0f", x)).when(F.abs(x - near) < 1e-10, near.cast("decimal(38,0)").cast("string")).otherwise(text)
 
 
+@by_name
 def calculate(text: Column) -> Column:
     """The result of a calculation as text, '' for a null or empty text, null where it is none.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import bound, gcd, quotient
+from tallyforge.functions.text import bound, by_name, gcd, quotient
 
 #: coefficient, letter, sign and number of a sum with one letter, and the number it equals; numbers have nine digits and six decimals at most.
 NUMBER = r"\d{1,9}(?:\.\d{1,6})?"
@@ -16,6 +16,7 @@ def millionths(number: Column) -> Column:
     return (number.try_cast("decimal(15,6)") * 1_000_000).try_cast("bigint")
 
 
+@by_name
 def linear_answer(text: Column) -> Column:
     """C06: 'v = n/d' of a text a*v + b = c with whole or decimal numbers and a not 0; null for any other text, which the parser has to see."""
 

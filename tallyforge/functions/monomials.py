@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import LABEL, bound, gcd, quotient
+from tallyforge.functions.text import LABEL, bound, by_name, gcd, quotient
 
 #: A number, a letter or a closing bracket with its whole power, or a sign.
 TOKEN = r"(?:[0-9]+(?:\.[0-9]+)?|[A-Za-z]|\))(?:\^(?:-?[0-9]{1,6}|\(-?[0-9]{1,6}\)))?|[-+*/(]"
@@ -125,12 +125,14 @@ def positive(m: Column) -> Column:
     return bound(F.struct(side(1, F.abs(m["n"])).alias("top"), side(-1, m["d"]).alias("bottom")), joined)
 
 
+@by_name
 def canonical(text: Column) -> Column:
     """(form, odd): one form for equal monomials, whatever they are written like; the form of other texts is null."""
     bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), LABEL, ""), r"=\s*_*\s*\z", "")
     return bound(monomial(bare), lambda x: F.struct(F.when(x["ok"], positive(x["m"])).alias("form"), x["odd"].alias("odd")))
 
 
+@by_name
 def simplify(text: Column) -> Column:
     """(form, odd): the simplified form of a monomial expression; null if there is nothing to do."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), LABEL, ""), r"(?i)\b(?:simplify|evaluate|rewrite)\b:?", ""))

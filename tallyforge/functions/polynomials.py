@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import bound, fraction_text, gcd, quotient
+from tallyforge.functions.text import bound, by_name, fraction_text, gcd, quotient
 
 #: A number, a letter or a closing bracket with its whole power, or a sign.
 TOKEN = r"(?:[0-9]+(?:\.[0-9]+)?|[A-Za-z]|\))(?:\^(?:-?[0-9]{1,2}|\(-?[0-9]{1,2}\)))?|[-+*/(]"
@@ -118,8 +118,42 @@ def _fold(tokens: Column, names: Column) -> Column:
     return F.aggregate(tokens, start, step)
 
 
+#: A sum of terms without brackets and quotients; a term is a number, or a letter with a factor and a power up to 2.
+TERM = r"(?:[0-9]{1,9}(?:\.[0-9]{1,6})?|(?:[0-9]{1,9}(?:\.[0-9]{1,6})?\*?)?[A-Za-z](?:\^[12])?)"
+PLAIN_SUM = rf"^[-+]*{TERM}(?:[-+]+{TERM})*=[-+]*{TERM}(?:[-+]+{TERM})*\z"
+
+
+def _plain_sum(bare: Column, names: Column) -> Column:
+    """The difference of an equation of the form PLAIN_SUM, by adding up its terms."""
+    terms = F.concat(*[F.transform(F.regexp_extract_all(F.substring_index(bare, "=", at), F.lit("[-+]*[^-+]+"), F.lit(0)), lambda t, at=at: F.struct(t.alias("t"), F.lit(at).alias("side"))) for at in (1, -1)])
+    scale = F.when(bare.contains("."), 1_000_000).otherwise(1).cast("bigint")
+
+    def summed(unit: Column) -> Column:
+        def part(x: Column) -> Column:
+            number = F.regexp_extract(x["t"], r"^[-+]*([0-9.]*)", 1)
+            turned = (F.length(x["t"]) - F.length(F.translate(x["t"], "-", ""))) % 2 == 1
+            size = (F.when(number == "", "1").otherwise(number).cast("decimal(15,6)") * unit).cast("bigint")
+            letter = F.regexp_extract(x["t"], "[A-Za-z]", 0)
+            place = F.when(letter == "", 0).otherwise(F.when(letter == F.get(names, F.lit(0)), 1).otherwise(3) + F.when(x["t"].endswith("^2"), 1).otherwise(0))
+            return F.struct(place.alias("at"), (size * F.when(turned, -1).otherwise(1) * x["side"]).alias("n"))
+
+        parts = F.transform(terms, part)
+        total = lambda a: F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.aggregate(F.filter(a, lambda x: x["at"] == i), F.lit(0).cast("bigint"), lambda n, x: n + x["n"]))
+        made = F.struct(bound(parts, total).alias("c"), unit.alias("d"))
+        return F.struct(made.alias("p"), F.lit(True).alias("ok"), F.lit(False).alias("odd"))
+
+    return bound(scale, summed)
+
+
 def difference(equation: Column, names: Column) -> Column:
-    """Left less right side as (p, ok, odd, d); p over its own denominator."""
+    """Left less right side as (p, ok, odd), p over its own denominator: sums by their terms, other expressions by a fold over their tokens."""
+    bare = F.regexp_replace(equation, r"\s", "")
+    # a space between digits would be lost
+    plain = bound(bare, lambda b: F.when(b.rlike(PLAIN_SUM) & ~equation.rlike(r"[0-9.]\s+[0-9.]"), _plain_sum(b, names)))
+    return bound(plain, lambda p: F.when(p.isNotNull(), p).otherwise(_by_tokens(equation, names)))
+
+
+def _by_tokens(equation: Column, names: Column) -> Column:
     bare = F.regexp_replace(equation, r"\s", "")
     whole = F.concat(F.lit("("), F.substring_index(bare, "=", 1), F.lit(")-("), F.substring_index(bare, "=", -1), F.lit(")"))
     spaced = F.regexp_replace(equation, r"\s*\^\s*", "^")
@@ -183,7 +217,7 @@ def solution(answer: Column, kind: str, roots: Column | None = None) -> Column:
 def _reduced(p: Column) -> Column:
     """Coefficients of 1, v and v^2 without a common factor, their denominator's included."""
     g = gcd(gcd(gcd(_at(p, 0), _at(p, 1)), _at(p, 2)), p["d"])
-    return bound(F.greatest(g, F.lit(1)), lambda f: F.struct(*[quotient(_at(p, i), f).alias(n) for i, n in enumerate("cba")]))
+    return bound(F.when(p["d"] == 1, F.lit(1).cast("bigint")).otherwise(F.greatest(g, F.lit(1))), lambda f: F.struct(*[quotient(_at(p, i), f).alias(n) for i, n in enumerate("cba")]))
 
 
 def _quadratic(e: Column, v: Column) -> Column:
@@ -229,6 +263,7 @@ def _system(p: Column, q: Column, names: Column) -> Column:
     return F.when(~curved, bound(F.struct(cross(1, 3).alias("det"), cross(3, 0).alias("x"), cross(0, 1).alias("y")), of))
 
 
+@by_name
 def solve(text: Column) -> Column:
     """(answer, kind, roots, vars, odd) of a text, like the parser's; answer is null where it has none, and odd says that the parser may know more.
 
@@ -258,6 +293,7 @@ def bracketed(fraction: Column) -> Column:
     return F.when(fraction.contains("/"), F.concat(F.lit("("), fraction, F.lit(")"))).otherwise(fraction)
 
 
+@by_name
 def steps(text: Column) -> Column:
     """The working of a linear equation in one letter: as given, terms collected, divided by the factor where it is not 1, solved; a line that repeats the one before is left out. Null for other texts."""
 

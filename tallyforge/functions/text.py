@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +29,22 @@ def bound(value: Column, made: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), made), F.lit(0))
 
 
+def by_name(made: Callable[[Column], Column]) -> Callable[[Column | str], Column]:
+    """A column function of very many nodes that also takes a column's name, and is then built once a process: building takes longer than planning."""
+    held: dict[tuple[int, str], Column] = {}
+
+    @wraps(made)
+    def build(column: Column | str) -> Column:
+        if isinstance(column, Column):
+            return made(column)
+        key = (id(SparkContext._gateway), column)
+        if key not in held:
+            held[key] = made(F.col(column))
+        return held[key]
+
+    return build
+
+
 def replace_all(column: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, *p), pairs, column)
 
@@ -61,10 +78,12 @@ def quotient(a: Column, b: Column) -> Column:
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """The greatest common divisor of two bigints, by Euclid in a fold; as many steps as 64 bits can need."""
+    """The greatest common divisor of two bigints, by Euclid in a fold of as many steps as the smaller one can need."""
     start = F.struct(F.abs(a).alias("a"), F.abs(b).alias("b"))
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, 1).otherwise(s["b"])).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["a"])
+    # each two steps at least halve the remainder
+    most = lambda e: F.when(F.least(e["a"], e["b"]) <= 1, F.lit(2)).otherwise(F.ceil(F.log2(F.least(e["a"], e["b"]).cast("double")) * 1.45).cast("int") + 3)
+    return bound(start, lambda e: F.aggregate(F.sequence(F.lit(1), F.coalesce(most(e), F.lit(1))), e, step, lambda s: s["a"]))
 
 
 def fraction_text(n: Column, d: Column) -> Column:

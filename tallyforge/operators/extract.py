@@ -151,8 +151,9 @@ def answers(rows: DataFrame, question: str = "question") -> DataFrame:
 
     Columns solve all but odd texts (functions.polynomials, functions.monomials), which the parser gets.
     """
-    asked = rows.select(F.col(question).alias("_q")).where(F.col("_q").isNotNull()).distinct().withColumn("_t", T.clean_equation(F.col("_q")))
-    asked = _by_columns(asked, "_t").withColumn("_m", F.when(F.col("_answer").isNull(), monomials.simplify(F.col("_t"))))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = rows.select(F.col(question).alias("_q")).where(F.col("_q").isNotNull()).distinct().repartition(parts).withColumn("_t", T.clean_equation(F.col("_q")))
+    asked = _by_columns(asked, "_t").withColumn("_m", F.when(F.col("_answer").isNull(), monomials.simplify("_t")))
     asked = asked.withColumn("_s", auto_answer(F.when(F.col("_answer").isNull() & (F.col("_odd") | F.col("_m.odd")), F.col("_t"))))
     solved = asked.select("_q", F.coalesce("_answer", "_s.answer", "_m.form").alias("auto"), F.coalesce("_kind", "_s.kind", F.when(F.col("_m.form").isNotNull(), "monomial")).alias("auto_kind"))
     return rows.join(solved, F.col(question) == F.col("_q"), "left").drop("_q")
@@ -160,8 +161,8 @@ def answers(rows: DataFrame, question: str = "question") -> DataFrame:
 
 def _by_columns(rows: DataFrame, text: str) -> DataFrame:
     """Adds _answer, _kind and _odd of a cleaned text: plain linear equations by their form, others by their tokens."""
-    plain = rows.withColumn("_n", linear_answer(F.col(text)))
-    whole = plain.withColumn("_p", F.when(F.col("_n").isNull(), polynomials.solve(F.col(text))))
+    plain = rows.withColumn("_n", linear_answer(text))
+    whole = plain.withColumn("_p", F.when(F.col("_n").isNull(), polynomials.solve(text)))
     return whole.withColumns({"_answer": F.coalesce("_n", "_p.answer"), "_kind": F.when(F.col("_n").isNotNull(), "linear").otherwise(F.col("_p.kind")), "_odd": F.coalesce("_p.odd", F.lit(False))}).drop("_n", "_p")
 
 

@@ -28,8 +28,14 @@ def c06_native(s, d):
     return cards(s, d).select("deck_id", "card_id", F.concat(F.lit("x = "), T.fraction_text(n, F.col("a"))).alias("answer"))
 
 
-def _solved():
-    return polynomials.solve(F.col("question"))
+def _once(rows, made, name, column="question"):
+    """A text expression of much work, for each distinct text and joined back; the distinct side has each key once, so a hot text can be split (spark.sql.adaptive.skewJoin)."""
+    done = rows.select(column).distinct().repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn(name, made(column))
+    return rows.join(done, column, "left")
+
+
+def _solved(rows):
+    return _once(rows, polynomials.solve, "s")
 
 
 def c02(s, d):
@@ -37,39 +43,39 @@ def c02(s, d):
     b, c = F.col("b").cast("string"), F.col("c").cast("string")
     gap = F.get(F.array(*[F.lit(g) for g in (" ", ", ", "; ", "\n", " and ", ",")]), (F.col("part") % 6).cast("int"))
     rows = cards(s, d).select("card_id", F.concat(F.lit("x + y = "), b, gap, F.lit("x - y = "), c).alias("question"))
-    return rows.withColumn("s", _solved()).select("card_id", F.size(polynomials.equations(F.col("question"))).cast("long").alias("parts"), "s.answer")
+    return _solved(rows).select("card_id", F.size(polynomials.equations(F.col("question"))).cast("long").alias("parts"), "s.answer")
 
 
 def c07(s, d):
     p, q = F.col("a"), F.col("c") % 10
     rows = cards(s, d).select("card_id", F.concat(F.lit("x^2 + "), (-(p + q)).cast("string"), F.lit("x + "), (p * q).cast("string"), F.lit(" = 0")).alias("question"))
-    return rows.withColumn("s", _solved()).select("card_id", "s.answer", "s.kind")
+    return _solved(rows).select("card_id", "s.answer", "s.kind")
 
 
 def c07_irrational(s, d):
     rows = cards(s, d).select(F.concat(F.lit("x^2 + "), F.col("a").cast("string"), F.lit("x = "), (F.col("c") + 1).cast("string")).alias("question")).distinct()
-    return rows.withColumn("s", _solved()).select("question", F.col("s.answer").alias("answer"), F.col("s.kind").alias("kind"), F.round(F.get("s.roots", F.lit(0)), 6).alias("first_root"))
+    return _solved(rows).select("question", F.col("s.answer").alias("answer"), F.col("s.kind").alias("kind"), F.round(F.get("s.roots", F.lit(0)), 6).alias("first_root"))
 
 
 def c09(s, d):
     rows = cards(s, d).select("card_id", F.concat(F.lit("x + y = "), F.col("b").cast("string"), F.lit(", x - y = "), F.col("c").cast("string")).alias("question"))
-    return rows.select("card_id", _solved()["answer"].alias("answer"))
+    return _solved(rows).select("card_id", "s.answer")
 
 
 def c10(s, d):
     a = F.col("a").cast("string")
     same = F.concat(a, F.lit("x + "), F.col("b").cast("string"), F.lit(" = "), a, F.lit("x + "), (F.col("c") % 50).cast("string"))
-    return cards(s, d).select("card_id", same.alias("question")).select("card_id", _solved()["answer"].alias("answer"))
+    return _solved(cards(s, d).select("card_id", same.alias("question"))).select("card_id", "s.answer")
 
 
 def c11(s, d):
     b = F.col("b").cast("string")
     odd = F.when(F.col("part") % 5 == 0, F.concat(F.lit("x + y = "), b)).when(F.col("part") % 5 == 1, F.concat(F.lit("x^3 = "), b)).when(F.col("part") % 5 == 2, F.concat(b, F.lit(" = "), b)).when(F.col("part") % 5 == 3, F.concat(F.lit("x - 1 = "), b)).otherwise(F.concat(b, F.lit("x + 1")))
-    return cards(s, d).select("card_id", odd.alias("question")).select("card_id", _solved()["answer"].alias("answer"))
+    return _solved(cards(s, d).select("card_id", odd.alias("question"))).select("card_id", "s.answer")
 
 
 def c12(s, d):
-    return cards(s, d).select("card_id", F.array_join(polynomials.steps(F.col("question")), " | ").alias("working"))
+    return _once(cards(s, d).select("card_id", "question"), polynomials.steps, "steps").select("card_id", F.array_join("steps", " | ").alias("working"))
 
 
 def _monomials(s, d):
@@ -79,12 +85,12 @@ def _monomials(s, d):
 
 def c24(s, d):
     text = F.concat(F.col("p_size").cast("string"), F.lit("x^"), F.col("p").cast("string"), F.lit(" * y * x^"), F.col("q").cast("string"))
-    return _monomials(s, d).withColumn("question", text).select("p_partkey", "question", monomials.simplify(F.col("question"))["form"].alias("answer"))
+    return _once(_monomials(s, d).withColumn("question", text), monomials.simplify, "s").select("p_partkey", "question", F.col("s.form").alias("answer"))
 
 
 def c22(s, d):
     text = F.concat(F.lit("x^"), F.col("p").cast("string"), F.lit(" / x^"), F.col("q").cast("string"))
-    return _monomials(s, d).select("p_partkey", monomials.canonical(text)["form"].alias("answer"))
+    return _once(_monomials(s, d).withColumn("question", text), monomials.canonical, "c").select("p_partkey", F.col("c.form").alias("answer"))
 
 
 def c25(s, d):
@@ -113,7 +119,7 @@ def c27(s, d):
 def c31(s, d):
     a, b, c = (F.col(x).cast("string") for x in "abc")
     text = F.concat(F.lit("("), b, F.lit(" + "), c, F.lit(") / "), a, F.lit(" - 2^"), a, F.lit(" * 3"))
-    return cards(s, d).select("card_id", calculator.calculate(text).alias("result"))
+    return _once(cards(s, d).select("card_id", text.alias("question")), calculator.calculate, "result").select("card_id", "result")
 
 
 def c30(s, d):
@@ -124,7 +130,7 @@ def c30(s, d):
         F.concat(b, F.lit(" + ∞")), F.concat(b, F.lit(","), c, F.lit("00 –")), F.concat(a, F.lit("⁻¹ × "), a), F.concat(F.lit("2^"), a, F.lit("^-1 % (1 + 1)")),
     ]
     text = F.get(F.array(*forms), (F.col("part") % len(forms)).cast("int"))
-    return cards(s, d).select("card_id", calculator.calculate(text).alias("result"))
+    return _once(cards(s, d).select("card_id", text.alias("question")), calculator.calculate, "result").select("card_id", "result")
 
 
 def c32(s, d):
