@@ -31,6 +31,19 @@ def listing(decks: DataFrame, cards: DataFrame, runs: DataFrame, owner: Column |
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("card_count", "alt_versions", "students")})
 
 
+def visible(decks: DataFrame, role: str | None, viewer_id: int | None = None, disabled: bool = False) -> DataFrame:
+    """The decks that a viewer may read and change: all for an owner of the site, a teacher's own for a teacher, none for a disabled account or any other role."""
+    if disabled or role not in ("owner", "teacher"):
+        return decks.limit(0)
+    return decks if role == "owner" else decks.where(F.coalesce(F.col("owner_id") == F.lit(viewer_id), F.lit(False)))
+
+
+def visible_to_each(decks: DataFrame, teachers: DataFrame) -> DataFrame:
+    """(teacher_id, deck_id) of the decks that each teacher may read: their own, none while the account is disabled; decks of accounts that are not there are nobody's."""
+    active = teachers.where(~F.coalesce("disabled", F.lit(False))).select(F.col("teacher_id"))
+    return decks.join(active, F.col("owner_id") == F.col("teacher_id")).select("teacher_id", "deck_id")
+
+
 def deck_by_id(decks: DataFrame, deck_id: int, owner_id: int | None = None) -> DataFrame:
     """The deck if it is there and, with owner_id, theirs; else no row."""
     found = decks.where(F.col("deck_id") == deck_id)

@@ -28,6 +28,15 @@ def g20(s, d):
     return C.listing(decks(s, d), _sums(s, d), runs(s, d)).select("deck_id", "card_count", "alt_versions", "students")
 
 
+def g20_roles(s, d):
+    """What an owner, each teacher and a disabled account may list."""
+    deck, people = decks(s, d), teachers(s, d)
+    each = people.join(C.visible_to_each(deck, people), "teacher_id", "left").groupBy("teacher_id", "disabled").agg(F.count("deck_id").alias("n_decks"))
+    owner = C.visible(deck, "owner").agg(F.count("*").alias("n_decks")).select(F.lit(-1).cast("long").alias("teacher_id"), F.lit(False).alias("disabled"), "n_decks")
+    closed = C.visible(deck, "teacher", 7, disabled=True).agg(F.count("*").alias("n_decks")).select(F.lit(-2).cast("long").alias("teacher_id"), F.lit(True).alias("disabled"), "n_decks")
+    return each.unionByName(owner).unionByName(closed)
+
+
 LISTING = f"""WITH {CARDS}, {DECKS}, {RUNS},
 n AS (SELECT deck_id, count(*) AS card_count, max(n_alts) AS alt_versions FROM cards GROUP BY deck_id),
 r AS (SELECT deck_id, count(DISTINCT student_id) AS students FROM runs GROUP BY deck_id)
@@ -112,7 +121,7 @@ def g19(s, d):
 QUERIES = {
     "g01_teachers_with_counts": g01, "g02_deck_owners": g02, "g03_owner_listing": g03, "g04_students_per_deck": g04, "g05_deck_by_id": g05, "g06_published": g06, "g07_deck_for_student": g07, "g08_latest_run": g08,
     "g09_run_totals": g09, "g10_save_deck": g10, "g11_publish": g11, "g12_attach_alternates": g12, "g13_delete_deck": g13, "g14_delete_teacher": g14, "g15_username_taken": g15, "g16_next_number": g16, "g17_with_answers": g17,
-    "g19_login_throttle": g19, "g20_all_listing": g20,
+    "g19_login_throttle": g19, "g20_all_listing": g20, "g20_role_gating": g20_roles,
 }
 
 ORACLE_SQL = {
@@ -144,4 +153,6 @@ ORACLE_SQL = {
     "g16_next_number": f"WITH {CARDS} SELECT deck_id, max(number) + 1 AS next_number FROM cards GROUP BY deck_id",
     "g17_with_answers": f"WITH {CARDS} SELECT deck_id, count(*) FILTER (WHERE flag = 'R') AS with_answers FROM cards GROUP BY deck_id",
     "g20_all_listing": LISTING,
+    "g20_role_gating": f"""WITH {DECKS}, {TEACHERS} SELECT t.teacher_id, t.disabled, CASE WHEN t.disabled THEN 0 ELSE count(d.deck_id) END AS n_decks FROM teachers t LEFT JOIN decks d ON d.owner_id = t.teacher_id GROUP BY t.teacher_id, t.disabled
+      UNION ALL SELECT -1, false, count(*) FROM decks UNION ALL SELECT -2, true, 0""",
 }

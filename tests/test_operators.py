@@ -126,3 +126,12 @@ def test_text_functions(spark):
         T.scanned(F.lit("  ")).alias("e"), T.top_slash(F.lit("(a/b)/c")).alias("f"), T.inline_answer(F.lit("x {maybe}")).alias("g"), T.clean_block(F.lit(None).cast("string")).alias("h"),
     ).head()
     assert (row.a, row.b, row.c, row.d, row.e, tuple(row.f), row.g, row.h) == ("2x - 3 = 7", "3/2", None, 5, True, ("(a/b)", "c"), "", "")
+
+
+def test_visible_decks_by_role(spark):
+    decks = spark.createDataFrame([(1, 7), (2, 8), (3, None), (4, 7)], "deck_id long, owner_id long")
+    ids = lambda df: sorted(r.deck_id for r in df.collect())
+    assert ids(catalog.visible(decks, "owner")) == [1, 2, 3, 4] and ids(catalog.visible(decks, "teacher", 7)) == [1, 4] and ids(catalog.visible(decks, "teacher", None)) == []
+    assert ids(catalog.visible(decks, "owner", 7, disabled=True)) == ids(catalog.visible(decks, None, 7)) == ids(catalog.visible(decks, "student", 7)) == []
+    people = spark.createDataFrame([(7, False), (8, True), (9, None)], "teacher_id long, disabled boolean")
+    assert sorted(tuple(r) for r in catalog.visible_to_each(decks, people).collect()) == [(7, 1), (7, 4)]
