@@ -21,13 +21,13 @@ def _minima(minima: DataFrame, n_edges: int) -> DataFrame:
     return save(minima, "minima") if n_edges > BROADCAST_ROWS else minima
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of edges (u long, v long); component is the smallest id reachable.
 
     Large stars link each larger neighbour of u to the smallest id around u; small stars do it for the smaller ones.
     Both only join edges with per-vertex minima, which are broadcast where they are few and else written before the
     join, so that a hub's edges are split among tasks (spark.sql.adaptive.skewJoin). The rounds grow with the logarithm
-    of the longest path. Self-links, repeated edges and null ends are allowed (null ends go).
+    of the longest path and end when no edge changes. Self-links, repeated edges and null ends are allowed (null ends go).
     """
     now = save(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -36,9 +36,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         "edges",
     )
     mark = _mark(now)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _minima(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), mark[0])
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -57,8 +55,6 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         now, before, mark = after, mark, _mark(after)
         if mark == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = now.groupBy("u").agg(F.min("v").alias("component"))
     roots = now.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     return stars.select(F.col("u").alias("id"), "component").unionByName(roots)
