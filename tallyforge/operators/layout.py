@@ -47,12 +47,20 @@ def column_cuts(glyphs: DataFrame) -> DataFrame:
     body = with_rows(glyphs.withColumn("_top", high - (high - low) * 0.12).where("y <= _top").drop("_top"))
     size = body.groupBy(*PAGE).agg(F.floor(F.min("x")).cast("long").alias("a"), F.ceil(F.max(F.col("x") + F.col("w"))).cast("long").alias("z"), F.count("*").alias("n"), F.countDistinct("row_no").alias("n_rows"))
     size = size.where("n >= 8 and z - a >= 100")
-    ink = body.select(*PAGE, "row_no", F.explode(F.sequence(F.floor("x").cast("long"), F.ceil(F.col("x") + F.col("w")).cast("long"))).alias("px"))
-    cover = ink.groupBy(*PAGE, "px").agg(F.countDistinct("row_no").alias("inked"))
-    every = size.select(*PAGE, "a", "z", "n_rows", F.explode(F.sequence("a", "z")).alias("px")).join(cover, [*PAGE, "px"], "left")
-    blank = every.where(F.coalesce("inked", F.lit(0)) < F.col("n_rows") * 0.06)
-    island = F.col("px") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("px"))
-    runs = blank.withColumn("island", island).groupBy(*PAGE, "island", "a", "z").agg(F.min("px").alias("from"), F.max("px").alias("to"))
+    # a row's ink as intervals that do not touch, so that a point counts a row once
+    ink = body.select(*PAGE, "row_no", F.floor("x").cast("long").alias("from"), F.ceil(F.col("x") + F.col("w")).cast("long").alias("to")).where("from <= to")
+    along = Window.partitionBy(*PAGE, "row_no").orderBy("from", "to")
+    reached = F.max("to").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = ink.withColumn("_new", F.coalesce(F.col("from") > reached, F.lit(True)).cast("long")).withColumn("_piece", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = pieces.groupBy(*PAGE, "row_no", "_piece").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    # the sweep: rows begin and end at events, between two events the number of inked rows stays
+    turns = pieces.select(*PAGE, F.explode(F.array(F.struct(F.col("from").alias("px"), F.lit(1).alias("turn")), F.struct((F.col("to") + 1).alias("px"), F.lit(-1).alias("turn")))).alias("e")).select(*PAGE, "e.px", "e.turn")
+    edges = size.select(*PAGE, F.explode(F.array(F.col("a"), F.col("z") + 1)).alias("px"), F.lit(0).alias("turn"))
+    events = turns.unionByName(edges).groupBy(*PAGE, "px").agg(F.sum("turn").alias("turn")).join(size.select(*PAGE, "a", "z", "n_rows"), PAGE)
+    sweep = Window.partitionBy(*PAGE).orderBy("px")
+    spans = events.withColumns({"inked": F.sum("turn").over(sweep.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("px").over(sweep)}).where("px <= z")
+    spans = spans.withColumn("blank", F.col("inked") < F.col("n_rows") * 0.06).withColumn("island", F.sum((~F.col("blank")).cast("long")).over(sweep.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = spans.where("blank").groupBy(*PAGE, "island", "a", "z").agg(F.min("px").alias("from"), (F.max("next") - 1).alias("to"))
     span = F.col("z") - F.col("a")
     wide = (F.col("to") - F.col("from") + 1 >= 8) & (F.col("to") - F.col("from") + 1 >= span * 0.035)
     inside = (F.col("from") - F.col("a") > span * 0.12) & (F.col("z") - F.col("to") > span * 0.08)

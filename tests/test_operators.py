@@ -135,3 +135,40 @@ def test_visible_decks_by_role(spark):
     assert ids(catalog.visible(decks, "owner", 7, disabled=True)) == ids(catalog.visible(decks, None, 7)) == ids(catalog.visible(decks, "student", 7)) == []
     people = spark.createDataFrame([(7, False), (8, True), (9, None)], "teacher_id long, disabled boolean")
     assert sorted(tuple(r) for r in catalog.visible_to_each(decks, people).collect()) == [(7, 1), (7, 4)]
+
+
+def test_column_cuts_match_points(spark):
+    """A03 against counting the inked rows of every point."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for page in range(12):
+        lanes = rng.sample([40, 200, 360, 520], rng.randrange(1, 4))
+        for k in range(rng.choice([3, 9, 40, 80])):
+            rows.append((1, page, k, rng.choice(lanes) + rng.random() * 30, float(700 - 12 * (k % 25)), rng.random() * rng.choice([5, 60, 140]), 12.0, "x"))
+    df = spark.createDataFrame(rows, "doc_id long, page_index int, glyph_seq int, x double, y double, w double, scale double, s string")
+    want = []
+    for page in range(12):
+        mine = [r for r in rows if r[1] == page]
+        low, high = min(r[4] for r in mine), max(r[4] for r in mine)
+        mine = [r for r in mine if r[4] <= high - (high - low) * 0.12]
+        if len(mine) < 8:
+            continue
+        a, z = math.floor(min(r[3] for r in mine)), math.ceil(max(r[3] + r[5] for r in mine))
+        lines = {r[4] for r in mine}
+        if z - a < 100:
+            continue
+        inked = {px: len({r[4] for r in mine if math.floor(r[3]) <= px <= math.ceil(r[3] + r[5])}) for px in range(a, z + 1)}
+        px = a
+        while px <= z:
+            end = px
+            while end <= z and inked[end] < len(lines) * 0.06:
+                end += 1
+            n, span = end - px, z - a
+            if n >= 8 and n >= span * 0.035 and px - a > span * 0.12 and z - (end - 1) > span * 0.08:
+                want.append((page, (px + end - 1) / 2))
+            px = max(end, px + 1)
+    got = sorted((r.page_index, r.cut) for r in layout.column_cuts(df).collect())
+    assert got == sorted(want) and got
