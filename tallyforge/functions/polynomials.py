@@ -125,7 +125,10 @@ PLAIN_SUM = rf"^[-+]*{TERM}(?:[-+]+{TERM})*=[-+]*{TERM}(?:[-+]+{TERM})*\z"
 
 def _plain_sum(bare: Column, names: Column) -> Column:
     """The difference of an equation of the form PLAIN_SUM, by adding up its terms."""
-    terms = F.concat(*[F.transform(F.regexp_extract_all(F.substring_index(bare, "=", at), F.lit("[-+]*[^-+]+"), F.lit(0)), lambda t, at=at: F.struct(t.alias("t"), F.lit(at).alias("side"))) for at in (1, -1)])
+    def of_side(side: int) -> Column:
+        return F.transform(F.regexp_extract_all(F.substring_index(bare, "=", side), F.lit("[-+]*[^-+]+"), F.lit(0)), lambda t: F.struct(t.alias("t"), F.lit(side).alias("side")))
+
+    terms = F.concat(of_side(1), of_side(-1))
     scale = F.when(bare.contains("."), 1_000_000).otherwise(1).cast("bigint")
 
     def summed(unit: Column) -> Column:
