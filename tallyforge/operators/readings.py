@@ -79,9 +79,8 @@ def niceness(kind: Column, answer: Column) -> Column:
     return F.when(answer.isNull(), 9).when(kind == "radical", 4).when(kind.isin("none", "complex"), 6).when(kind == "all", 2).otherwise(rational)
 
 
-def scored(found: DataFrame) -> DataFrame:
-    """The readings that have an answer: adds answer and score, four times the niceness and the cost. A loose one needs a nice answer. Each distinct reading is solved once."""
-    asked = solutions(spread(found.select("variant").distinct()), "variant")
+def scored(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """The readings that have an answer in asked (variant, answer, kind): adds answer and score, four times the niceness and the cost. A loose one needs a nice answer."""
     nice = found.join(asked, "variant").withColumn("nice", niceness(F.col("kind"), F.col("answer"))).where("nice < 6 and (not loose or nice <= 1)")
     return nice.select("raw", "least", "variant", "edits", "answer", (F.col("nice") * 4 + F.col("edits")).alias("score"))
 
@@ -104,10 +103,12 @@ def readings(rows: DataFrame, raw: str = "raw", limit: int = 3) -> DataFrame:
     left, best, done = texts, None, []
     for low, high in BANDS:
         found = keep(paths(left, low, high), "paths")
-        now = scored(found)
+        # each distinct reading is solved once; written, so that no filter of the join is moved below the solver
+        asked = keep(solutions(spread(found.select("variant").distinct()), "variant"), "solved")
+        now = scored(found, asked)
         both = now if best is None else best.drop("rank").unionByName(now)
         best = keep(best_of(both, limit), "best")
-        done += [found, best]
+        done += [asked, found, best]
         if high == BUDGET:
             break
         last = best.groupBy("raw").agg(F.count("*").alias("n"), F.max("score").alias("last"))
