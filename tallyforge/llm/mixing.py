@@ -14,14 +14,16 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import save, table
+from tallyforge.llm.common import forget, save, table
 
-#: Sources whose totals may come to the driver; of more, only sums do.
-MAX_SOURCES = 100_000
 #: Steps of an interval of exponents that one job looks at.
 GRID = 32
 #: Tokens of a bucket, the group in which documents of a source and epoch are ranked.
 BUCKET_TOKENS = 1 << 20
+#: Buckets of a run; tokens before a bucket are those of the runs before plus those of its own run.
+RUN_BUCKETS = 4096
+#: Bits of monotonically_increasing_id() that count rows of a partition.
+ROW_BITS = 33
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,7 +62,7 @@ def whole_budget(tokens: list[int], weights: list[float]) -> float:
 
 
 def solve(totals: dict[str, int], target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget: int | None = None) -> Mix:
-    """Exponent, weights and quotas for sources with the given token totals (each at least 1).
+    """Exponent, weights and quotas for sources with the given token totals (each at least 1), for a few sources held in memory.
 
     target_entropy is a share of the entropy of equal weights; shares that have more already are kept. max_repeats
     bounds quota over total for every source. Without a budget it is the least that uses every document once. If no
@@ -100,7 +102,9 @@ def solve_sums(totals: DataFrame, target_entropy: float | None, max_repeats: flo
     Entropy and repeats of an exponent follow from two sums over the sources and from their least and largest totals;
     one job gives the sums for GRID exponents, of which the two about the turning point are the next job's ends.
     """
-    low_t, top, n, every = totals.agg(F.min("total"), F.max("total"), F.count("*"), F.sum("total")).head()
+    low_t, top, n = totals.agg(F.min("total"), F.max("total"), F.count("*")).head()
+    if not n:
+        return 0, totals.select("source", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("quota"), "total")
     log_t = F.log(F.col("total") / F.lit(float(top)))
 
     def sums(alphas: list[float]) -> list[tuple[float, float]]:
@@ -149,61 +153,84 @@ def token_count(column: str) -> Column:
     return (F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)) + 1).cast("long")
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """ids (row_no, id_hash, ...) with copy: 0, 1, ... among the rows of equal id_hash.
+
+    Rows are counted for each hash and written partition first and then ranked within the partition, so that no task
+    holds a hash that very many rows share.
+    """
+    ids = ids.withColumn("part", F.shiftright("row_no", ROW_BITS))
+    per = ids.groupBy("id_hash", "part").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("id_hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select("id_hash", "part", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    rank = F.row_number().over(Window.partitionBy("id_hash", "part").orderBy("row_no")) - 1
+    return ids.join(per, ["id_hash", "part"]).withColumn("copy", F.col("earlier") + rank).drop("part", "earlier")
+
+
+def before_buckets(held: DataFrame) -> DataFrame:
+    """held (source, epoch, bucket, held) with before, the tokens of all smaller buckets of the source and epoch, in place of held."""
+    upto = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("run", F.floor(F.col("bucket") / RUN_BUCKETS))
+    runs = held.groupBy("source", "epoch", "run").agg(F.sum("held").alias("run_held"))
+    runs = runs.withColumn("run_before", F.coalesce(F.sum("run_held").over(upto(["source", "epoch"], "run")), F.lit(0))).drop("run_held")
+    inside = held.withColumn("inside", F.coalesce(F.sum("held").over(upto(["source", "epoch", "run"], "bucket")), F.lit(0)))
+    return inside.join(runs, ["source", "epoch", "run"]).select("source", "epoch", "bucket", (F.col("run_before") + F.col("inside")).alias("before"))
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = 0.95, max_repeats: float | None = 4.0,
-    budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 17,
+    budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 17, columns: list[str] | None = None,
 ) -> DataFrame:
-    """docs as a mixed stream, with mix_tokens, mix_weight, mix_epoch, mix_block and mix_order added.
+    """docs (of its columns those named, else all) as a mixed stream, with mix_tokens, mix_weight, mix_epoch, mix_block and mix_order added.
 
     A row appears once for each epoch in which its source's quota reaches it; the stream is sorted by mix_block and
     mix_order. A source's tokens differ from its quota by less than one document, and each block's by less than two.
-    Without a budget no row is dropped. Ranks come from prefix sums over hashed buckets of bounded size, so a source
-    with most rows is never gathered in one task; weights of very many sources are joined as a table. Repeated rows are documents of their own; empty tables give no rows;
-    columns named like the added ones are replaced, others are kept.
+    Without a budget no row is dropped. Rows are written once with a number; places are found for numbers alone, by
+    prefix sums over hashed buckets of bounded size, so a source with most rows is never gathered in one task, and each
+    row is then shuffled once, whatever its number of epochs. Repeated rows are documents of their own and have places
+    of their own; empty tables give no rows; columns named like the added ones are replaced, others are kept.
     """
-    spark = docs.sparkSession
     added = ["mix_tokens", "mix_weight", "mix_epoch", "mix_block", "mix_order"]
-    docs = docs.drop(*added)
-    kept = docs.columns
-    src = docs.select(F.struct(*kept).alias("row"), source_key(source_col).alias("source"), token_count(text_col).alias("tokens"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("id_hash"))
-    sums = save(src.groupBy("source").agg(F.sum("tokens").alias("total")), "totals")
-    if sums.count() <= MAX_SOURCES:
-        totals = {r.source: r.total for r in sums.collect()}
-        plan = solve(totals, target_entropy, max_repeats, budget)
-        rows = [(s, plan.weights[s], plan.quotas[s], totals[s]) for s in sorted(totals)]
-        whole, sources = plan.budget, F.broadcast(spark.createDataFrame(rows, "source string, weight double, quota long, total long"))
-    else:
-        whole, sources = solve_sums(sums, target_entropy, max_repeats, budget)
-        sources = save(sources, "sources")
+    kept = [c for c in (columns or docs.columns) if c not in added]
+    rows = save(
+        docs.select(
+            F.struct(*kept).alias("row"), source_key(source_col).alias("source"), token_count(text_col).alias("tokens"),
+            F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("id_hash"), F.monotonically_increasing_id().alias("row_no"),
+        ),
+        "rows",
+    )
+    ids = save(numbered(rows.select("row_no", "id_hash", "source", "tokens")), "ids")
+    sums = save(rows.groupBy("source").agg(F.sum("tokens").alias("total")), "totals")
+    whole, plan = solve_sums(sums, target_entropy, max_repeats, budget)
+    sources = save(plan, "sources")
+    turn = F.when(F.col("copy") == 0, F.xxhash64("id_hash", "epoch", F.lit(seed))).otherwise(F.xxhash64("id_hash", "epoch", F.lit(seed), "copy"))
     copies = (
-        src.join(sources, "source")
+        ids.join(sources, "source")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("total")))))
         .where("quota > 0")
-        .withColumn("turn", F.xxhash64("id_hash", "epoch", F.lit(seed)))
-        .withColumn("bucket", F.floor((F.shiftrightunsigned("turn", 11) / F.lit(float(1 << 53))) * F.ceil(F.col("total") / BUCKET_TOKENS)))
-        .withColumn("turn", F.shiftrightunsigned("turn", 11))
+        .withColumn("turn", F.shiftrightunsigned(turn, 11))
+        .withColumn("bucket", F.floor((F.col("turn") / F.lit(float(1 << 53))) * F.ceil(F.col("total") / BUCKET_TOKENS)))
     )
     groups = ["source", "epoch", "bucket"]
-    held = copies.groupBy(*groups).agg(F.sum("tokens").alias("held"))
-    before = held.withColumn("before", F.coalesce(F.sum("held").over(Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("held")
-    order = Window.partitionBy(*groups).orderBy("turn", "id_hash", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    before = before_buckets(copies.groupBy(*groups).agg(F.sum("tokens").alias("held")))
+    order = Window.partitionBy(*groups).orderBy("turn", "id_hash", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    n_blocks = max(1, -(-whole // block_tokens))
     placed = (
         copies.withColumn("inside", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
         .join(before, groups)
         .withColumn("at", F.col("epoch") * F.col("total") + F.col("before") + F.col("inside"))
         .where("at < quota")
-    )
-    n_blocks = max(1, -(-whole // block_tokens))
-    return placed.select(
-        "row.*",
-        F.col("tokens").alias("mix_tokens"),
-        F.col("weight").alias("mix_weight"),
-        F.col("epoch").alias("mix_epoch"),
-        F.floor(F.col("at") / F.col("quota") * n_blocks).alias("mix_block"),
-        F.xxhash64("turn", "id_hash", F.lit(seed + 1)).alias("mix_order"),
-    )
+        .select(
+            "row_no", F.col("weight").alias("mix_weight"), F.col("epoch").alias("mix_epoch"), F.floor(F.col("at") / F.col("quota") * n_blocks).alias("mix_block"),
+            F.xxhash64("turn", "id_hash", F.lit(seed + 1)).alias("mix_order"),
+        )
+    )
+    placed = save(placed, "placed")
+    for done in (ids, sums, sources):
+        forget(done)
+    return rows.select("row", F.col("tokens").alias("mix_tokens"), "row_no").join(placed, "row_no").select("row.*", *added)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over all documents: entropy 0.95 of equal weights, at most four repeats, no document left out."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_tokens", "mix_weight", "mix_epoch", "mix_block", "mix_order")
+    return mix(table(spark, sf_dir, "documents"), columns=["doc_id", "source"]).select("doc_id", "source", "mix_tokens", "mix_weight", "mix_epoch", "mix_block", "mix_order")

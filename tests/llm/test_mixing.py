@@ -79,9 +79,23 @@ def test_sums_give_what_totals_give(spark, target, limit, budget):
         assert r.weight == pytest.approx(plan.weights[r.source], rel=1e-6) and abs(r.quota - plan.quotas[r.source]) <= 1
 
 
-def test_more_sources_than_the_driver_takes(spark, monkeypatch):
-    rows, docs = make(spark)
-    few = sorted(map(tuple, mixing.mix(docs, target_entropy=0.85, max_repeats=3).select("doc_id", "source", "mix_tokens", "mix_epoch").collect()), key=str)
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
-    many = sorted(map(tuple, mixing.mix(docs, target_entropy=0.85, max_repeats=3).select("doc_id", "source", "mix_tokens", "mix_epoch").collect()), key=str)
-    assert abs(len(few) - len(many)) <= 2 and {r[0] for r in many} == {i for i, _, _ in rows}
+def test_repeated_rows_have_places_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_TOKENS", 50)
+    monkeypatch.setattr(mixing, "RUN_BUCKETS", 3)
+    rows = [(None, "w w w", "a")] * 300 + [(i, "w w", "b") for i in range(60)] + [(7, None, None)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix(docs, target_entropy=0.9, max_repeats=3, block_tokens=200).collect()
+    plan = mixing.solve({"=a": 1200, "=b": 180, "null": 20}, 0.9, 3)
+    sums = Counter()
+    for r in got:
+        sums["null" if r.source is None else "=" + r.source] += r.mix_tokens
+    for s, q in plan.quotas.items():
+        assert q <= sums[s] < q + 4
+    first = Counter(r.source for r in got if r.mix_epoch == 0)
+    assert first == {"a": 300, "b": 60, None: 20}
+    per_block = Counter(r.mix_block for r in got if r.source == "a")
+    n = max(1, -(-plan.budget // 200))
+    assert all(abs(4 * per_block[b] - plan.quotas["=a"] / n) < 8 for b in range(n))
+    once = sorted((str(r.doc_id), r.mix_epoch, r.mix_block, r.mix_order) for r in got)
+    again = mixing.mix(docs.repartition(3), target_entropy=0.9, max_repeats=3, block_tokens=200).collect()
+    assert once == sorted((str(r.doc_id), r.mix_epoch, r.mix_block, r.mix_order) for r in again)
