@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.sources import scratch
+
 
 def teachers_with_counts(teachers: DataFrame, decks: DataFrame) -> DataFrame:
     """Teachers with their number of decks, 0 where they have none."""
@@ -122,23 +124,67 @@ def answered(cards: DataFrame) -> DataFrame:
     return cards.groupBy("deck_id").agg(F.count_if(F.trim(F.coalesce("answer", F.lit(""))) != "").alias("with_answers"))
 
 
+def _running(rows: DataFrame, name: str, value: Column, of=F.max, back: bool = False, strict: bool = False) -> DataFrame:
+    """rows (_k, _part, _i, ...) with name: of(value) over the rows of _k up to this one, or from it on (back); strict leaves itself out.
+
+    Each part is run through by itself, and the parts of a key, which are few, carry their totals on.
+    """
+    whole, own = Window.unboundedPreceding, -1 if strict else 0
+    frame = (-own, Window.unboundedFollowing) if back else (whole, own)
+    others = (1, Window.unboundedFollowing) if back else (whole, -1)
+    per = rows.groupBy("_k", "_part").agg(of(value).alias("_v"))
+    per = per.select("_k", "_part", of("_v").over(Window.partitionBy("_k").orderBy("_part").rowsBetween(*others)).alias("_carry"))
+    local = of(value).over(Window.partitionBy("_k", "_part").orderBy("_i").rowsBetween(*frame))
+    pick = F.greatest if of is F.max else F.least
+    return rows.join(per, ["_k", "_part"]).withColumn("_local", local).withColumn(name, pick("_local", "_carry")).drop("_local", "_carry")
+
+
+def _in_parts(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows written in ranges of _k and order, with _part, the range, and _i, the place in it among the rows of _k."""
+    ranged = rows.repartitionByRange("_k", *order).withColumn("_part", F.spark_partition_id())
+    return scratch.keep(ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_k", "_part").orderBy(*order)).cast("long")), name)
+
+
 def throttle(logins: DataFrame, limit: int = 6, block_seconds: int = 60) -> DataFrame:
     """Logins (ip, ts, seq, ok) with blocked: true inside the minute that follows an address's sixth failure in a row.
 
-    A fold over each address's attempts in order; failures inside a block are not counted, and a success clears them.
+    Failures inside a block are not counted, and a success clears them; a null ok is a failure, a null ts comes first,
+    neither blocks nor is blocked, and null addresses are one address. Attempts that could begin a block (six failures in
+    a row end there) point to the one that would begin the next; those that do are reached from an address's first one
+    by doubling the pointers. Attempts are cut into ranges of address and time, so that one address spreads over tasks.
     """
-    h = F.array_sort(F.collect_list(F.struct("ts", "seq", "ok")))
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("timestamp_ntz").alias("until"), F.array().cast("array<struct<ts:timestamp_ntz,seq:bigint,blocked:boolean>>").alias("out"))
-
-    def one(s: Column, r: Column) -> Column:
-        blocked = F.coalesce(r["ts"] < s["until"], F.lit(False))
-        n = F.when(blocked, s["n"]).when(r["ok"], 0).otherwise(s["n"] + 1)
-        full = ~blocked & (n >= limit)
-        return F.struct(
-            F.when(full, 0).otherwise(n).alias("n"),
-            F.when(full, r["ts"] + F.make_dt_interval(secs=F.lit(block_seconds))).otherwise(s["until"]).alias("until"),
-            F.concat(s["out"], F.array(F.struct(r["ts"].alias("ts"), r["seq"].alias("seq"), blocked.alias("blocked")))).alias("out"),
-        )
-
-    folded = logins.groupBy("ip").agg(F.aggregate(h, start, one, lambda s: s["out"]).alias("out"))
-    return folded.select("ip", F.explode("out").alias("r")).select("ip", "r.ts", "r.seq", "r.blocked")
+    key = F.when(F.col("ip").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("ip").cast("string")))
+    read = _in_parts(logins.select("ip", "ts", "seq", F.coalesce("ok", F.lit(False)).alias("ok"), key.alias("_k")), ["ts", "seq", "ok"], "logins")
+    sizes = read.groupBy("_k", "_part").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    rows = read.join(sizes.select("_k", "_part", F.coalesce(ahead, F.lit(0)).alias("_ahead")), ["_k", "_part"]).withColumn("pos", F.col("_ahead") + F.col("_i")).drop("_ahead")
+    rows = _running(rows, "cleared", F.when(F.col("ok"), F.col("pos")))
+    full = F.col("pos") - F.coalesce("cleared", F.lit(0)) >= limit
+    rows = scratch.keep(_running(rows.withColumn("full", full), "next_full", F.when(F.col("full"), F.col("pos")), F.min, back=True).drop("cleared"), "places")
+    scratch.drop(read)
+
+    until = (F.col("ts") + F.make_dt_interval(secs=F.lit(block_seconds))).alias("until")
+    full_rows = rows.where("full").select("_k", "pos", "ts", until)
+    # the first attempt at or after a block's end: ends and attempts in one order, ends before attempts of the same time
+    ends = full_rows.where("until is not null").select("_k", F.col("until").alias("at"), F.lit(0).alias("kind"), "pos")
+    tries = rows.where("ts is not null").select("_k", F.col("ts").alias("at"), F.lit(1).alias("kind"), "pos")
+    merged = _in_parts(ends.unionByName(tries), ["at", "kind", "pos"], "ends")
+    opens = _running(merged, "open", F.when(F.col("kind") == 1, F.col("pos")), F.min, back=True).where("kind = 0").select("_k", "pos", "open")
+    # a block without an end time shuts nobody out: counting goes on at the next attempt
+    starts = full_rows.join(opens, ["_k", "pos"], "left").withColumn("open", F.when(F.col("until").isNull(), F.col("pos") + 1).otherwise(F.col("open")))
+    reach = rows.select("_k", F.col("pos").alias("_at"), F.col("next_full").alias("next"))
+    first = full_rows.groupBy("_k").agg(F.min("pos").alias("pos")).withColumn("first", F.lit(True))
+    links = starts.withColumn("_at", F.col("open") + (limit - 1)).join(reach, ["_k", "_at"], "left").join(first, ["_k", "pos"], "left")
+    links = scratch.keep(links.select("_k", "pos", "next", F.coalesce("first", F.lit(False)).alias("begins")), "links")
+    scratch.drop(merged)
+    while links.where("begins and next is not null").limit(1).count():
+        hit = links.where("begins and next is not null").select("_k", F.col("next").alias("pos"), F.lit(True).alias("_hit"))
+        far = links.select("_k", F.col("pos").alias("next"), F.col("next").alias("_far"))
+        twice = links.join(far, ["_k", "next"], "left").join(hit, ["_k", "pos"], "left")
+        after = scratch.keep(twice.select("_k", "pos", F.col("_far").alias("next"), (F.col("begins") | F.col("_hit").isNotNull()).alias("begins")), "links")
+        scratch.drop(links)
+        links = after
+    blocks = links.where("begins").select("_k", "pos", F.lit(True).alias("_begins"))
+    timed = rows.join(blocks, ["_k", "pos"], "left")
+    shut = _running(timed, "_until", F.when(F.col("_begins"), until), strict=True)
+    return shut.select("ip", "ts", "seq", F.coalesce(F.col("ts") < F.col("_until"), F.lit(False)).alias("blocked"))

@@ -49,23 +49,29 @@ def test_presentations_match_a_queue(spark):
 def test_throttle_matches_plain_form(spark):
     rng = random.Random(3)
     t0, rows = datetime(2024, 1, 1), []
-    for ip in range(4):
+    for ip, n_rows in ((0, 60), (1, 60), (2, 60), (3, 400), (None, 40), (5, 1), (6, 30)):  # one address has most of the rows
         t = t0
-        for s in range(60):
-            t += timedelta(seconds=rng.choice([1, 5, 30]))
-            rows.append((ip, t, s, rng.random() < 0.1))
+        for s in range(n_rows):
+            t += timedelta(seconds=rng.choice([0, 1, 5, 30]))
+            at = None if ip == 6 and s < 8 else t
+            rows.append((ip, at, s, rng.choice([True, None, False, False, False, False, False, False, False, False])))
     want = []
-    for ip in range(4):
+    for ip in {r[0] for r in rows}:
         n, until = 0, None
         for _, t, s, ok in [r for r in rows if r[0] == ip]:
-            blocked = until is not None and t < until
+            blocked = until is not None and t is not None and t < until
             if not blocked:
                 n = 0 if ok else n + 1
                 if n >= 6:
-                    n, until = 0, t + timedelta(seconds=60)
-            want.append((ip, s, blocked))
+                    n, until = 0, None if t is None else t + timedelta(seconds=60)
+            want.append((str(ip), s, blocked))
     df = spark.createDataFrame(rows, "ip long, ts timestamp_ntz, seq long, ok boolean")
-    assert sorted((r.ip, r.seq, r.blocked) for r in catalog.throttle(df).collect()) == sorted(want)
+    for coalesce in ("true", "false"):  # one part, or addresses cut into several
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        got = sorted((str(r.ip), r.seq, r.blocked) for r in catalog.throttle(df.repartition(5)).collect())
+        assert got == sorted(want) and any(r[2] for r in got)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert catalog.throttle(df.limit(0)).count() == 0
 
 
 def test_mark_scan_swallows_an_empty_problem(spark):
