@@ -152,6 +152,11 @@ ORACLE_SQL = {
     "g15_username_taken": f"WITH {TEACHERS} SELECT upper(c_name) AS username, c_custkey FROM customer WHERE lower(c_name) IN (SELECT lower(username) FROM teachers)",
     "g16_next_number": f"WITH {CARDS} SELECT deck_id, max(number) + 1 AS next_number FROM cards GROUP BY deck_id",
     "g17_with_answers": f"WITH {CARDS} SELECT deck_id, count(*) FILTER (WHERE flag = 'R') AS with_answers FROM cards GROUP BY deck_id",
+    "g19_login_throttle": """WITH RECURSIVE e AS (SELECT user_id % 5 AS ip, ts, event_id AS seq, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id, event_type = 'purchase') AS pos FROM events),
+      f AS (SELECT ip, pos, ts, seq, false AS blocked, CASE WHEN ok THEN 0 ELSE 1 END AS n, CAST(NULL AS TIMESTAMP) AS until FROM e WHERE pos = 1
+        UNION ALL SELECT x.ip, x.pos, x.ts, x.seq, x.shut, CASE WHEN x.shut THEN x.n WHEN x.ok OR x.n >= 3 THEN 0 ELSE x.n + 1 END, CASE WHEN NOT x.shut AND NOT x.ok AND x.n >= 3 THEN x.ts + INTERVAL 1 HOUR ELSE x.until END
+        FROM (SELECT e.*, f.n, f.until, coalesce(e.ts < f.until, false) AS shut FROM f JOIN e ON e.ip = f.ip AND e.pos = f.pos + 1) x)
+      SELECT ip, ts, seq, blocked FROM f""",
     "g20_all_listing": LISTING,
     "g20_role_gating": f"""WITH {DECKS}, {TEACHERS} SELECT t.teacher_id, t.disabled, CASE WHEN t.disabled THEN 0 ELSE count(d.deck_id) END AS n_decks FROM teachers t LEFT JOIN decks d ON d.owner_id = t.teacher_id GROUP BY t.teacher_id, t.disabled
       UNION ALL SELECT -1, false, count(*) FROM decks UNION ALL SELECT -2, true, 0""",
