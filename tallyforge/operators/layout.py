@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,7 +30,24 @@ def mode_scale(glyphs: DataFrame) -> DataFrame:
 
 
 def with_rows(glyphs: DataFrame, gap: float = 3.0) -> DataFrame:
-    """Adds row_no from 1 at the top: a glyph more than gap below the one before begins a row."""
+    """Adds row_no from 1 at the top: a glyph belongs to the first row whose key is within gap of its rounded y, else its y is a new key.
+
+    From the top down only the last key can still fit, so keys come from one fold over a page's different ys, and a
+    glyph's row is the number of keys not below it. Glyphs without a y have no row.
+    """
+    tall = F.floor(F.col("y") + 0.5).cast("double")
+    keys = F.aggregate(
+        F.sort_array("_ys", asc=False), F.array().cast("array<double>"),
+        lambda k, y: F.when(F.coalesce(F.get(k, F.size(k) - 1) - y > gap, F.lit(True)), F.concat(k, F.array(y))).otherwise(k),
+    )
+    pages = glyphs.groupBy(*PAGE).agg(F.collect_set(tall).alias("_ys")).select(*PAGE, keys.alias("_keys"))
+    joined = glyphs.join(pages, PAGE, "left")
+    above = F.size(F.filter("_keys", lambda k: k >= F.floor(F.col("y") + 0.5))).cast("long")
+    return joined.withColumn("row_no", F.when(F.col("y").isNotNull(), above)).drop("_keys")
+
+
+def _ink_rows(glyphs: DataFrame, gap: float = 3.0) -> DataFrame:
+    """Adds row_no for the share of rows that ink a point: a glyph more than gap below the one before begins a row."""
     down = Window.partitionBy(*PAGE).orderBy(F.desc("y"), "x", "glyph_seq")
     new = F.coalesce(F.lag("y").over(down) - F.col("y") > gap, F.lit(True)).cast("long")
     return glyphs.withColumn("_new", new).withColumn("row_no", F.sum("_new").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
@@ -44,7 +62,7 @@ def column_cuts(glyphs: DataFrame) -> DataFrame:
     """
     page = Window.partitionBy(*PAGE)
     low, high = F.min("y").over(page), F.max("y").over(page)
-    body = with_rows(glyphs.withColumn("_top", high - (high - low) * 0.12).where("y <= _top").drop("_top"))
+    body = _ink_rows(glyphs.withColumn("_top", high - (high - low) * 0.12).where("y <= _top").drop("_top"))
     size = body.groupBy(*PAGE).agg(F.floor(F.min("x")).cast("long").alias("a"), F.ceil(F.max(F.col("x") + F.col("w"))).cast("long").alias("z"), F.count("*").alias("n"), F.countDistinct("row_no").alias("n_rows"))
     size = size.where("n >= 8 and z - a >= 100")
     # a row's ink as intervals that do not touch, so that a point counts a row once
@@ -77,18 +95,18 @@ def with_columns(glyphs: DataFrame) -> DataFrame:
 def merge_stacked(lines: DataFrame) -> DataFrame:
     """A10: lines (doc_id, page_index, col, line_no, text, x0, x1) with a short numerator over a denominator put together as (a)/(b).
 
-    A denominator is a lone term under at most 18 characters, within 35 % of their width of the left edge and no more
-    than 10 % beyond the right one; what follows '=' above stays behind the fraction.
+    A denominator is a lone term, or an expression in brackets, under at most 18 characters, within 35 % of their width
+    of the left edge and no more than 10 % beyond the right one; what follows '=' above stays behind the fraction.
     """
     order = Window.partitionBy(*PAGE, "col").orderBy("line_no")
     lead = lambda c: F.lead(c).over(order)
     width = F.col("x1") - F.col("x0")
     top = F.trim(F.regexp_extract("text", r"^([^=]*)", 1))
     fits = (
-        F.coalesce(lead("text").rlike(r"^\s*[A-Za-z0-9^]{1,8}\s*$"), F.lit(False)) & (F.length(top).between(1, 18)) & ~top.rlike(r"[/:]") & top.rlike(r"[A-Za-z0-9]")
+        F.coalesce(lead("text").rlike(r"^\s*(?:[A-Za-z0-9^]{1,8}|\([A-Za-z0-9^+\-*. ]{1,16}\))\s*$"), F.lit(False)) & (F.length(top).between(1, 18)) & ~top.rlike(r"[/:]") & top.rlike(r"[A-Za-z0-9]")
         & (F.abs(lead("x0") - F.col("x0")) <= width * 0.35) & (lead("x1") <= F.col("x1") + width * 0.1)
     )
-    marked = lines.withColumns({"_fits": fits, "_under": F.trim(lead("text")), "_top": top, "_tail": F.regexp_extract("text", r"(=.*)$", 1)})
+    marked = lines.withColumns({"_fits": fits, "_under": F.regexp_replace(F.trim(lead("text")), r"^\(|\)$", ""), "_top": top, "_tail": F.regexp_extract("text", r"(=.*)$", 1)})
     # of a chain of lines that all fit, every second one from the first is a numerator
     run = F.col("line_no") - F.coalesce(F.max(F.when(~F.col("_fits"), F.col("line_no"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     marked = marked.withColumn("_first", F.col("_fits") & (run % 2 == 1))
@@ -175,30 +193,50 @@ def _fractions(g: list[dict]) -> list[dict]:
     return out
 
 
+def _is_mark(s: str) -> bool:
+    """A problem's number by itself: up to three digits and a dot or bracket."""
+    s = s.strip()
+    return 2 <= len(s) <= 4 and s[-1] in ".)" and s[:-1].isdigit()
+
+
+def _is_term(s: str) -> bool:
+    return not _is_mark(s) and re.fullmatch(r"[\w^+\-. ]{1,12}", s) is not None
+
+
 def _proportions(g: list[dict], mode: float) -> list[dict]:
-    """Around each lone '=', the glyphs above and below on either side as (a)/(b) = (c)/(d)."""
+    """Around each lone '=', the glyphs above and below on either side as (a)/(b) = (c)/(d), after the problem's number if one stands left of them."""
     left = list(g)
     for eq in [x for x in g if x["s"].strip() == "="]:
-        near = [x for x in left if x is not eq and abs(x["x"] + x["w"] / 2 - eq["x"]) < 8 * mode and mode * 0.2 < abs(x["y"] - eq["y"]) <= 1.4 * mode]
+        band = [x for x in left if x is not eq and abs(x["x"] + x["w"] / 2 - eq["x"]) < 8 * mode and abs(x["y"] - eq["y"]) <= 1.4 * mode]
+        near = [x for x in band if abs(x["y"] - eq["y"]) > mode * 0.2 and not _is_mark(x["s"])]
         quarter = {(x["x"] < eq["x"], x["y"] > eq["y"]): x for x in sorted(near, key=lambda x: -abs(x["x"] - eq["x"]))}
         if len(quarter) == 4:
             s = "({}) / ({}) = ({}) / ({})".format(*(quarter[k]["s"].strip() for k in ((True, True), (True, False), (False, True), (False, False)))).replace(" / ", "/")
-            left = [x for x in left if x is not eq and not any(x is q for q in quarter.values())]
-            left.append(eq | {"s": s, "x": min(q["x"] for q in quarter.values()), "w": 1.0})
+            start = min(q["x"] for q in quarter.values())
+            marks = [x for x in band if _is_mark(x["s"]) and x["x"] <= start]
+            label = max(marks, key=lambda x: x["x"]) if marks else None
+            used = [eq, *quarter.values(), *([label] if label else [])]
+            left = [x for x in left if not any(x is u for u in used)]
+            left.append(eq | {"s": f"{label['s'].strip()} {s}" if label else s, "x": label["x"] if label else start, "w": 1.0})
     return left
 
 
 def _lines(g: list[dict], gap: float = 3.0) -> list[str]:
-    """Rows from the top; an empty 'N)' between two short lines takes them as its fraction."""
+    """Rows from the top; an empty 'N)' between two short lines takes them as its fraction, beside one alone that one."""
     rows: list[list[dict]] = []
     for x in sorted(g, key=lambda x: (-x["y"], x["x"])):
-        row = next((r for r in rows if abs(r[0]["y"] - x["y"]) <= gap), None)
+        row = next((r for r in rows if abs(math.floor(r[0]["y"] + 0.5) - math.floor(x["y"] + 0.5)) <= gap), None)
         rows.append([x]) if row is None else row.append(x)
     text = [" ".join(x["s"].strip() for x in sorted(r, key=lambda x: x["x"])) for r in rows]
-    i = 1
-    while i < len(text) - 1:
-        if re.fullmatch(r"\d{1,3}[.)]", text[i]) and all(re.fullmatch(r"[\w^+\-. ]{1,12}", t) for t in (text[i - 1], text[i + 1])):
-            text[i - 1 : i + 2] = [f"{text[i]} ({text[i - 1]})/({text[i + 1]})"]
+    i = 0
+    while i < len(text):
+        if _is_mark(text[i]):
+            above, below = i > 0 and _is_term(text[i - 1]), i + 1 < len(text) and _is_term(text[i + 1])
+            a, z = i - above, i + 1 + below
+            terms = [text[j] for j in range(a, z) if j != i]
+            if terms:
+                text[a:z] = [f"{text[i]} ({terms[0]})/({terms[1]})" if len(terms) == 2 else f"{text[i]} {terms[0]}"]
+                i = a
         i += 1
     return text
 

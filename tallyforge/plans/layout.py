@@ -42,6 +42,13 @@ def a08(s, d):
     return L.with_rows(_glyphs(s, d)).groupBy("doc_id").agg(F.max("row_no").alias("n_rows"), F.count("*").alias("n"))
 
 
+def a08_first_fit(s, d):
+    """Glyphs two points apart, which a chain of gaps would take for one row."""
+    tall = (600 - F.col("number") * 2 - F.col("deck_id") % 50 * 9).cast("double")
+    glyphs = cards(s, d).select(F.floor(F.col("deck_id") / 50).cast("long").alias("doc_id"), F.lit(1).alias("page_index"), F.col("card_id").alias("glyph_seq"), tall.alias("y"))
+    return L.with_rows(glyphs).select("doc_id", "glyph_seq", "row_no")
+
+
 def _stacked(s, d):
     deck = cards(s, d)
     one = F.array(
@@ -70,7 +77,7 @@ def a_texts(s, d):
 
 
 QUERIES = {
-    "a01_drop_furniture": a01, "a03_column_cuts": a03, "a03_column_buckets": a03b, "a04_mode_scale": a04, "a08_row_groups": a08, "a10_stacked_fractions": a10, "a11_reflow": a11, "a02_a09_page_lines": a_pages, "a_page_texts": a_texts,
+    "a01_drop_furniture": a01, "a03_column_cuts": a03, "a03_column_buckets": a03b, "a04_mode_scale": a04, "a08_row_groups": a08, "a08_first_fit_rows": a08_first_fit, "a10_stacked_fractions": a10, "a11_reflow": a11, "a02_a09_page_lines": a_pages, "a_page_texts": a_texts,
 }
 
 CUTS = f"""WITH {GLYPHS}, lim AS (SELECT doc_id, max(y) - (max(y) - min(y)) * CAST(0.12 AS DOUBLE) AS top FROM glyphs GROUP BY doc_id),
@@ -92,8 +99,13 @@ ORACLE_SQL = {
       SELECT doc_id, col, count(*) AS n FROM b GROUP BY doc_id, col""",
     "a04_mode_scale": f"""WITH {GLYPHS}, n AS (SELECT doc_id, scale, count(*) AS n FROM glyphs GROUP BY doc_id, scale)
       SELECT doc_id, scale AS mode_scale FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, scale DESC) AS k FROM n) WHERE k = 1""",
-    "a08_row_groups": f"""WITH {GLYPHS}, g AS (SELECT doc_id, CASE WHEN coalesce(lag(y) OVER (PARTITION BY doc_id ORDER BY y DESC, x, glyph_seq) - y > 3, TRUE) THEN 1 ELSE 0 END AS starts FROM glyphs)
-      SELECT doc_id, CAST(sum(starts) AS BIGINT) AS n_rows, count(*) AS n FROM g GROUP BY doc_id""",
+    "a08_row_groups": f"""WITH RECURSIVE {GLYPHS}, ys AS (SELECT DISTINCT doc_id, floor(y + CAST(0.5 AS DOUBLE)) AS y FROM glyphs),
+      k AS (SELECT doc_id, max(y) AS y FROM ys GROUP BY doc_id UNION ALL SELECT k.doc_id, max(ys.y) FROM k JOIN ys ON ys.doc_id = k.doc_id AND ys.y < k.y - 3 GROUP BY k.doc_id, k.y)
+      SELECT g.doc_id, any_value(k.n) AS n_rows, count(*) AS n FROM glyphs g JOIN (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id) k ON k.doc_id = g.doc_id GROUP BY g.doc_id""",
+    "a08_first_fit_rows": f"""WITH RECURSIVE {CARDS}, g AS (SELECT deck_id // 50 AS doc_id, card_id AS glyph_seq, CAST(600 - number * 2 - deck_id % 50 * 9 AS DOUBLE) AS y FROM cards),
+      ys AS (SELECT DISTINCT doc_id, y FROM g),
+      k AS (SELECT doc_id, max(y) AS y FROM ys GROUP BY doc_id UNION ALL SELECT k.doc_id, max(ys.y) FROM k JOIN ys ON ys.doc_id = k.doc_id AND ys.y < k.y - 3 GROUP BY k.doc_id, k.y)
+      SELECT g.doc_id, g.glyph_seq, count(*) AS row_no FROM g JOIN k ON k.doc_id = g.doc_id AND k.y >= g.y GROUP BY g.doc_id, g.glyph_seq""",
     "a10_stacked_fractions": f"""WITH {CARDS}, f AS (SELECT *, part % 3 <> 0 AND part % 5 <> 0 AS merged FROM cards)
       SELECT card_id AS doc_id, CAST(0 AS BIGINT) AS line_no, CASE WHEN merged THEN '(' || CAST(a AS VARCHAR) || 'x)/(' || CAST(c AS VARCHAR) || ') = ' || CAST(b AS VARCHAR) ELSE CAST(a AS VARCHAR) || 'x = ' || CAST(b AS VARCHAR) END AS text FROM f
       UNION ALL SELECT card_id, CAST(1 AS BIGINT), CASE WHEN part % 3 = 0 THEN 'see the second page' ELSE CAST(c AS VARCHAR) END FROM f WHERE NOT merged

@@ -178,3 +178,43 @@ def test_column_cuts_match_points(spark):
             px = max(end, px + 1)
     got = sorted((r.page_index, r.cut) for r in layout.column_cuts(df).collect())
     assert got == sorted(want) and got
+
+
+def test_rows_by_first_fit_not_by_chains(spark):
+    ys = [100.0, 98.4, 96.6, 94.0, 50.2, None]
+    df = spark.createDataFrame([(1, 1, i, 0.0, y, 5.0, 10.0, "a") for i, y in enumerate(ys)], "doc_id long, page_index int, glyph_seq long, x double, y double, w double, scale double, s string")
+    got = [r.row_no for r in layout.with_rows(df).orderBy("glyph_seq").collect()]
+    assert got == [1, 1, 1, 2, 3, None]
+    assert layout.with_rows(df.limit(0)).count() == 0
+
+
+def atom(s, x, y, w=5.0, scale=10.0):
+    return {"s": s, "x": x, "y": y, "w": w, "scale": scale}
+
+
+def test_proportions_take_their_label():
+    quarters = [atom("x", 30, 107), atom("4", 30, 93), atom("5", 50, 107), atom("2", 50, 93)]
+    got = layout._proportions([atom("7)", 5, 101), *quarters, atom("=", 40, 100)], 10.0)
+    assert [g["s"] for g in got] == ["7) (x)/(4) = (5)/(2)"]
+    got = layout._proportions([*quarters, atom("=", 40, 100), atom("8)", 70, 100)], 10.0)
+    assert sorted(g["s"] for g in got) == ["(x)/(4) = (5)/(2)", "8)"]
+    three = [*quarters[:3], atom("=", 40, 100)]
+    assert layout._proportions(three, 10.0) == three
+
+
+def test_empty_numbers_take_the_neighbours_that_fit():
+    def lines(*texts):
+        return layout._lines([atom(t, 0, 500 - 12 * i) for i, t in enumerate(texts)])
+
+    assert lines("x+1", "3)", "2y") == ["3) (x+1)/(2y)"]
+    assert lines("Solve for the unknown below", "3)", "2y") == ["Solve for the unknown below", "3) 2y"]
+    assert lines("2y", "3)", "Solve for the unknown below") == ["3) 2y", "Solve for the unknown below"]
+    assert lines("3)", "4)", "5y") == ["3)", "4) 5y"]
+    assert lines("3)") == ["3)"] and lines() == []
+
+
+def test_denominators_may_stand_in_brackets(spark):
+    rows = [(1, 0, "3x = 9", 10.0, 60.0), (1, 1, "(x + 2)", 12.0, 50.0), (2, 0, "3x", 10.0, 60.0), (2, 1, "(see the next page below)", 12.0, 50.0)]
+    df = spark.createDataFrame([(d, 1, 0, n, t, a, z) for d, n, t, a, z in rows], "doc_id long, page_index int, col int, line_no long, text string, x0 double, x1 double")
+    got = [(r.doc_id, r.text) for r in layout.merge_stacked(df).orderBy("doc_id", "line_no").collect()]
+    assert got == [(1, "(3x)/(x + 2) = 9"), (2, "3x"), (2, "(see the next page below)")]
