@@ -71,10 +71,10 @@ def column_cuts(glyphs: DataFrame) -> DataFrame:
     reached = F.max("to").over(along.rowsBetween(Window.unboundedPreceding, -1))
     pieces = ink.withColumn("_new", F.coalesce(F.col("from") > reached, F.lit(True)).cast("long")).withColumn("_piece", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     pieces = pieces.groupBy(*PAGE, "row_no", "_piece").agg(F.min("from").alias("from"), F.max("to").alias("to"))
-    # the sweep: rows begin and end at events, between two events the number of inked rows stays
-    turns = pieces.select(*PAGE, F.explode(F.array(F.struct(F.col("from").alias("px"), F.lit(1).alias("turn")), F.struct((F.col("to") + 1).alias("px"), F.lit(-1).alias("turn")))).alias("e")).select(*PAGE, "e.px", "e.turn")
-    edges = size.select(*PAGE, F.explode(F.array(F.col("a"), F.col("z") + 1)).alias("px"), F.lit(0).alias("turn"))
-    events = turns.unionByName(edges).groupBy(*PAGE, "px").agg(F.sum("turn").alias("turn")).join(size.select(*PAGE, "a", "z", "n_rows"), PAGE)
+    # the sweep: rows begin and end at events, between two events the number of inked rows stays; a page's edges turn nothing
+    event = lambda at, turn: F.struct(at.alias("px"), F.lit(turn).alias("turn"))
+    turns = F.explode(F.array(event(F.col("from"), 1), event(F.col("to") + 1, -1), event(F.col("a"), 0), event(F.col("z") + 1, 0)))
+    events = pieces.join(size, PAGE).select(*PAGE, "a", "z", "n_rows", turns.alias("e")).groupBy(*PAGE, "a", "z", "n_rows", "e.px").agg(F.sum("e.turn").alias("turn"))
     sweep = Window.partitionBy(*PAGE).orderBy("px")
     spans = events.withColumns({"inked": F.sum("turn").over(sweep.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("px").over(sweep)}).where("px <= z")
     spans = spans.withColumn("blank", F.col("inked") < F.col("n_rows") * 0.06).withColumn("island", F.sum((~F.col("blank")).cast("long")).over(sweep.rowsBetween(Window.unboundedPreceding, 0)))
