@@ -42,9 +42,8 @@ def split_key(pages: DataFrame) -> DataFrame:
 
 def line_entries(key_text: Column) -> Column:
     """Array of (number, value) of the lines 'N) value'; number is text."""
-    found = F.transform(F.split(key_text, "\n"), T.numbered)
-    kept = F.filter(found, lambda m: m.isNotNull() & (F.trim(m["rest"], F.lit(T.BLANKS)) != ""))
-    return F.transform(kept, lambda m: F.struct(m["number"].alias("number"), F.trim(F.regexp_replace(m["rest"], r"\s+", " ")).alias("value")))
+    found = F.arrays_zip(F.regexp_extract_all(key_text, F.lit(T.ENTRY), F.lit(1)).alias("number"), F.regexp_extract_all(key_text, F.lit(T.ENTRY), F.lit(2)).alias("value"))
+    return F.transform(found, lambda m: F.struct(m["number"].alias("number"), F.trim(F.regexp_replace(m["value"], r"\s+", " ")).alias("value")))
 
 
 def _entries_of(line: Column) -> Column:

@@ -107,6 +107,13 @@ def test_blocks_answers_and_keys(spark):
     assert got == {k: v for k, v in keys.items() if v}
 
 
+def test_key_lines_take_numbers_of_two_digits_on_every_line(spark):
+    """The first line after a heading too, and never three digits, however far down a line stands."""
+    df = spark.createDataFrame([(1, "12) a b", ""), (2, "\n12) K5\n3) K6\n4. \n5) five\n123) no\n07) x", "")], "id long, key_text string, text string")
+    got = sorted(tuple(r) for r in extract.key_lines(df, ["id"]).collect())
+    assert got == [(1, "12", "a b", 1), (2, "07", "x", 4), (2, "12", "K5", 4), (2, "3", "K6", 4), (2, "5", "five", 4)]
+
+
 def test_a_key_page_may_have_many_lines(spark):
     df = spark.createDataFrame([(1, 2, 0, 5, "q\n" + "\n".join(map(str, range(3000))))], "doc_id long, page_index int, pos int, number int, body string")
     assert extract.key_page_answers(df).head().value == " ".join(map(str, range(3000)))
