@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,9 @@ def _behind_heading(line: Column) -> Column:
     rest = F.regexp_replace(line, r"^\s*[A-Za-z]+[:.]?", "")
     alone = (F.trim(rest, F.lit(T.BLANKS)) == "") | rest.rlike(r"^\s+[0-9]")
     named = F.get(F.split(line, r"(?i)answer\s*key", 2), F.lit(1))
-    return F.coalesce(named, F.when(first.isin(*HEADINGS) & alone, rest))
+    # most lines hold none of the words, which is cheap to see
+    told = reduce(lambda a, b: a | b, [F.lower(line).contains(w) for w in ("answer", "solution")])
+    return F.when(told, F.coalesce(named, F.when(first.isin(*HEADINGS) & alone, rest)))
 
 
 def split_key(pages: DataFrame) -> DataFrame:
@@ -67,19 +71,25 @@ def inline_entries(key_text: Column) -> Column:
 
 def _last_values(entries: Column) -> Column:
     """Number to value, the last one of a number; numbers have two digits, so there are a hundred and ten at most."""
-    numbers = F.array_distinct(F.transform(entries, lambda e: e["number"]))
-    return F.map_from_arrays(numbers, F.transform(numbers, lambda n: F.element_at(F.filter(entries, lambda e: e["number"] == n), -1)["value"]))
+
+    def last(pair: Column) -> Column:
+        every, numbers = pair["entries"], pair["numbers"]
+        repeated = F.map_from_arrays(numbers, F.transform(numbers, lambda n: F.element_at(F.filter(every, lambda e: e["number"] == n), -1)["value"]))
+        return F.when(F.size(numbers) == F.size(every), F.map_from_entries(every)).otherwise(repeated)
+
+    return bound(entries, lambda e: bound(F.struct(e.alias("entries"), F.array_distinct(F.transform(e, lambda x: x["number"])).alias("numbers")), last))
 
 
 def key_map(key_text: Column) -> Column:
     """Number (as it is written) to value: of lines if they have two numbers or more; else of answers that follow each other, and of lines where those have none."""
 
     def chosen(e: Column) -> Column:
-        by_line, by_inline = _last_values(e["line"]), _last_values(e["inline"])
+        by_line, by_inline = e["line"], e["inline"]
         missing = F.map_filter(by_line, lambda n, v: ~F.map_contains_key(by_inline, n))
-        return F.when(F.size(by_line) >= 2, by_line).otherwise(F.map_concat(by_inline, missing))
+        return F.map_concat(by_inline, missing)
 
-    return bound(F.struct(line_entries(key_text).alias("line"), inline_entries(key_text).alias("inline")), chosen)
+    inline = lambda m: bound(F.struct(m.alias("line"), _last_values(inline_entries(key_text)).alias("inline")), chosen)
+    return bound(_last_values(line_entries(key_text)), lambda m: F.when(F.size(m) >= 2, m).otherwise(inline(m)))
 
 
 def key_lines(pages: DataFrame, ids: list[str]) -> DataFrame:
@@ -112,9 +122,10 @@ def problems(pages: DataFrame, ids: list[str]) -> DataFrame:
     A page's problems are looked up in its own key, so there is one pass and no shuffle. Paragraphs of texts without marks
     are questions as they stand.
     """
-    cut = split_key(pages).select(*ids, T.split_problems(F.col("body")).alias("parts"), F.transform(T.paragraphs(F.col("body")), lambda p, i: F.struct((i + 1).alias("number"), p.alias("body"))).alias("plain"), key_map(F.col("key_text")).alias("key"))
+    cut = split_key(pages).select(*ids, "body", T.split_problems(F.col("body")).alias("parts"), key_map(F.col("key_text")).alias("key"))
     marked = F.size("parts") > 0
-    parts = F.transform(F.when(marked, F.col("parts")).otherwise(F.col("plain")), lambda p: F.struct(p["number"].alias("number"), p["body"].alias("body"), F.try_element_at("key", p["number"].cast("string")).alias("value")))
+    plain = F.transform(T.paragraphs(F.col("body")), lambda p, i: F.struct((i + 1).alias("number"), p.alias("body")))
+    parts = F.transform(F.when(marked, F.col("parts")).otherwise(plain), lambda p: F.struct(p["number"].alias("number"), p["body"].alias("body"), F.try_element_at("key", p["number"].cast("string")).alias("value")))
     rows = cut.select(*ids, marked.alias("marked"), F.posexplode(parts).alias("pos", "part")).select(*ids, "pos", "part.*", "marked")
     rows = rows.withColumn("block", F.when(F.col("marked"), T.clean_block(F.col("body"))).otherwise(F.col("body")))
     inline = F.when(F.col("marked"), F.nullif(T.inline_answer(F.col("block")), F.lit("")))

@@ -87,7 +87,7 @@ def column_cuts(glyphs: DataFrame) -> DataFrame:
 
 def with_columns(glyphs: DataFrame) -> DataFrame:
     """Adds col: the number of cuts at or left of a glyph's middle."""
-    cuts = column_cuts(glyphs).groupBy(*PAGE).agg(F.array_sort(F.collect_list("cut")).alias("_cuts"))
+    cuts = column_cuts(glyphs).groupBy(*PAGE).agg(F.sort_array(F.collect_list("cut")).alias("_cuts"))
     joined = glyphs.join(cuts, PAGE, "left")
     return joined.withColumn("col", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("x") + F.col("w") / 2)), F.lit(0)).cast("long")).drop("_cuts")
 
@@ -127,7 +127,7 @@ def reflow(lines: DataFrame) -> DataFrame:
     order = Window.partitionBy(*PAGE).orderBy("x0", "line_no")
     new = F.coalesce(F.col("x0") - F.lag("x0").over(order) > F.col("_width") * 0.1, F.lit(True)).cast("long")
     clusters = narrow.withColumn("_new", new).withColumn("_c", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    means = clusters.groupBy(*PAGE, "_c").agg(F.avg("x0").alias("_m")).groupBy(*PAGE).agg(F.array_sort(F.collect_list("_m")).alias("_means"))
+    means = clusters.groupBy(*PAGE, "_c").agg(F.avg("x0").alias("_m")).groupBy(*PAGE).agg(F.sort_array(F.collect_list("_m")).alias("_means"))
     joined = sized.join(means, PAGE, "left")
     near = F.array_min(F.transform("_means", lambda m, i: F.struct(F.abs(m - F.col("x0")).alias("d"), i.alias("i"))))["i"]
     placed = joined.withColumn("col", F.coalesce(near, F.lit(0)).cast("long"))
@@ -268,5 +268,5 @@ def assemble(glyphs: DataFrame) -> DataFrame:
 
 def page_texts(lines: DataFrame) -> DataFrame:
     """(doc_id, page_index, text): lines joined, with an empty line between columns."""
-    per = lines.groupBy(*PAGE, "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("t"))
-    return per.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "t"))), lambda x: x["t"]), "\n\n").alias("text"))
+    per = lines.groupBy(*PAGE, "col").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("t"))
+    return per.groupBy(*PAGE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "t"))), lambda x: x["t"]), "\n\n").alias("text"))
