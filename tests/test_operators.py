@@ -114,6 +114,14 @@ def test_key_lines_take_numbers_of_two_digits_on_every_line(spark):
     assert got == [(1, "12", "a b", 1), (2, "07", "x", 4), (2, "12", "K5", 4), (2, "3", "K6", 4), (2, "5", "five", 4)]
 
 
+def test_problems_find_two_digit_numbers_in_their_key(spark):
+    df = spark.createDataFrame([(1, "9) 2x = 4\n10) 3x = 6\n11) 4x = 8\nAnswer Key\n10) a\n11) b"), (2, "1) 2x = 4\n12) 3x = 6\nAnswer Key\n12) c\n123) d")], "id long, text string")
+    got = sorted((r.id, r.number, r.answer, r.answer_source) for r in extract.problems(df, ["id"]).collect())
+    assert got == [(1, 9, "", ""), (1, 10, "a", "key"), (1, 11, "b", "key"), (2, 1, "", ""), (2, 12, "c", "key")]
+    key = extract.key_lines(extract.split_key(df), ["id"]).where("id = 1").orderBy("number")
+    assert [(r.number, r.value, r.n_numbers) for r in key.collect()] == [("10", "a", 2), ("11", "b", 2)]
+
+
 def test_a_key_page_may_have_many_lines(spark):
     df = spark.createDataFrame([(1, 2, 0, 5, "q\n" + "\n".join(map(str, range(3000))))], "doc_id long, page_index int, pos int, number int, body string")
     assert extract.key_page_answers(df).head().value == " ".join(map(str, range(3000)))
@@ -225,3 +233,16 @@ def test_denominators_may_stand_in_brackets(spark):
     df = spark.createDataFrame([(d, 1, 0, n, t, a, z) for d, n, t, a, z in rows], "doc_id long, page_index int, col int, line_no long, text string, x0 double, x1 double")
     got = [(r.doc_id, r.text) for r in layout.merge_stacked(df).orderBy("doc_id", "line_no").collect()]
     assert got == [(1, "(3x)/(x + 2) = 9"), (2, "3x"), (2, "(see the next page below)")]
+
+
+def test_sources_of_many_lines_are_written_in_files_that_are_read(spark, sf_dir, monkeypatch):
+    """A bucket with more bytes than a source may have is read whole."""
+    from tallyforge.plans import worksheets
+    from tallyforge.sources import files
+
+    read = files.read_sources
+    monkeypatch.setattr(files, "read_sources", lambda s, path, patterns, max_bytes=6_000: read(s, path, patterns, max_bytes))
+    monkeypatch.setattr(worksheets, "SOURCE_LINES", 200, raising=False)
+    got = worksheets.h01(spark, sf_dir).agg(F.sum("bytes"), F.sum("content_bytes")).first()
+    want = worksheets.cards(spark, sf_dir).agg(F.sum(F.length("question") + 1)).first()[0]
+    assert tuple(got) == (want, want)
