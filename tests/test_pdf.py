@@ -127,3 +127,28 @@ def test_files_by_spark(spark, tmp_path):
     df = spark.createDataFrame([(1, None, "x"), (1, good, "y")], "doc_id long, content binary, text string")
     assert [r.problem for r in pdf.pdf_runs(df, "doc_id").collect()].count(None) == 3
     assert pdf.pdf_runs(df.limit(0), "doc_id").count() == 0
+
+
+def test_runs_of_many_files_go_together(spark):
+    """A batch of runs holds those of many files, and one of a file's fewest numbers and strings reads as before."""
+
+    assert pdf.value(b"[600 20\n7]", 0)[0] == [600, 20, 7] and pdf.value(b"[1 2.5 (a\\)b) true]", 0)[0] == [1, 2.5, b"a)b", True]
+    held = {}
+
+    class Frame:
+        dtypes = [("key", "bigint"), ("content", "binary")]
+
+        def selectExpr(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            held["run"] = run
+            return self
+
+        def withColumnRenamed(self, *_):
+            return self
+
+    pdf.pdf_runs(Frame(), "key")
+    batch = pdf.pa.RecordBatch.from_pydict({"key": list(range(50)), "content": [None] * 50})
+    out = list(held["run"](iter([batch])))
+    assert len(out) == 1 and out[0].column("key").to_pylist() == list(range(50))
