@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,14 +128,14 @@ def answered(cards: DataFrame) -> DataFrame:
 def _running(rows: DataFrame, name: str, value: Column, of=F.max, back: bool = False, strict: bool = False) -> DataFrame:
     """rows (_k, _part, _i, ...) with name: of(value) over the rows of _k up to this one, or from it on (back); strict leaves itself out.
 
-    Each part is run through by itself, and the parts of a key, which are few, carry their totals on.
+    Each part is run through by itself, and the parts of a key, which are few, carry their totals on. Backward is forward in
+    falling order, as Spark computes a frame up to the last row anew for each row.
     """
     whole, own = Window.unboundedPreceding, -1 if strict else 0
-    frame = (-own, Window.unboundedFollowing) if back else (whole, own)
-    others = (1, Window.unboundedFollowing) if back else (whole, -1)
+    order = F.desc if back else F.asc
     per = rows.groupBy("_k", "_part").agg(of(value).alias("_v"))
-    per = per.select("_k", "_part", of("_v").over(Window.partitionBy("_k").orderBy("_part").rowsBetween(*others)).alias("_carry"))
-    local = of(value).over(Window.partitionBy("_k", "_part").orderBy("_i").rowsBetween(*frame))
+    per = per.select("_k", "_part", of("_v").over(Window.partitionBy("_k").orderBy(order("_part")).rowsBetween(whole, -1)).alias("_carry"))
+    local = of(value).over(Window.partitionBy("_k", "_part").orderBy(order("_i")).rowsBetween(whole, own))
     pick = F.greatest if of is F.max else F.least
     return rows.join(per, ["_k", "_part"]).withColumn("_local", local).withColumn(name, pick("_local", "_carry")).drop("_local", "_carry")
 
@@ -145,13 +146,34 @@ def _in_parts(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return scratch.keep(ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_k", "_part").orderBy(*order)).cast("long")), name)
 
 
+def _exits(links: pd.DataFrame) -> pd.DataFrame:
+    """(_k, pos, exit) of one part's links: the first place outside the part that a place's pointers lead to. Pointers lead on, so one pass from the end does."""
+    out: dict[int, int | None] = {}
+    for pos, to in sorted(zip(links["pos"], links["next"], strict=True), reverse=True):
+        to = None if pd.isna(to) else int(to)
+        out[pos] = out.get(to, to)
+    return pd.DataFrame({"_k": links["_k"].iloc[0], "pos": list(out), "exit": pd.array(list(out.values()), dtype="Int64")})
+
+
+def _walked(links: pd.DataFrame) -> pd.DataFrame:
+    """(_k, pos) of one part's places that its entered ones lead to, themselves included."""
+    out: set[int] = set()
+    for pos, to, entered in sorted(zip(links["pos"], links["next"], links["entered"], strict=True)):
+        if entered or pos in out:
+            out.add(pos)
+            if not pd.isna(to):
+                out.add(int(to))
+    return pd.DataFrame({"_k": links["_k"].iloc[0], "pos": sorted(out & set(links["pos"]))})
+
+
 def throttle(logins: DataFrame, limit: int = 6, block_seconds: int = 60) -> DataFrame:
     """Logins (ip, ts, seq, ok) with blocked: true inside the minute that follows an address's sixth failure in a row.
 
     Failures inside a block are not counted, and a success clears them; a null ok is a failure, a null ts comes first,
     neither blocks nor is blocked, and null addresses are one address. Attempts that could begin a block (six failures in
-    a row end there) point to the one that would begin the next; those that do are reached from an address's first one
-    by doubling the pointers. Attempts are cut into ranges of address and time, so that one address spreads over tasks.
+    a row end there) point to the one that would begin the next. Attempts are cut into ranges of address and time, so that
+    one address spreads over tasks; each range is passed through in a task, and only the places where one is left for
+    another are reached from an address's first one by doubling the pointers.
     """
     key = F.when(F.col("ip").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("ip").cast("string")))
     read = _in_parts(logins.select("ip", "ts", "seq", F.coalesce("ok", F.lit(False)).alias("ok"), key.alias("_k")), ["ts", "seq", "ok"], "logins")
@@ -164,7 +186,7 @@ def throttle(logins: DataFrame, limit: int = 6, block_seconds: int = 60) -> Data
     scratch.drop(read)
 
     until = (F.col("ts") + F.make_dt_interval(secs=F.lit(block_seconds))).alias("until")
-    full_rows = rows.where("full").select("_k", "pos", "ts", until)
+    full_rows = rows.where("full").select("_k", "_part", "pos", "ts", until)
     # the first attempt at or after a block's end: ends and attempts in one order, ends before attempts of the same time
     ends = full_rows.where("until is not null").select("_k", F.col("until").alias("at"), F.lit(0).alias("kind"), "pos")
     tries = rows.where("ts is not null").select("_k", F.col("ts").alias("at"), F.lit(1).alias("kind"), "pos")
@@ -173,9 +195,12 @@ def throttle(logins: DataFrame, limit: int = 6, block_seconds: int = 60) -> Data
     # a block without an end time shuts nobody out: counting goes on at the next attempt
     starts = full_rows.join(opens, ["_k", "pos"], "left").withColumn("open", F.when(F.col("until").isNull(), F.col("pos") + 1).otherwise(F.col("open")))
     reach = rows.select("_k", F.col("pos").alias("_at"), F.col("next_full").alias("next"))
-    first = full_rows.groupBy("_k").agg(F.min("pos").alias("pos")).withColumn("first", F.lit(True))
-    links = starts.withColumn("_at", F.col("open") + (limit - 1)).join(reach, ["_k", "_at"], "left").join(first, ["_k", "pos"], "left")
-    links = scratch.keep(links.select("_k", "pos", "next", F.coalesce("first", F.lit(False)).alias("begins")), "links")
+    whole = scratch.keep(starts.withColumn("_at", F.col("open") + (limit - 1)).join(reach, ["_k", "_at"], "left").select("_k", "_part", "pos", "next"), "whole")
+    hops = scratch.keep(whole.groupBy("_k", "_part").applyInPandas(_exits, "_k string, pos long, exit long"), "hops")
+    first = whole.groupBy("_k").agg(F.min("pos").alias("pos")).withColumn("begins", F.lit(True))
+    entries = hops.where("exit is not null").select("_k", F.col("exit").alias("pos"), F.lit(False).alias("begins")).unionByName(first).groupBy("_k", "pos").agg(F.max("begins").alias("begins"))
+    links = scratch.keep(entries.join(hops, ["_k", "pos"]).select("_k", "pos", F.col("exit").alias("next"), "begins"), "links")
+    scratch.drop(hops)
     scratch.drop(merged)
     while links.where("begins and next is not null").limit(1).count():
         hit = links.where("begins and next is not null").select("_k", F.col("next").alias("pos"), F.lit(True).alias("_hit"))
@@ -184,7 +209,8 @@ def throttle(logins: DataFrame, limit: int = 6, block_seconds: int = 60) -> Data
         after = scratch.keep(twice.select("_k", "pos", F.col("_far").alias("next"), (F.col("begins") | F.col("_hit").isNotNull()).alias("begins")), "links")
         scratch.drop(links)
         links = after
-    blocks = links.where("begins").select("_k", "pos", F.lit(True).alias("_begins"))
+    entered = whole.join(links.where("begins").select("_k", "pos", F.lit(True).alias("_in")), ["_k", "pos"], "left").withColumn("entered", F.col("_in").isNotNull()).drop("_in")
+    blocks = scratch.keep(entered.groupBy("_k", "_part").applyInPandas(_walked, "_k string, pos long"), "blocks").withColumn("_begins", F.lit(True))
     timed = rows.join(blocks, ["_k", "pos"], "left")
     shut = _running(timed, "_until", F.when(F.col("_begins"), until), strict=True)
     return shut.select("ip", "ts", "seq", F.coalesce(F.col("ts") < F.col("_until"), F.lit(False)).alias("blocked"))

@@ -3,6 +3,7 @@ import random
 from collections import deque
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
@@ -246,3 +247,19 @@ def test_sources_of_many_lines_are_written_in_files_that_are_read(spark, sf_dir,
     got = worksheets.h01(spark, sf_dir).agg(F.sum("bytes"), F.sum("content_bytes")).first()
     want = worksheets.cards(spark, sf_dir).agg(F.sum(F.length("question") + 1)).first()[0]
     assert tuple(got) == (want, want)
+
+
+def test_throttle_over_many_parts(spark):
+    """Every address in several ranges, and no frame that Spark would compute anew for each row."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        test_throttle_matches_plain_form(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = spark.range(9).select(F.lit("k").alias("_k"), (F.col("id") % 3).alias("_part"), F.col("id").alias("_i"))
+    got = catalog._running(rows, "ahead", F.col("_i"), F.min, back=True, strict=True)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    assert {r._i: r.ahead for r in got.collect()} == {0: 1, 3: 1, 6: 1, 1: 2, 4: 2, 7: 2, 2: 5, 5: 8, 8: None}
+    links = pd.DataFrame({"_k": "k", "pos": [1, 3, 5, 8], "next": [5, 8, 11, None]})
+    assert [None if pd.isna(x) else x for x in catalog._exits(links).sort_values("pos")["exit"]] == [11, None, 11, None]
+    assert list(catalog._walked(links.assign(entered=[True, False, False, False]))["pos"]) == [1, 5]
