@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.text import bound
+
 #: Fixed values of our own, in order of precedence: the terms of a type. Words are compared in lower case with single spaces
 #: between them; a term begins at a word, and ends at one where a space follows it.
 TERMS = {
@@ -28,7 +30,6 @@ TERMS = {
 }
 #: Terms of a text about powers if it has no equals sign, and terms that ask for a solution.
 POWER_TERMS, ASKING_TERMS = ["exponent", "power of a power"], ["solv", "zero", "root"]
-LETTERS = [chr(c) for c in range(ord("a"), ord("z") + 1)]
 #: The names of the types.
 LABELS = {
     "system": "System of equations", "factor": "Factoring", "exponents": "Properties of exponents", "simplify": "Simplify / expressions", "slope": "Slope / line equations", "midpoint": "Midpoint",
@@ -62,8 +63,7 @@ def _any_of(words: Column, terms: list[str]) -> Column:
 
 def _squared(text: Column) -> Column:
     """Holds a letter to the second power, its caret lost before a sign or not."""
-    bare = F.translate(F.regexp_replace(text, "²", "^2"), " \t\n", "")
-    return F.exists(F.array(*[F.lit(c) for c in LETTERS]), lambda c: bare.contains(F.concat(c, F.lit("^2"))) | bare.contains(F.concat(c, F.lit("2+"))) | bare.contains(F.concat(c, F.lit("2-"))))
+    return F.translate(F.replace(text, F.lit("²"), F.lit("^2")), " \t\n", "").rlike(r"[a-z](?:\^2|2[+-])")
 
 
 def classify(column: Column) -> Column:
@@ -72,17 +72,21 @@ def classify(column: Column) -> Column:
     Forms: a power without an equals sign is about exponents; an equation or a question for roots with a squared letter is
     quadratic, else with a letter linear. The last two are tried after all others.
     """
-    text = F.lower(F.coalesce(column, F.lit("")))
-    words = F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9]+", " "), F.lit(" "))
-    equals = text.contains("=")
-    forms = {
-        "exponents": ~equals & (text.contains("^") | _any_of(words, POWER_TERMS)),
-        "quadratic": (equals | _any_of(words, ASKING_TERMS)) & _squared(text),
-    }
-    out = F
-    for name, terms in TERMS.items():
-        out = out.when(_any_of(words, terms) | forms.get(name, F.lit(False)), name)
-    return out.when((equals & text.rlike("[a-z]")) | _any_of(words, ["solv"]), "linear").otherwise("general")
+
+    def first(read: Column) -> Column:
+        text, words = read["text"], read["words"]
+        equals = text.contains("=")
+        forms = {
+            "exponents": ~equals & (text.contains("^") | _any_of(words, POWER_TERMS)),
+            "quadratic": (equals | _any_of(words, ASKING_TERMS)) & _squared(text),
+        }
+        out = F
+        for name, terms in TERMS.items():
+            out = out.when(_any_of(words, terms) | forms.get(name, F.lit(False)), name)
+        return out.when((equals & text.rlike("[a-z]")) | _any_of(words, ["solv"]), "linear").otherwise("general")
+
+    words = lambda t: F.concat(F.lit(" "), F.regexp_replace(t, "[^a-z0-9]+", " "), F.lit(" "))
+    return bound(F.lower(F.coalesce(column, F.lit(""))), lambda t: bound(F.struct(t.alias("text"), words(t).alias("words")), first))
 
 
 def label(type_column: Column) -> Column:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
+from tallyforge.functions.classify import classify
 from tallyforge.operators import catalog, extract, layout, session, srs
 
 
@@ -263,3 +264,10 @@ def test_throttle_over_many_parts(spark):
     links = pd.DataFrame({"_k": "k", "pos": [1, 3, 5, 8], "next": [5, 8, 11, None]})
     assert [None if pd.isna(x) else x for x in catalog._exits(links).sort_values("pos")["exit"]] == [11, None, 11, None]
     assert list(catalog._walked(links.assign(entered=[True, False, False, False]))["pos"]) == [1, 5]
+
+
+def test_a_type_reads_its_text_once(spark):
+    """The words of a text are made once, however many terms are looked for in them."""
+    typed = spark.createDataFrame([("Give y2 - 4 = 0",), ("a² = 9",), ("Find the ROOT of x2+5",), (None,)], "q string").select(classify(F.col("q")).alias("t"))
+    assert typed._jdf.queryExecution().analyzed().toString().count("[^a-z0-9]+") == 1
+    assert [r.t for r in typed.collect()] == ["quadratic", "quadratic", "quadratic", "general"]
