@@ -63,18 +63,20 @@ def column_cuts(glyphs: DataFrame) -> DataFrame:
     page = Window.partitionBy(*PAGE)
     low, high = F.min("y").over(page), F.max("y").over(page)
     body = _ink_rows(glyphs.withColumn("_top", high - (high - low) * 0.12).where("y <= _top").drop("_top"))
-    size = body.groupBy(*PAGE).agg(F.floor(F.min("x")).cast("long").alias("a"), F.ceil(F.max(F.col("x") + F.col("w"))).cast("long").alias("z"), F.count("*").alias("n"), F.countDistinct("row_no").alias("n_rows"))
-    size = size.where("n >= 8 and z - a >= 100")
+    # rows are numbered from 1, so that the last number is how many there are
+    size = {"a": F.floor(F.min("x").over(page)).cast("long"), "z": F.ceil(F.max(F.col("x") + F.col("w")).over(page)).cast("long"), "n": F.count("*").over(page), "n_rows": F.max("row_no").over(page)}
     # a row's ink as intervals that do not touch, so that a point counts a row once
-    ink = body.select(*PAGE, "row_no", F.floor("x").cast("long").alias("from"), F.ceil(F.col("x") + F.col("w")).cast("long").alias("to")).where("from <= to")
+    ink = body.withColumns(size).where("n >= 8 and z - a >= 100").select(*PAGE, "a", "z", "n_rows", "row_no", F.floor("x").cast("long").alias("from"), F.ceil(F.col("x") + F.col("w")).cast("long").alias("to")).where("from <= to")
     along = Window.partitionBy(*PAGE, "row_no").orderBy("from", "to")
     reached = F.max("to").over(along.rowsBetween(Window.unboundedPreceding, -1))
     pieces = ink.withColumn("_new", F.coalesce(F.col("from") > reached, F.lit(True)).cast("long")).withColumn("_piece", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    pieces = pieces.groupBy(*PAGE, "row_no", "_piece").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    pieces = pieces.groupBy(*PAGE, "a", "z", "n_rows", "row_no", "_piece").agg(F.min("from").alias("from"), F.max("to").alias("to"))
     # the sweep: rows begin and end at events, between two events the number of inked rows stays; a page's edges turn nothing
     event = lambda at, turn: F.struct(at.alias("px"), F.lit(turn).alias("turn"))
-    turns = F.explode(F.array(event(F.col("from"), 1), event(F.col("to") + 1, -1), event(F.col("a"), 0), event(F.col("z") + 1, 0)))
-    events = pieces.join(size, PAGE).select(*PAGE, "a", "z", "n_rows", turns.alias("e")).groupBy(*PAGE, "a", "z", "n_rows", "e.px").agg(F.sum("e.turn").alias("turn"))
+    ends = F.array(event(F.col("from"), 1), event(F.col("to") + 1, -1))
+    edges = F.array(event(F.col("a"), 0), event(F.col("z") + 1, 0))
+    turns = F.explode(F.when(F.col("_piece") == 1, F.concat(ends, edges)).otherwise(ends))
+    events = pieces.select(*PAGE, "a", "z", "n_rows", turns.alias("e")).groupBy(*PAGE, "a", "z", "n_rows", "e.px").agg(F.sum("e.turn").alias("turn"))
     sweep = Window.partitionBy(*PAGE).orderBy("px")
     spans = events.withColumns({"inked": F.sum("turn").over(sweep.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("px").over(sweep)}).where("px <= z")
     spans = spans.withColumn("blank", F.col("inked") < F.col("n_rows") * 0.06).withColumn("island", F.sum((~F.col("blank")).cast("long")).over(sweep.rowsBetween(Window.unboundedPreceding, 0)))
@@ -85,10 +87,13 @@ def column_cuts(glyphs: DataFrame) -> DataFrame:
     return runs.where(wide & inside).select(*PAGE, ((F.col("from") + F.col("to")) / 2).alias("cut"))
 
 
+def _page_cuts(glyphs: DataFrame) -> DataFrame:
+    return column_cuts(glyphs).groupBy(*PAGE).agg(F.sort_array(F.collect_list("cut")).alias("_cuts"))
+
+
 def with_columns(glyphs: DataFrame) -> DataFrame:
     """Adds col: the number of cuts at or left of a glyph's middle."""
-    cuts = column_cuts(glyphs).groupBy(*PAGE).agg(F.sort_array(F.collect_list("cut")).alias("_cuts"))
-    joined = glyphs.join(cuts, PAGE, "left")
+    joined = glyphs.join(_page_cuts(glyphs), PAGE, "left")
     return joined.withColumn("col", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("x") + F.col("w") / 2)), F.lit(0)).cast("long")).drop("_cuts")
 
 

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.operators import layout as L
-from tallyforge.sources.adapters import CARDS, cards
+from tallyforge.sources.adapters import CARDS, cards, spread, table
 
 
 def _glyphs(s, d):
     """Pages of up to some hundred glyphs in two columns: 50 decks a page, one glyph a card."""
     deck = cards(s, d)
     text = F.when(F.col("part") % 11 == 0, F.lit("Name: ann")).when(F.col("part") % 13 == 0, F.lit("- 4 -")).otherwise(F.col("question"))
-    return deck.select(
+    glyphs = deck.select(
         F.floor(F.col("deck_id") / 50).cast("long").alias("doc_id"), F.lit(1).alias("page_index"), F.col("card_id").alias("glyph_seq"), ((F.col("part") % 2) * 300 + F.col("b")).cast("double").alias("x"),
         (700 - (F.col("deck_id") % 50) * 14 - F.col("number") * 0.5).cast("double").alias("y"), (F.col("a") * 8 + 20).cast("double").alias("w"), (F.col("part") % 4 + 6).cast("double").alias("scale"), text.alias("s"),
     )
+    return spread(glyphs, table(s, d, "lineitem").count(), "doc_id")
 
 
 GLYPHS = f"""{CARDS}, glyphs AS (SELECT deck_id // 50 AS doc_id, card_id AS glyph_seq, CAST(part % 2 * 300 + b AS DOUBLE) AS x, CAST(700 - (deck_id % 50) * 14 AS DOUBLE) - CAST(number AS DOUBLE) * CAST(0.5 AS DOUBLE) AS y,
