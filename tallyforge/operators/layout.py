@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,9 +147,12 @@ def reflow(lines: DataFrame) -> DataFrame:
 
 def _braces(g: list[dict]) -> list[dict]:
     """Runs from '{' to '}' on a row as one atom."""
+    down = sorted(g, key=lambda x: (-round(x["y"] / 3), x["x"]))
+    if not any("{" in x["s"] for x in down):
+        return down
     out: list[dict] = []
     held = None
-    for x in sorted(g, key=lambda x: (-round(x["y"] / 3), x["x"])):
+    for x in down:
         if held and abs(held["y"] - x["y"]) > 3:
             out.append(held)
             held = None
@@ -165,35 +170,42 @@ def _braces(g: list[dict]) -> list[dict]:
 
 def _superscripts(g: list[dict], mode: float) -> list[dict]:
     """Small glyphs raised beside another become its power; left to right, so towers build up."""
-    base = sorted((x for x in g), key=lambda x: x["x"])
     out: list[dict] = []
-    for x in base:
-        near = [b for b in out if x["scale"] < 0.85 * mode and -2 <= x["x"] - (b["x"] + b["w"]) <= mode * 0.6 and mode * 0.15 <= x["y"] - b["y"] <= mode]
-        if near:
-            b = min(near, key=lambda b: abs(x["x"] - b["x"] - b["w"]) + abs(x["y"] - b["y"] - mode * 0.4))
-            b["s"] += f"^{x['s']}"
-            b["w"] = x["x"] + x["w"] - b["x"]
-        else:
-            out.append(dict(x))
+    # a base is at most the mode's height below its power, so it is in the power's band or the one or two under it
+    high = abs(mode) or 1.0
+    bands: dict[int, list[tuple[int, dict]]] = {}
+    for x in sorted(g, key=lambda x: x["x"]):
+        at, y = x["x"], x["y"]
+        band = math.floor(y / high)
+        if x["scale"] < 0.85 * mode:
+            below = [(n, b) for k in (band - 2, band - 1, band) for n, b in bands.get(k, ()) if -2 <= at - (b["x"] + b["w"]) <= mode * 0.6 and mode * 0.15 <= y - b["y"] <= mode]
+            if below:
+                _, b = min(below, key=lambda nb: (abs(at - nb[1]["x"] - nb[1]["w"]) + abs(y - nb[1]["y"] - mode * 0.4), nb[0]))
+                b["s"] += f"^{x['s']}"
+                b["w"] = at + x["w"] - b["x"]
+                continue
+        out.append(dict(x))
+        bands.setdefault(band, []).append((len(out), out[-1]))
     return out
 
 
-def _under(top: dict, g: list[dict], low: float, high: float) -> dict | None:
-    """The nearest short glyph below a token that lies within its width."""
-    fits = [b for b in g if b is not top and low <= top["y"] - b["y"] <= high and b["x"] >= top["x"] - 3 and b["x"] + b["w"] <= top["x"] + top["w"] + 3 and len(b["s"]) <= 12 and re.fullmatch(r"[\w^+\-. ]+", b["s"])]
-    return min(fits, key=lambda b: top["y"] - b["y"]) if fits else None
-
-
 def _fractions(g: list[dict]) -> list[dict]:
-    """A token and a narrower one 3 to 24 points below it, each used once, as (a)/(b)."""
-    left = sorted(g, key=lambda x: (-x["y"], x["x"]))
+    """A token and the nearest short, narrower one 3 to 24 points below it, each used once, as (a)/(b)."""
+    down = sorted(g, key=lambda x: (-x["y"], x["x"]))
+    used = [False] * len(down)
     out = []
-    while left:
-        top = left.pop(0)
-        b = _under(top, left, 3, 24) if re.fullmatch(r"[\w^+\-. ]+", top["s"]) else None
-        if b:
-            left.remove(b)
-            top = top | {"s": f"({top['s'].strip()})/({b['s'].strip()})", "y": (top["y"] + b["y"]) / 2}
+    for i, top in enumerate(down):
+        if used[i]:
+            continue
+        if re.fullmatch(r"[\w^+\-. ]+", top["s"]):
+            for j in range(i + 1, len(down)):
+                b = down[j]
+                if top["y"] - b["y"] > 24:
+                    break
+                if not used[j] and top["y"] - b["y"] >= 3 and b["x"] >= top["x"] - 3 and b["x"] + b["w"] <= top["x"] + top["w"] + 3 and len(b["s"]) <= 12 and re.fullmatch(r"[\w^+\-. ]+", b["s"]):
+                    used[j] = True
+                    top = top | {"s": f"({top['s'].strip()})/({b['s'].strip()})", "y": (top["y"] + b["y"]) / 2}
+                    break
         out.append(top)
     return out
 
@@ -229,9 +241,14 @@ def _proportions(g: list[dict], mode: float) -> list[dict]:
 def _lines(g: list[dict], gap: float = 3.0) -> list[str]:
     """Rows from the top; an empty 'N)' between two short lines takes them as its fraction, beside one alone that one."""
     rows: list[list[dict]] = []
+    key = math.inf
     for x in sorted(g, key=lambda x: (-x["y"], x["x"])):
-        row = next((r for r in rows if abs(math.floor(r[0]["y"] + 0.5) - math.floor(x["y"] + 0.5)) <= gap), None)
-        rows.append([x]) if row is None else row.append(x)
+        y = math.floor(x["y"] + 0.5)
+        # from the top down only the last row can still fit
+        if key - y > gap:
+            rows.append([])
+            key = y
+        rows[-1].append(x)
     text = [" ".join(x["s"].strip() for x in sorted(r, key=lambda x: x["x"])) for r in rows]
     i = 0
     while i < len(text):
@@ -246,29 +263,61 @@ def _lines(g: list[dict], gap: float = 3.0) -> list[str]:
     return text
 
 
-def _page(pdf: pd.DataFrame) -> Iterator[tuple]:
-    mode = float(pdf["mode_scale"].iloc[0])
-    glyphs = _braces(pdf.sort_values("glyph_seq").to_dict("records"))
+def _page(glyphs: list[dict], mode: float) -> Iterator[tuple[int, int, str]]:
+    glyphs = _braces(glyphs)
     small = sum(x["scale"] < 0.85 * mode for x in glyphs)
+    cols: dict[int, list[dict]] = {}
+    for x in glyphs:
+        cols.setdefault(x["col"], []).append(x)
     n = 0
-    for col in sorted({x["col"] for x in glyphs}):
-        g = _superscripts(_proportions([x for x in glyphs if x["col"] == col], mode), mode)
+    for col in sorted(cols):
+        g = _superscripts(_proportions(cols[col], mode), mode)
         for line in _lines(g if small >= 6 else _fractions(g)):
             n += 1
-            yield int(col), n, line
+            yield col, n, line
 
 
-def assemble(glyphs: DataFrame) -> DataFrame:
-    """(doc_id, page_index, col, line_no, text): the lines of each page in reading order, columns from the left.
+LINES = pa.list_(pa.struct([("col", pa.int32()), ("line_no", pa.int32()), ("text", pa.string())]))
+
 
-    One shuffle by page; a page is small and shares nothing with others.
+def _pages(glyphs: DataFrame) -> DataFrame:
+    """(doc_id, page_index, lines): each page's lines (col, line_no, text) in reading order.
+
+    A page is a row with its glyphs and cuts, so that Python takes many pages at once; a page is small and shares nothing with others.
     """
-    ready = with_columns(drop_furniture(glyphs.where("trim(s) <> ''"))).join(mode_scale(glyphs), PAGE)
+    kept = drop_furniture(glyphs.where("trim(s) <> ''"))
+    atoms = F.struct("glyph_seq", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "scale")), "s", (F.col("x") + F.col("w") / 2).alias("middle"))
+    pages = kept.groupBy(*PAGE).agg(F.collect_list(atoms).alias("glyphs")).join(_page_cuts(kept), PAGE, "left").join(mode_scale(glyphs), PAGE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                lists, cuts, modes = b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()
+                ends, out = lists.offsets.to_pylist(), []
+                for a, z, own, mode in zip(ends[:-1], ends[1:], cuts, modes, strict=True):
+                    part = lists.values.slice(a, z - a).flatten()
+                    seq, s, known = part[0], part[5].to_numpy(zero_copy_only=False).tolist(), part[6].is_valid().to_pylist()
+                    x, y, w, scale, middle = (part[i].to_numpy(zero_copy_only=False).tolist() for i in (1, 2, 3, 4, 6))  # nulls are not a number
+                    col = [bisect_right(own, m) if k else 0 for m, k in zip(middle, known, strict=True)] if own else [0] * (z - a)
+                    order = pc.sort_indices(seq).to_numpy().tolist()
+                    page = [{"x": x[i], "y": y[i], "w": w[i], "scale": scale[i], "s": s[i], "col": col[i]} for i in order]
+                    out.append([{"col": c, "line_no": n, "text": text} for c, n, text in _page(page, mode)])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, LINES)], names=[*PAGE, "lines"])
+
+    ready = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_index").cast("int").alias("page_index"), "glyphs", "_cuts", "mode_scale")
+    return ready.mapInArrow(run, "doc_id long, page_index int, lines array<struct<col: int, line_no: int, text: string>>")
+
+
+def assemble(glyphs: DataFrame) -> DataFrame:
+    """(doc_id, page_index, col, line_no, text): the lines of each page in reading order, columns from the left."""
+    return _pages(glyphs).select(*PAGE, F.inline("lines"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in _page(pdf)], columns=[*PAGE, "col", "line_no", "text"])
 
-    return ready.groupBy(*PAGE).applyInPandas(run, "doc_id long, page_index int, col int, line_no int, text string")
+def assemble_texts(glyphs: DataFrame) -> DataFrame:
+    """(doc_id, page_index, text): page_texts of assemble, without a shuffle of the lines."""
+    before = lambda i: F.when(i == 0, "").when(F.get("lines", i)["col"] == F.get("lines", i - 1)["col"], "\n").otherwise("\n\n")
+    return _pages(glyphs).where("size(lines) > 0").select(*PAGE, F.array_join(F.transform("lines", lambda x, i: F.concat(before(i), x["text"])), "").alias("text"))
 
 
 def page_texts(lines: DataFrame) -> DataFrame:

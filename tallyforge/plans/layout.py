@@ -74,7 +74,7 @@ def a_pages(s, d):
 
 
 def a_texts(s, d):
-    return L.page_texts(L.assemble(_glyphs(s, d)))
+    return L.assemble_texts(_glyphs(s, d))
 
 
 QUERIES = {
