@@ -87,3 +87,18 @@ def test_unigram_form_of_the_default_model(spark, sf_dir):
     assert sentencepiece.SentencePieceProcessor(model_proto=data).encode("hello") == sp_codec.build(model).encode("hello", add_special_tokens=False).ids
     got = sp_codec.sentencepiece_unigram(spark, sf_dir).collect()
     assert all(r.round_trip for r in got) and sum(r.parity for r in got) >= 0.99 * len(got)
+
+
+def test_rows_of_one_row_group_go_to_many_tasks(spark, tmp_path, monkeypatch):
+    """Copies, repeated and missing ids spread too, and every row is encoded as in one task."""
+    rows = [(None if i % 3 else 7, "the same text" if i % 2 else f"text {i}") for i in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sizes = [len(p) for p in sp_codec.evenly(docs, 1000).rdd.glom().collect()]
+    assert len(sizes) == 4 and sum(sizes) == 1000 and min(sizes) > 150
+    got = sp_codec.sentencepiece_unigram(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 4
+    plain = lambda df: sorted(map(str, df.collect()))
+    many = plain(got)
+    monkeypatch.setattr(sp_codec, "TASK_ROWS", 10_000)
+    assert many == plain(sp_codec.sentencepiece_unigram(spark, str(tmp_path))) and len(many) == 1000
