@@ -175,6 +175,17 @@ def test_training_learns_where_texts_end(spark):
     assert end() > prior + 0.1
 
 
+def test_blocks_of_every_round_train_all_parameters(spark):
+    text = b" ".join(b"the cat sat on mat %d" % (i % 50) for i in range(200))
+    subwords = lm_score.Subwords(default_model())
+    ids = {i for w in subwords(text.split()) for i in w}
+    for k in range(len(lm_score.RATES)):
+        model = lm_score.Attention(dict.fromkeys(range(200), 200) | dict.fromkeys(ids, 100), 1, subwords.first())
+        before = {n: p.copy() for n, p in model.params.items()}
+        model.load(lm_score.train_round(spark.createDataFrame([(text,)], "text binary"), default_model(), model, k))
+        assert [n for n, p in model.params.items() if np.array_equal(p, before[n])] == []
+
+
 def test_long_texts_have_buckets_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "BUCKET_BYTES", 4000)
     rows = [(i, "x" * (3000 if 40 <= i < 60 else 100)) for i in range(200)]
