@@ -5,6 +5,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.sources import files, pdf
 
@@ -180,3 +181,10 @@ def test_plain_operations_are_read_as_others(monkeypatch):
     fast = [list(pdf.file_runs(f)) for f in files]
     monkeypatch.setattr(pdf, "OPERATION", re.compile(b"(?!)"))
     assert [repr(list(pdf.file_runs(f))) for f in files] == list(map(repr, fast)) and sum(map(len, fast)) > 300
+
+
+def test_files_are_dealt_to_as_many_tasks_as_were_asked_for(spark, sf_dir):
+    from tallyforge.plans import worksheets
+
+    made = worksheets._pdf_files(spark, sf_dir)
+    assert made.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
